@@ -15,6 +15,7 @@ from cohortry.operators import model as M
 from cohortry.operators import ranking as K
 from cohortry.operators import rules as R
 from cohortry.operators import scaling as S
+from cohortry.session import materialise
 
 EVENT_GROUPS = {"browse": ["click", "view"], "buy": ["purchase"], "fail": ["error"]}
 
@@ -443,7 +444,8 @@ DOCUMENT_FEATURES_SQL = """
 
 def document_features(t):
     def occurrences(pattern: str):
-        return (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("bigint")
+        rest = F.regexp_replace("text", pattern, "") if len(pattern) > 1 else F.replace("text", F.lit(pattern), F.lit(""))
+        return (F.length("text") - F.length(rest)).cast("bigint")
 
     return t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select(
         "doc_id",
@@ -451,8 +453,8 @@ def document_features(t):
         "n_chars",
         occurrences(" ").alias("n_blanks"),
         occurrences("\n").alias("n_lines"),
-        occurrences("[0-9]").alias("n_digits"),
-        occurrences("[A-Z]").alias("n_capitals"),
+        occurrences("[0-9]+").alias("n_digits"),
+        occurrences("[A-Z]+").alias("n_capitals"),
     )
 
 
@@ -489,8 +491,8 @@ def labelled_sample(t):
 
 @query("lasso_score")
 def lasso_score(t):
-    documents = document_features(t)
+    documents = materialise(document_features(t))  # read by the draw, the scaler and the scoring
     train = M.labelled_sample(documents, "doc_id", "quality", "0", "1", DOCUMENT_FEATURES)
-    fit = M.fit_lasso_cv(train, DOCUMENT_FEATURES, key="doc_id", n_lambda=20)
+    fit = M.fit_lasso_cv(train, DOCUMENT_FEATURES, key="doc_id")
     scored = M.score(fit, documents, "doc_id", exclude=train)
     return M.ranked_scores(scored, "doc_id").select("doc_id", "score", "position")

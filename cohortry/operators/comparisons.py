@@ -21,7 +21,7 @@ from cohortry.functions.distributions import normal_upper_tail, student_quantile
 from cohortry.functions.labels import DEFAULT_CUTPOINTS, significance_label
 from cohortry.functions.nulls import as_column, finite, safe_ratio
 from cohortry.operators.joins import attach_aggregate, equi_join
-from cohortry.operators.ranking import histogram, quantiles, quantiles_of_running, running_total
+from cohortry.operators.ranking import histogram, quantiles, quantiles_of_blocks, running_total, value_blocks
 from cohortry.session import materialise
 
 EXACT_BELOW = 50  # both classes smaller than this and no ties: exact p-value
@@ -82,8 +82,8 @@ def _p_value(alternative: Column, method: str) -> Column:
     return F.when(small, exact).otherwise(normal)
 
 
-def rank_sum_of_histogram(
-    hist: DataFrame,
+def rank_sum_of_blocks(
+    blocks: DataFrame,
     by: Sequence[str],
     group: str,
     value: str,
@@ -93,13 +93,14 @@ def rank_sum_of_histogram(
 ) -> DataFrame:
     """Rank-sum test of every class against the reference class of its comparison.
 
+    ``blocks`` is the histogram sorted by comparison and value.
     ``U`` of a class needs only the reference rows below and at each of its values; one
     running total over the reference counts serves all classes at once.
     """
     if method not in ("auto", "normal"):
         raise ValueError("method must be 'auto' or 'normal'")
     by = list(by)
-    marked = hist.withColumn("__is_ref", is_ref).withColumn("__alt", alternative)
+    marked = blocks.withColumn("__is_ref", is_ref).withColumn("__alt", alternative)
     marked = marked.withColumn("__ref", F.when(F.col("__is_ref"), F.col("n")).otherwise(F.lit(0)))
     run = running_total(marked, value, "__ref", by, "__below", "__equal", "n_ref")
     n, ref = F.col("n").cast("double"), F.col("__equal").cast("double")
@@ -155,22 +156,20 @@ def rank_sum_vs_ref(
     """
     by = _list(by)
     hist = histogram(df.where(F.col(group).isNotNull()), value, [*by, group])
-    tests = rank_sum_of_histogram(
-        hist, by, group, value, F.col(group) == F.lit(ref), F.lit(alternative), method
+    tests = rank_sum_of_blocks(
+        value_blocks(hist, value, by), by, group, value, F.col(group) == F.lit(ref), F.lit(alternative), method
     )
     return tests.withColumn("label", significance_label("p_value", cutpoints))
 
 
-def box_of_histogram(hist: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Box-plot numbers per group of a histogram."""
+def box_of_blocks(blocks: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Box-plot numbers per group of a sorted histogram."""
     by = list(by)
-    run = running_total(hist, value, "n", by)
-    quartiles = quantiles_of_running(run, value, BOX_PROBS, by, BOX_NAMES)
+    quartiles = quantiles_of_blocks(blocks, value, BOX_PROBS, by, BOX_NAMES)
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.withColumn("__low", F.col("q1") - 1.5 * spread).withColumn("__high", F.col("q3") + 1.5 * spread)
-    inside = run.select(*by, value)
     inside = (
-        equi_join(inside, fences.select(*by, "__low", "__high"), by, "inner", null_safe=True)
+        equi_join(blocks.select(*by, value), fences.select(*by, "__low", "__high"), by, "inner", null_safe=True)
         .where(F.col(value).between(F.col("__low"), F.col("__high")))
         .groupBy(*by)
         .agg(F.min(value).cast("double").alias("__min"), F.max(value).cast("double").alias("__max"))
@@ -188,7 +187,7 @@ def box_of_histogram(hist: DataFrame, by: Sequence[str], value: str) -> DataFram
 def box_summary(df: DataFrame, group, value: str) -> DataFrame:
     """n, quartiles and whiskers (furthest value within 1.5 IQR of the box) per class."""
     by = _list(group)
-    return box_of_histogram(histogram(df, value, by), by, value)
+    return box_of_blocks(value_blocks(histogram(df, value, by), value, by), by, value)
 
 
 def bandwidth(n: Column, sd: Column, iqr: Column, low: Column) -> Column:
@@ -267,7 +266,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def centred_ranks(column: str, out: str) -> DataFrame:
         margin = joint.groupBy(column).agg(F.sum("n").alias("n"))
-        run = running_total(margin, column, "n")
+        run = running_total(value_blocks(margin, column), column, "n")
         middle = F.col("below") + (F.col("equal") + 1) / 2 - (F.col("group_total") + 1) / 2
         return run.select(column, middle.alias(out))
 
@@ -378,11 +377,12 @@ def association_report(df: DataFrame, comparisons: Sequence[Comparison], method:
 
     Reference classes appear with their box and a NULL test.
     """
-    hist = materialise(comparison_histogram(df, comparisons))
     by = ["metric", "scope"]
-    boxes = box_of_histogram(hist, [*by, "class"], "value")
-    tests = rank_sum_of_histogram(
-        hist, by, "class", "value", F.col("is_ref"), F.col("alternative"), method
+    # one sort serves the tests (per comparison) and the boxes (per class)
+    blocks = value_blocks(comparison_histogram(df, comparisons), "value", by)
+    boxes = box_of_blocks(blocks, [*by, "class"], "value")
+    tests = rank_sum_of_blocks(
+        blocks, by, "class", "value", F.col("is_ref"), F.col("alternative"), method
     ).drop("n")
     label = F.lit(None).cast("string")
     for cut in {c.cutpoints for c in comparisons}:

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.functions.nulls import ColumnLike, as_column, finite
-from cohortry.operators.joins import attach_aggregate, equi_join
-from cohortry.session import materialise
+from cohortry.functions.nulls import ColumnLike, as_column
+from cohortry.operators.joins import equi_join
+from cohortry.session import fits_broadcast, materialise
 
 _BLOCK_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
@@ -59,8 +59,13 @@ def global_position(df: DataFrame, order: Sequence[Column], out: str = "position
     )
 
 
+def value_blocks(hist: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """A histogram sorted by group and value, ready for ``running_total``."""
+    return sorted_blocks(hist, [F.asc(c) for c in (*by, value)]).drop("__row")
+
+
 def running_total(
-    df: DataFrame,
+    blocks: DataFrame,
     value: str,
     weight: str,
     by: Sequence[str] = (),
@@ -70,12 +75,14 @@ def running_total(
 ) -> DataFrame:
     """Weight of the rows of the same group with a smaller, an equal and any value.
 
-    Meant for histograms.  Neither a hot group nor a hot value is held by one task:
-    the sort splits a group over blocks, and a value repeats at most once per histogram key.
+    ``blocks`` comes from ``value_blocks`` sorted by these groups or by coarser ones, so
+    one sort serves several groupings.  Neither a hot group nor a hot value is held by
+    one task: the sort splits a group over blocks, and a value repeats at most once per
+    histogram key.
     """
     by = list(by)
-    blocks = sorted_blocks(df, [F.asc(c) for c in (*by, value)]).drop("__row")
     totals = blocks.groupBy("__block", *by).agg(F.sum(weight).alias("__weight"))
+    # at most one row per block and group
     group = W.partitionBy(*by)
     before = group.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(
@@ -96,18 +103,20 @@ def running_total(
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "n") -> DataFrame:
-    """Row count per distinct finite value and group."""
-    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias(out)
-    )
+    """Row count per distinct value and group, without NULL and NaN."""
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return known.groupBy(*by, value).agg(F.count(F.lit(1)).alias(out))
 
 
 def average_rank(df: DataFrame, column: str, by=None, out: str = "rank") -> DataFrame:
     """Mid-rank among the rows of a group: ties share the mean of their ranks; NULL has none."""
     by = _list(by)
-    ranks = running_total(histogram(df, column, by), column, "n", by)
-    ranks = ranks.select(*by, column, (F.col("below") + (F.col("equal") + 1) / 2).alias(out))
-    return attach_aggregate(df, ranks, [*by, column])
+    blocks = value_blocks(histogram(df, column, by), column, by)
+    run = running_total(blocks, column, "n", by)
+    ranks = run.select(*by, column, (F.col("below") + (F.col("equal") + 1) / 2).alias(out))
+    # the ranks have as many rows as the blocks they come from
+    small = fits_broadcast(blocks)
+    return equi_join(df, F.broadcast(ranks) if small else ranks, [*by, column], "left", null_safe=True)
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], by=None, names: Sequence[str] | None = None) -> DataFrame:
@@ -117,12 +126,13 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by=None, names
     """
     by = _list(by)
     names = list(names or (f"q{int(round(p * 100))}" for p in probs))
-    cumulated = running_total(histogram(df, column, by), column, "n", by)
-    return quantiles_of_running(cumulated, column, probs, by, names)
+    blocks = value_blocks(histogram(df, column, by), column, by)
+    return quantiles_of_blocks(blocks, column, probs, by, names)
 
 
-def quantiles_of_running(cumulated: DataFrame, column: str, probs, by, names) -> DataFrame:
-    """Quantiles from a histogram that already carries running totals."""
+def quantiles_of_blocks(blocks: DataFrame, column: str, probs, by, names, weight: str = "n") -> DataFrame:
+    """Quantiles from a sorted histogram."""
+    run = running_total(blocks, column, weight, by)
     last = F.col("group_total") - 1
     picks = []
     for p, name in zip(probs, names, strict=True):
@@ -130,7 +140,7 @@ def quantiles_of_running(cumulated: DataFrame, column: str, probs, by, names) ->
         for part, place in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             here = (F.col("below") <= place) & (place < F.col("below") + F.col("equal"))
             picks.append(F.max(F.when(here, F.col(column).cast("double"))).alias(f"__{part}_{name}"))
-    grouped = cumulated.groupBy(*by).agg(F.max("group_total").alias("n"), *picks)
+    grouped = run.groupBy(*by).agg(F.max("group_total").alias("n"), *picks)
     between = {}
     for p, name in zip(probs, names, strict=True):
         position = (F.col("n") - 1) * F.lit(float(p))
@@ -178,9 +188,3 @@ def score_ranking(df: DataFrame, score: str, key: str, out: str = "position") ->
     """Entities by ascending score, NULL last, with their position (key breaks ties)."""
     return global_position(df, [F.asc_nulls_last(score), F.asc_nulls_last(key)], out)
 
-
-__all__ = [
-    "average_rank", "finite", "flag_outliers", "global_position", "histogram", "median_iqr",
-    "quantiles", "quantiles_of_running", "running_total", "sample_n", "sample_order",
-    "score_ranking", "sort_nulls_last", "sorted_blocks",
-]

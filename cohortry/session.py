@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 # A side is broadcast only when both bounds have been checked against the data.
 BROADCAST_MAX_ROWS = 200_000
@@ -57,21 +58,18 @@ def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
     """Measure ``df`` and tell whether it is small enough to copy to every executor."""
-    size = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-        )
-        .first()
-    )
-    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
+    bounded = df.limit(max_rows + 1)
+    sized = [f.name for f in df.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType))]
+    width = sum((F.length(F.col(c).cast("string")) for c in sized), F.lit(16 * len(df.columns)))
+    size = bounded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(width, F.lit(64))).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint when the measured size allows it; otherwise leave the join to AQE.
+    """Compute an aggregate once, measure it and broadcast it when both bounds hold.
 
-    Beyond the bound the join is a shuffled one, whose hot keys AQE's skew-join
+    Beyond the bounds the join stays a shuffled one, whose hot keys AQE's skew-join
     rule splits over several tasks.
     """
-    return F.broadcast(df) if fits_broadcast(df) else df
+    kept = materialise(df)
+    return F.broadcast(kept) if fits_broadcast(kept) else kept
