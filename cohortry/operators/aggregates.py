@@ -85,16 +85,17 @@ def concat_by(
 def fraction_by(
     numerator: DataFrame,
     denominator: DataFrame,
-    numerator_key: str,
-    denominator_key: str,
+    numerator_key: str | Sequence[str],
+    denominator_key: str | Sequence[str],
     numerator_col: str,
     denominator_col: str,
     out: str = "fraction",
 ) -> DataFrame:
     """Ratio of two per-group counts whose keys may be named differently; inner join."""
-    den = denominator.select(F.col(denominator_key).alias(numerator_key), denominator_col)
-    return numerator.join(den, numerator_key).select(
-        numerator_key, safe_ratio(numerator_col, denominator_col).alias(out)
+    keys, others = _keys(numerator_key), _keys(denominator_key)
+    renamed = [F.col(other).alias(key) for key, other in zip(keys, others, strict=True)]
+    return numerator.join(denominator.select(*renamed, denominator_col), keys).select(
+        *keys, safe_ratio(numerator_col, denominator_col).alias(out)
     )
 
 
