@@ -46,12 +46,12 @@ _SIGNATURES = """
     SELECT sid AS Tumor_Sample_Barcode, 'Signature.' || k AS Signature,
            sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY sid) AS mean
     FROM (SELECT sid, l_quantity,
-                 CASE WHEN c_nationkey < 2 AND l_linenumber <= 4 THEN '15'
-                      WHEN c_nationkey BETWEEN 2 AND 3 AND l_linenumber <= 4 THEN '13'
-                      WHEN c_nationkey = 4 AND l_linenumber <= 4 THEN '10'
-                      WHEN l_linenumber = 1 THEN '3' WHEN l_linenumber = 2 THEN '8' WHEN l_linenumber = 3 THEN '6'
-                      WHEN l_linenumber = 4 THEN '20' WHEN l_linenumber = 5 THEN '2' WHEN l_linenumber = 6 THEN '26'
-                      ELSE '10' END AS k
+                 CASE WHEN c_nationkey < 7 AND l_linenumber BETWEEN 3 AND 6 THEN '15'
+                      WHEN c_nationkey BETWEEN 7 AND 12 AND l_linenumber BETWEEN 3 AND 6 THEN '13'
+                      WHEN c_nationkey BETWEEN 13 AND 18 AND l_linenumber BETWEEN 3 AND 6 THEN '10'
+                      WHEN l_linenumber = 1 AND c_nationkey < 24 THEN '3' WHEN l_linenumber <= 2 THEN '8'
+                      WHEN l_linenumber = 3 THEN '6' WHEN l_linenumber = 4 THEN '20' WHEN l_linenumber = 5 THEN '2'
+                      WHEN l_linenumber = 6 THEN '26' ELSE '10' END AS k
           FROM calls WHERE {cohort}) t
     GROUP BY sid, k
 """
