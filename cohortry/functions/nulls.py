@@ -28,15 +28,19 @@ def na_ifelse(condition: Column, when_true, when_false) -> Column:
 
 
 def matches(col: ColumnLike, pattern: str, regex: bool = False) -> Column:
-    """Substring (or regex) predicate that is false, never NULL, for a NULL text."""
+    """Substring (or regex) predicate that is false, never NULL, for a NULL text.
+
+    Written as a conjunction (false AND NULL is false), which a scan can take over
+    where a ``coalesce`` could not; the same holds for ``in_list``.
+    """
     c = as_column(col)
-    hit = c.rlike(pattern) if regex else c.contains(pattern)
-    return F.coalesce(hit, F.lit(False))
+    return c.isNotNull() & (c.rlike(pattern) if regex else c.contains(pattern))
 
 
 def in_list(col: ColumnLike, values: Iterable) -> Column:
     """Membership in a fixed list; false, never NULL, for a NULL value."""
-    return F.coalesce(as_column(col).isin(list(values)), F.lit(False))
+    c = as_column(col)
+    return c.isNotNull() & c.isin(list(values))
 
 
 def not_in_list(col: ColumnLike, values: Iterable) -> Column:
@@ -73,4 +77,4 @@ def strict(agg, col: ColumnLike) -> Column:
 def finite(col: ColumnLike) -> Column:
     """True for numbers other than NaN and the infinities; false for NULL."""
     c = as_column(col).cast("double")
-    return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
