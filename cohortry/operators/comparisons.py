@@ -102,7 +102,7 @@ def rank_sum_of_blocks(
     by = list(by)
     marked = blocks.withColumn("__is_ref", is_ref).withColumn("__alt", alternative)
     marked = marked.withColumn("__ref", F.when(F.col("__is_ref"), F.col("n")).otherwise(F.lit(0)))
-    run = running_total(marked, value, "__ref", by, "__below", "__equal", "n_ref")
+    run = running_total(marked, value, "__ref", by, "__below", "__equal", "n_ref", unique=False)
     n, ref = F.col("n").cast("double"), F.col("__equal").cast("double")
     joint = n + ref
     classes = run.groupBy(*by, group).agg(

@@ -20,6 +20,7 @@ from cohortry.operators.sets import union_fill
 from cohortry.session import materialise
 
 ROWS_PER_PARTITION = 100_000
+DIRECT_PARTITIONS = 16  # up to here the driver adds up the partitions' sums itself
 MIN_WEIGHT_PROBABILITY = 1e-10  # keeps the curvature positive for near-certain rows
 MAX_PASSES = 60
 TOLERANCE = 1e-7
@@ -129,14 +130,15 @@ def _one_pass(table: DataFrame, betas: np.ndarray, held_out: np.ndarray) -> np.n
     partial = table.mapInPandas(
         lambda batches: _sums_per_problem(batches, betas, held_out), "problem int, sums array<double>"
     )
-    rows = (
-        partial.select("problem", F.posexplode("sums").alias("place", "v"))
-        .groupBy("problem", "place")
-        .agg(F.sum("v").alias("v"))
-        .toPandas()
-    )
-    out = np.zeros((len(betas), rows["place"].max() + 1))
-    out[rows["problem"], rows["place"]] = rows["v"]
+    width = betas.shape[1]
+    places = range(width + width * width + 3)
+    if table.rdd.getNumPartitions() > DIRECT_PARTITIONS:
+        # many partitions: add their sums up on the executors first
+        partial = partial.groupBy("problem").agg(F.array(*(F.sum(F.col("sums")[i]) for i in places)).alias("sums"))
+    rows = partial.toArrow()
+    out = np.zeros((len(betas), len(places)))
+    sums = rows["sums"].combine_chunks().flatten().to_numpy().reshape(-1, len(places))
+    np.add.at(out, rows["problem"].to_numpy(), sums)
     return out
 
 

@@ -2,7 +2,7 @@
 
 A window without a partition key, or over one hot group, runs in a single task.  The
 operators here sort by range instead, cut the sorted rows into the blocks the sort
-already made, and add each block's starting offset.  The blocks are checkpointed, so
+already made, and add each block's starting offset.  The blocks are written once, so
 block numbers stay the same for every later read.
 """
 
@@ -72,13 +72,14 @@ def running_total(
     out: str = "below",
     out_equal: str = "equal",
     out_total: str = "group_total",
+    unique: bool = True,
 ) -> DataFrame:
     """Weight of the rows of the same group with a smaller, an equal and any value.
 
     ``blocks`` comes from ``value_blocks`` sorted by these groups or by coarser ones, so
     one sort serves several groupings.  Neither a hot group nor a hot value is held by
     one task: the sort splits a group over blocks, and a value repeats at most once per
-    histogram key.
+    histogram key.  ``unique`` states that a group has one row per value.
     """
     by = list(by)
     totals = blocks.groupBy("__block", *by).agg(F.sum(weight).alias("__weight"))
@@ -91,10 +92,13 @@ def running_total(
         F.coalesce(F.sum("__weight").over(before), F.lit(0)).alias("__start"),
         F.sum("__weight").over(group).alias(out_total),
     )
-    inside = W.partitionBy("__block", *by)
-    up_to = F.sum(weight).over(inside.orderBy(value))  # RANGE frame: includes equal values
-    equal = F.sum(weight).over(W.partitionBy("__block", *by, value))
-    counted = blocks.withColumn(out_equal, equal).withColumn("__up_to", up_to)
+    in_order = W.partitionBy("__block", *by).orderBy(value)
+    if unique:
+        in_order = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    # the default RANGE frame includes equal values; one shuffle serves both windows
+    counted = blocks.withColumn("__up_to", F.sum(weight).over(in_order)).withColumn(
+        out_equal, F.col(weight) if unique else F.sum(weight).over(W.partitionBy("__block", *by, value))
+    )
     return (
         equi_join(counted, starts, ["__block", *by], "inner", null_safe=bool(by))
         .withColumn(out, F.col("__start") + F.col("__up_to") - F.col(out_equal))

@@ -49,9 +49,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: rows are computed once, survive executor loss and keep their values."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as parquet in the shared folder and read them back.
+
+    They keep their values for every later read, survive executor loss, are read column
+    by column, and their file size is known to the optimizer.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(

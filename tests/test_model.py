@@ -72,6 +72,13 @@ def test_fit_does_not_depend_on_partitioning(table, fit):
     assert len(fit.deviances) == 12 and min(fit.deviances) == fit.deviances[fit.lambdas.index(fit.lambda_min)]
 
 
+def test_sums_are_added_up_on_executors_beyond_a_few_partitions(table, fit, monkeypatch):
+    monkeypatch.setattr(M, "DIRECT_PARTITIONS", 1)
+    monkeypatch.setattr(M, "ROWS_PER_PARTITION", 100)
+    again = M.fit_lasso_cv(table[0], FEATURES, key="id", folds=5, n_lambda=12)
+    np.testing.assert_allclose(again.coefficients, fit.coefficients, atol=1e-9)
+
+
 def test_held_out_deviance(table, spark):
     """Deviance of one penalty against separate fits per fold, through the same solver."""
     df, pdf = table
