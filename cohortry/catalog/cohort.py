@@ -125,7 +125,7 @@ INPUT_SQL = _inputs()
 
 
 def cohort_inputs(t) -> P.CohortInputs:
-    """The nineteen input tables; the join below all call tables is computed once."""
+    """The nineteen input tables; the join below all call tables and the variants are computed once."""
     tables = {name: getattr(t, name) for name in ("customer", "orders", "lineitem")}
 
     def derived(sql: str, names) -> object:
@@ -137,7 +137,9 @@ def cohort_inputs(t) -> P.CohortInputs:
 
     tables["samples"] = derived(_BASES["samples"], ["customer"])
     tables["calls"] = materialise(derived(_BASES["calls"], ["lineitem", "orders", "samples"]))
-    return P.CohortInputs(**{name: derived(sql, list(tables)) for name, sql in INPUT_SQL.items()})
+    inputs = {name: derived(sql, list(tables)) for name, sql in INPUT_SQL.items()}
+    inputs["variants"] = materialise(inputs["variants"])  # a join, and read by most annotation steps
+    return P.CohortInputs(**inputs)
 
 
 def with_sql(*steps: str, last: str) -> str:

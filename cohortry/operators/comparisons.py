@@ -21,7 +21,7 @@ from cohortry.functions.distributions import normal_upper_tail, student_quantile
 from cohortry.functions.labels import DEFAULT_CUTPOINTS, significance_label
 from cohortry.functions.nulls import as_column, finite, safe_ratio
 from cohortry.operators.joins import attach_aggregate, equi_join
-from cohortry.operators.ranking import histogram, quantiles, quantiles_of_blocks, running_total, value_blocks
+from cohortry.operators.ranking import histogram, quantiles_of_blocks, running_total, value_blocks
 from cohortry.session import materialise
 
 EXACT_BELOW = 50  # both classes smaller than this and no ties: exact p-value
@@ -210,7 +210,8 @@ def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins:
     moments = rows.groupBy(*by).agg(
         F.stddev_samp(value).alias("__sd"), F.min(value).alias("__low"), F.max(value).alias("__high")
     )
-    spread = quantiles(rows, value, (0.25, 0.75), by, ("__q1", "__q3"))
+    blocks = value_blocks(histogram(rows, value, by, "__rows"), value, by)
+    spread = quantiles_of_blocks(blocks, value, (0.25, 0.75), by, ("__q1", "__q3"), weight="__rows")
     stats = (
         equi_join(spread, moments, by, "inner", null_safe=True)
         .where(F.col("n") > 1)
@@ -221,8 +222,7 @@ def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins:
     place = F.coalesce(safe_ratio(F.col(value) - F.col("__low"), width), F.lit(0.0))
     node = F.least(F.floor(place), F.lit(n_bins - 2))
     share = place - node
-    counted = histogram(rows, value, by, "__rows")
-    halves = attach_aggregate(counted, stats, by).where(F.col("__bw").isNotNull()).select(
+    halves = attach_aggregate(blocks.drop("__block"), stats, by).where(F.col("__bw").isNotNull()).select(
         *by,
         F.explode(
             F.array(

@@ -21,6 +21,7 @@ from cohortry.operators import ranking as K
 from cohortry.operators import rules as R
 from cohortry.operators import sets as U
 from cohortry.operators.columns import cohort_scope
+from cohortry.session import materialise
 
 # --- Fixed values -----------------------------------------------------------------
 
@@ -500,7 +501,7 @@ def hypermutation(annotated: DataFrame, x: CohortInputs, msi_cutoff: float | Non
     ``msi_cutoff`` defaults to the burden cutoff, as the original analysis has it.
     """
     burden = J.inner_join(annotated, mutation_burden(x), "sample")
-    flagged = K.flag_outliers(burden, "Total_Mutational_Burdens", 1.5, "is_hypermutated")
+    flagged = materialise(K.flag_outliers(burden, "Total_Mutational_Burdens", 1.5, "is_hypermutated"))
     outliers = flagged.where("is_hypermutated").select("sample", "cutoff").distinct()
 
     ids = U.union_by_name(
@@ -534,7 +535,7 @@ def hypermutation(annotated: DataFrame, x: CohortInputs, msi_cutoff: float | Non
         "POLE_Score",
     ).drop("cutoff")
     return J.left_join(
-        flagged, explained, "sample", {"Proposed_mechanism": R.MECHANISMS["not_outlier"]}
+        flagged.drop("cutoff"), explained, "sample", {"Proposed_mechanism": R.MECHANISMS["not_outlier"]}
     )
 
 
