@@ -57,13 +57,13 @@ def _exact_upper_tail(u: pd.Series, m: pd.Series, r: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _p_value(alternative: Column, method: str) -> Column:
+def _p_value(direction: Column, method: str) -> Column:
     z = F.col("z")
     upper = normal_upper_tail(z)
     lower = normal_upper_tail(-z)
     normal = (
-        F.when(alternative == "greater", upper)
-        .when(alternative == "less", lower)
+        F.when(direction > 0, upper)
+        .when(direction < 0, lower)
         .otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.least(upper, lower)))
     )
     if method == "normal":
@@ -75,8 +75,8 @@ def _p_value(alternative: Column, method: str) -> Column:
     exact_up = _exact_upper_tail(F.when(small, F.col("u")), n, r)
     exact_down = _exact_upper_tail(F.when(small, mirrored), n, r)
     exact = (
-        F.when(alternative == "greater", exact_up)
-        .when(alternative == "less", exact_down)
+        F.when(direction > 0, exact_up)
+        .when(direction < 0, exact_down)
         .otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.least(exact_up, exact_down)))
     )
     return F.when(small, exact).otherwise(normal)
@@ -100,14 +100,16 @@ def rank_sum_of_blocks(
     if method not in ("auto", "normal"):
         raise ValueError("method must be 'auto' or 'normal'")
     by = list(by)
-    marked = blocks.withColumn("__is_ref", is_ref).withColumn("__alt", alternative)
+    # the direction as a number: a text would rule out hash aggregation below
+    direction = F.when(alternative == "greater", F.lit(1)).when(alternative == "less", F.lit(-1)).otherwise(F.lit(0))
+    marked = blocks.withColumn("__is_ref", is_ref).withColumn("__alt", direction)
     marked = marked.withColumn("__ref", F.when(F.col("__is_ref"), F.col("n")).otherwise(F.lit(0)))
     run = running_total(marked, value, "__ref", by, "__below", "__equal", "n_ref", unique=False)
     n, ref = F.col("n").cast("double"), F.col("__equal").cast("double")
     joint = n + ref
     classes = run.groupBy(*by, group).agg(
-        F.first("__is_ref").alias("__is_ref"),
-        F.first("__alt").alias("__alt"),
+        F.max("__is_ref").alias("__is_ref"),
+        F.max("__alt").alias("__alt"),
         F.sum("n").alias("n_rows"),
         F.max("n_ref").alias("n_ref"),
         F.sum(n * (F.col("__below") + ref / 2)).alias("u"),
@@ -126,11 +128,7 @@ def rank_sum_of_blocks(
     total = m + r
     variance = m * r / 12 * (total + 1 - F.col("__ties") / (total * (total - 1)))
     centred = F.col("u") - m * r / 2
-    correction = (
-        F.when(F.col("__alt") == "greater", F.lit(0.5))
-        .when(F.col("__alt") == "less", F.lit(-0.5))
-        .otherwise(F.signum(centred) * 0.5)
-    )
+    correction = F.when(F.col("__alt") != 0, F.col("__alt") * 0.5).otherwise(F.signum(centred) * 0.5)
     return (
         tests.withColumn("z", safe_ratio(centred - correction, F.sqrt(variance)))
         .withColumn("p_value", _p_value(F.col("__alt"), method))

@@ -20,6 +20,7 @@ from cohortry.operators.sets import union_fill
 from cohortry.session import materialise
 
 ROWS_PER_PARTITION = 100_000
+ROWS_AT_ONCE = 1024  # rows x problems is the largest array of a task
 DIRECT_PARTITIONS = 16  # up to here the driver adds up the partitions' sums itself
 MIN_WEIGHT_PROBABILITY = 1e-10  # keeps the curvature positive for near-certain rows
 MAX_PASSES = 60
@@ -104,7 +105,8 @@ class LassoFit:
 def _sums_per_problem(batches: Iterator[pd.DataFrame], betas: np.ndarray, held_out: np.ndarray) -> Iterator[pd.DataFrame]:
     """Gradient, curvature and deviances of every (fold, penalty) problem over one partition."""
     total = None
-    for batch in batches:
+    slices = (batch.iloc[i : i + ROWS_AT_ONCE] for batch in batches for i in range(0, len(batch), ROWS_AT_ONCE))
+    for batch in slices:
         x = np.column_stack([np.ones(len(batch)), *(batch[c] for c in batch.columns[2:])])
         y = batch["label"].to_numpy()[:, None]
         used = batch["fold"].to_numpy()[:, None] != held_out[None, :]

@@ -94,10 +94,12 @@ def running_total(
     )
     in_order = W.partitionBy("__block", *by).orderBy(value)
     if unique:
-        in_order = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # the default RANGE frame includes equal values; one shuffle serves both windows
-    counted = blocks.withColumn("__up_to", F.sum(weight).over(in_order)).withColumn(
-        out_equal, F.col(weight) if unique else F.sum(weight).over(W.partitionBy("__block", *by, value))
+        up_to, equal = in_order.rowsBetween(W.unboundedPreceding, W.currentRow), None
+    else:
+        up_to = in_order.rangeBetween(W.unboundedPreceding, W.currentRow)
+        equal = in_order.rangeBetween(W.currentRow, W.currentRow)  # the rows with this value
+    counted = blocks.withColumns(
+        {"__up_to": F.sum(weight).over(up_to), out_equal: F.col(weight) if unique else F.sum(weight).over(equal)}
     )
     return (
         equi_join(counted, starts, ["__block", *by], "inner", null_safe=bool(by))
