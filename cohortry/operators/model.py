@@ -102,36 +102,39 @@ class LassoFit:
     coefficients: tuple[float, ...]
 
 
-def _sums_per_problem(batches: Iterator[pd.DataFrame], betas: np.ndarray, held_out: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Gradient, curvature and deviances of every (fold, penalty) problem over one partition."""
-    total = None
-    slices = (batch.iloc[i : i + ROWS_AT_ONCE] for batch in batches for i in range(0, len(batch), ROWS_AT_ONCE))
-    for batch in slices:
-        x = np.column_stack([np.ones(len(batch)), *(batch[c] for c in batch.columns[2:])])
-        y = batch["label"].to_numpy()[:, None]
-        used = batch["fold"].to_numpy()[:, None] != held_out[None, :]
-        margin = x @ betas.T
-        p = 1.0 / (1.0 + np.exp(-margin))
-        deviance = 2.0 * (np.logaddexp(0.0, margin) - y * margin)
-        clipped = np.clip(p, MIN_WEIGHT_PROBABILITY, 1.0 - MIN_WEIGHT_PROBABILITY)
-        pairs = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-        sums = np.hstack(
-            [
-                ((y - p) * used).T @ x,
-                (clipped * (1.0 - clipped) * used).T @ pairs,
-                np.column_stack([used.sum(0), (deviance * used).sum(0), (deviance * ~used).sum(0)]),
-            ]
-        )
-        total = sums if total is None else total + sums
-    if total is not None:
-        yield pd.DataFrame({"problem": np.arange(len(total)), "sums": list(total)})
+def _summing(betas: np.ndarray, held_out: np.ndarray):
+    """The task function of one pass; a closure, so workers need no copy of this package."""
+
+    def sums_per_problem(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Gradient, curvature and deviances of every (fold, penalty) problem over one partition."""
+        total = None
+        slices = (batch.iloc[i : i + ROWS_AT_ONCE] for batch in batches for i in range(0, len(batch), ROWS_AT_ONCE))
+        for batch in slices:
+            x = np.column_stack([np.ones(len(batch)), *(batch[c] for c in batch.columns[2:])])
+            y = batch["label"].to_numpy()[:, None]
+            used = batch["fold"].to_numpy()[:, None] != held_out[None, :]
+            margin = x @ betas.T
+            p = 1.0 / (1.0 + np.exp(-margin))
+            deviance = 2.0 * (np.logaddexp(0.0, margin) - y * margin)
+            clipped = np.clip(p, MIN_WEIGHT_PROBABILITY, 1.0 - MIN_WEIGHT_PROBABILITY)
+            pairs = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+            sums = np.hstack(
+                [
+                    ((y - p) * used).T @ x,
+                    (clipped * (1.0 - clipped) * used).T @ pairs,
+                    np.column_stack([used.sum(0), (deviance * used).sum(0), (deviance * ~used).sum(0)]),
+                ]
+            )
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pd.DataFrame({"problem": np.arange(len(total)), "sums": list(total)})
+
+    return sums_per_problem
 
 
 def _one_pass(table: DataFrame, betas: np.ndarray, held_out: np.ndarray) -> np.ndarray:
     """One scan of the table for all problems: a (problem x sums) matrix."""
-    partial = table.mapInPandas(
-        lambda batches: _sums_per_problem(batches, betas, held_out), "problem int, sums array<double>"
-    )
+    partial = table.mapInPandas(_summing(betas, held_out), "problem int, sums array<double>")
     width = betas.shape[1]
     places = range(width + width * width + 3)
     if table.rdd.getNumPartitions() > DIRECT_PARTITIONS:
