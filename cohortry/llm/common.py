@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import shutil
+import tempfile
+from collections.abc import Callable, Iterable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import cohortry
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.session import scratch_path
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(cohortry.__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:  # on the driver; Spark serves the file to the executors
+        sources = Path(folder, "sources", package.name)
+        shutil.copytree(package, sources, ignore=shutil.ignore_patterns("__pycache__"))
+        kept = Path(tempfile.mkdtemp(prefix="cohortry-package-"), package.name)
+        context.addPyFile(shutil.make_archive(str(kept), "zip", sources.parent))
+    _shipped.add(context.applicationId)
+
+
+def in_tasks(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once, compressed, in the shared folder and read it back.

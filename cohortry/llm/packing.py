@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import stored
+from cohortry.llm.common import in_tasks, stored
 from cohortry.llm.tokens import encoder, packed
 
 SEQUENCE_TOKENS = 2048
@@ -156,7 +156,7 @@ def tokenised(
     """The stored pieces of all documents, with the crc32 of their ids."""
     cut = partial(cut_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    pieces = source.mapInArrow(cut, PIECE_SCHEMA)
+    pieces = in_tasks(source, cut, PIECE_SCHEMA)
     return stored(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
 
 
@@ -190,4 +190,4 @@ def pack(
     kept = ["doc_id", "start", "doc_tokens", *["ids"] * with_ids, "ids_crc32", "length"]
     ranked = ranked.select(*kept, (F.col("before") + F.col("place")).alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(partial(place_pieces, runs=runs), schema).drop("rank")
+    return in_tasks(ranked, partial(place_pieces, runs=runs), schema).drop("rank")
