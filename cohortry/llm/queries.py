@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import packing
+from cohortry.llm import decontaminate, line_dedup, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,76 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+LINE_DEDUP_SQL = """
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+placed AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS pos FROM lines),
+windows AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b, ls[pos + 3] AS c FROM placed),
+numbered AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth
+    FROM windows WHERE trim(a || b || c) <> ''),
+covered AS (
+    SELECT doc_id, list(DISTINCT pos + k) AS gone
+    FROM numbered, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1 GROUP BY doc_id)
+SELECT l.doc_id,
+       CASE WHEN gone IS NULL THEN array_to_string(ls, chr(10))
+            ELSE array_to_string([ls[i + 1] FOR i IN range(len(ls)) IF NOT list_contains(gone, i)], chr(10))
+       END AS text,
+       len(ls) AS n_lines, coalesce(len(gone), 0) AS n_removed
+FROM lines l LEFT JOIN covered USING (doc_id)
+"""
+
+
+@query("op2_line_dedup", LINE_DEDUP_SQL)
+def op2_line_dedup(t: Tables) -> DataFrame:
+    return line_dedup.remove_repeated_lines(t.documents.select("doc_id", "text"))
+
+
+def _chosen(mask: str) -> str:
+    return ", ".join(f"ts[pos + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
+
+
+DECONTAMINATE_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '{decontaminate.SEPARATORS}') IF x <> ''] AS ts
+    FROM documents),
+items AS (
+    SELECT min(item_id) AS item_id, ts FROM (
+        SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '{decontaminate.SEPARATORS}') IF x <> ''] AS ts
+        FROM benchmark) GROUP BY ts),
+doc_seeds AS (
+    SELECT doc_id, pos, unnest([{", ".join(f"[{k}::VARCHAR, {_chosen(m)}]" for k, m in enumerate(decontaminate.MASKS))}]) AS seed
+    FROM (SELECT doc_id, ts, unnest(range(len(ts) - {len(decontaminate.MASKS[0]) - 1})) AS pos FROM docs)),
+item_seeds AS (
+    SELECT item_id, pos, unnest([{", ".join(f"[{k}::VARCHAR, {_chosen(m)}]" for k, m in enumerate(decontaminate.MASKS))}]) AS seed
+    FROM (SELECT item_id, ts, unnest(range(len(ts) - {len(decontaminate.MASKS[0]) - 1})) AS pos FROM items)),
+aligned AS (
+    SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS shift
+    FROM doc_seeds d JOIN item_seeds i ON d.seed = i.seed),
+compared AS (
+    SELECT a.doc_id, a.item_id, a.shift, len(i.ts) AS item_tokens, least(len(i.ts), {decontaminate.STRETCH_TOKENS}) AS width,
+           [CASE WHEN shift + k >= 0 AND d.ts[shift + k + 1] = i.ts[k + 1] THEN 1 ELSE 0 END FOR k IN range(len(i.ts))] AS eq
+    FROM aligned a JOIN docs d USING (doc_id) JOIN items i USING (item_id)),
+measured AS (
+    SELECT *, list_sum(eq) AS matched,
+           list_max([list_sum(eq[s + 1:s + width]) FOR s IN range(item_tokens - width + 1)]) AS best_stretch
+    FROM compared),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_stretch DESC, matched DESC, shift) AS nth
+    FROM measured WHERE best_stretch >= {decontaminate.SIMILARITY} * width)
+SELECT doc_id, item_id, item_tokens, shift AS "offset", matched, best_stretch FROM ranked WHERE nth = 1
+"""
+
+
+@query("op3_decontamination", DECONTAMINATE_SQL)
+def op3_decontamination(t: Tables) -> DataFrame:
+    return decontaminate.contaminated(t.documents, t.benchmark).drop("row")
+
+
+@query("op8_simhash")
+def op8_simhash(t: Tables) -> DataFrame:
+    return simhash.near_duplicates(t.documents)
+
+
 @query("op9_packing")
 def op9_packing(t: Tables) -> DataFrame:
     placed = packing.pack(t.documents, VOCABULARY, with_ids=False)
