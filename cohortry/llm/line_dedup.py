@@ -83,3 +83,12 @@ def remove_repeated_lines(
     }
     kept = [text.alias(c) if c == text_column else F.col(c) for c in names]
     return joined.select(*kept, *(v.alias(k) for k, v in counts.items()))
+
+
+def with_lines_removed(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n_chars: str | None = None
+) -> DataFrame:
+    """``docs`` with the cut texts and its own columns only; the column ``n_chars``, if named, counts the new text."""
+    cut = remove_repeated_lines(docs, id_column, text_column)
+    kept = [F.length(text_column).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
+    return cut.select(*kept)

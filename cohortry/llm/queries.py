@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, line_dedup, packing, simhash
+from cohortry.llm import decontaminate, line_dedup, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op9_packing(t: Tables) -> DataFrame:
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op10_toxicity")
+def op10_toxicity(t: Tables) -> DataFrame:
+    return toxicity.toxicity(t.documents, t.labels)

@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from cohortry.llm.common import in_tasks, stored, text_or_empty
+from cohortry.llm.common import fresh, in_tasks, stored, text_or_empty
 from cohortry.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -225,6 +226,17 @@ def near_links(prints: DataFrame, most: int = MAX_DIFFERENCES) -> DataFrame:
     return in_tasks(gathered, partial(link_nodes, most=most), "a long, b long").distinct()
 
 
+def print_components(prints: DataFrame, id_column: str, most: int) -> DataFrame:
+    """(print, component_id): for each distinct fingerprint the smallest id reachable from it."""
+    classes = stored(prints.groupBy("print").agg(F.min(id_column).alias("least")), "classes")
+    groups = components(near_links(classes.select("print"), most))
+    grouped = classes.join(groups, classes["print"] == groups["node"])
+    roots = grouped.groupBy("root").agg(F.min("least").alias("component"))
+    named = grouped.join(roots, "root").select("print", "component")
+    every = classes.join(named, "print", "left")
+    return every.select("print", F.coalesce("component", "least").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MAX_DIFFERENCES
 ) -> DataFrame:
@@ -236,12 +248,34 @@ def near_duplicates(
     which makes it null. An empty table gives no rows. Further columns are ignored.
     """
     marked = stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = stored(marked.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    groups = components(near_links(classes.select("print"), most))
-    grouped = classes.join(groups, classes["print"] == groups["node"])
-    roots = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    named = grouped.join(roots, "root").select("print", "component")
-    every = classes.join(named, "print", "left").select("print", F.coalesce("component", "least").alias("component_id"))
+    every = print_components(marked, "doc_id", most)
     return marked.join(every, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = MAX_DIFFERENCES
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near-duplicates, with all their columns.
+
+    Of several rows with that id one stays, by a hash of all columns; of rows alike in every column one stays as
+    well. Groups whose ids are all null keep one row. Fingerprints are computed once, and the rows meet them again
+    by id and hash.
+    """
+    row, kept_id, kept_row = (fresh(docs.columns, n) for n in ("row", "kept_id", "kept_row"))
+    whole = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)))
+    key = F.struct(F.col(id_column).cast("long").alias("id"), whole.alias("row"))
+    source = docs.select(key.alias("doc_id"), text_or_empty(text_column).alias("text"))
+    schema = "doc_id struct<id: long, row: long>, print long"
+    marked = stored(in_tasks(source, add_fingerprints, schema), "fingerprints").select("doc_id.*", "print")
+    named = marked.join(print_components(marked, "id", most), "print")
+    named = named.select("component_id", F.struct(F.col("id").isNull().alias("unnamed"), "id", "row").alias("key"))
+    best = named.groupBy("component_id").agg(F.min("key").alias("key")).select("key.id", "key.row")
+    best = stored(best.select(F.col("id").alias(kept_id), F.col("row").alias(kept_row)), "best")
+    same = F.col(id_column).eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_row))
+    chosen = docs.withColumn(row, whole).join(best, same, "left_semi")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if not several.isEmpty():  # rows alike in every column
+        chosen = chosen.dropDuplicates([id_column, row])
+    return chosen.drop(row)
