@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from cohortry.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +92,17 @@ def op3_decontamination(t: Tables) -> DataFrame:
     return decontaminate.contaminated(t.documents, t.benchmark).drop("row")
 
 
+@query("op7_pii")
+def op7_pii(t: Tables) -> DataFrame:
+    found = pii.personal_data(t.documents)
+    return found.select(
+        "doc_id",
+        *(f"n_{k}" for k in pii.KINDS),
+        F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op8_simhash")
 def op8_simhash(t: Tables) -> DataFrame:
     return simhash.near_duplicates(t.documents)
