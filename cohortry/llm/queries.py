@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity
+from cohortry.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,25 @@ def op3_decontamination(t: Tables) -> DataFrame:
     return decontaminate.contaminated(t.documents, t.benchmark).drop("row")
 
 
+WARC_SQL = """
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+sized AS (SELECT *, octet_length(encode(html)) AS n FROM pages_),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM sized)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM ranked
+"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4_warc(t: Tables) -> DataFrame:
+    folder, index = warc.write_warc(t.pages)
+    return warc.read_warc(folder, index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op7_pii")
 def op7_pii(t: Tables) -> DataFrame:
     found = pii.personal_data(t.documents)
