@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, line_dedup, packing, pii, simhash, toxicity, warc
+from cohortry.llm import decontaminate, html_template, line_dedup, packing, pii, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_html_text")
+def op1_html_text(t: Tables) -> DataFrame:
+    return html_template.extract_text(t.pages)
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 placed AS (SELECT doc_id, ls, unnest(range(len(ls) - 2)) AS pos FROM lines),
