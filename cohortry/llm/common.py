@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import cohortry
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which every key of column 0 (a long, sorted) has all its rows.
+
+    Holds the rows of one key besides the batch at hand.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # where the last key of the batch begins
+        if held and (cut or held[-1].column(0)[-1].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place of every run of equal keys, the end exclusive."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, with underscores added until no column of ``taken`` has it (Spark ignores case)."""
     names = {t.lower() for t in taken}

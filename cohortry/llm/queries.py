@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, html_template, line_dedup, packing, pii, simhash, toxicity, warc
+from cohortry.llm import decontaminate, html_template, line_dedup, nn_descent, packing, pii, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +116,28 @@ def op4_warc(t: Tables) -> DataFrame:
     )
 
 
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE units AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counted USING (vec_id)
+"""
+
+
+@query("op6_near_vectors", NEAR_VECTORS_SQL)
+def op6_near_vectors(t: Tables) -> DataFrame:
+    return nn_descent.near_vectors(t.embeddings)
+
+
 @query("op7_pii")
 def op7_pii(t: Tables) -> DataFrame:
     found = pii.personal_data(t.documents)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from cohortry.llm.common import fresh, in_tasks, stored, text_or_empty
+from cohortry.llm.common import bounds, fresh, in_tasks, stored, text_or_empty, whole_groups
 from cohortry.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -152,42 +152,18 @@ def spanning_links(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarra
 
 
 def link_nodes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Search each upper node (rows with one key, which lie together) and yield links a, b.
-
-    Holds one node at a time besides the batch at hand.
-    """
-
-    def linked(keys: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ends = np.append(starts[1:], len(keys))
-        several = ends - starts > 1
-        a, b = [], []
-        for start, end in zip(starts[several], ends[several], strict=True):
-            x, y = spanning_links(prints[start:end], most)
-            a.append(x)
-            b.append(y)
-        if a:
-            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)]
+    """Search each upper node (rows with one key, which lie together) and yield links a, b."""
+    for table in whole_groups(batches):
+        prints = table.column(1).to_numpy().view(np.uint64)
+        found = [
+            spanning_links(prints[start:end], most)
+            for start, end in bounds(table.column(0).to_numpy())
+            if end - start > 1
+        ]
+        if found:
+            columns = [pa.array(np.concatenate(side).view(np.int64)) for side in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    held_keys, held_prints = [], []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch.column(0).to_numpy()
-        prints = batch.column(1).to_numpy().view(np.uint64)
-        cut = int(np.searchsorted(keys, keys[-1]))  # where the last node of the batch begins
-        if cut:
-            yield from linked(np.concatenate([*held_keys, keys[:cut]]), np.concatenate([*held_prints, prints[:cut]]))
-            held_keys, held_prints = [], []
-        elif held_keys and held_keys[-1][-1] != keys[0]:
-            yield from linked(np.concatenate(held_keys), np.concatenate(held_prints))
-            held_keys, held_prints = [], []
-        held_keys.append(keys[cut:])
-        held_prints.append(prints[cut:])
-    if held_keys:
-        yield from linked(np.concatenate(held_keys), np.concatenate(held_prints))
-
 
 def upper_nodes(prints: DataFrame, tile_members: int = TILE_MEMBERS) -> DataFrame:
     """(node, print): a fingerprint below each of its upper nodes; large nodes as pairs of tiles."""
