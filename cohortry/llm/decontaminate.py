@@ -27,12 +27,12 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(sequences: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, at, seed): a hash per mask and place of the array ``tokens``."""
+    """(*keys, at, seed): a hash per mask and place of the array ``tokens``; none for less than a span."""
     span = len(MASKS[0])
-    long_enough = sequences.where(F.size("tokens") >= span)
-    placed = long_enough.select(
-        *keys, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - span)).alias("at")
-    )
+    last = F.size("tokens") - span
+    placed = sequences.select(*keys, "tokens", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    # the sequence runs downwards from 0 for a short text
+    placed = placed.where((F.col("at") >= 0) & (F.col("at") + span <= F.size("tokens")))
     hashes = [
         F.xxhash64(F.lit(number), *(F.get("tokens", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"))
         for number, mask in enumerate(MASKS)
@@ -75,27 +75,26 @@ def contaminated(
     alignments = hits.select("id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     alignments = checked_broadcast(alignments.join(items, "item_id"))
     same = texts["id"].eqNullSafe(alignments["id"]) & (texts["row"] == alignments["row"])
-    aligned = texts.join(alignments, same).select(
-        texts["id"], texts["row"], "item_id", "item", "offset", tokens(F.col("text")).alias("tokens")
+    words = tokens(F.col("text"))
+    begin = F.greatest(F.col("offset"), F.lit(0))
+    part = F.slice(words, begin + 1, F.size("item") + F.least(F.col("offset"), F.lit(0)))
+    # written, so that the text is split once and not again for every word that is compared
+    aligned = stored(
+        texts.join(alignments, same).select(texts["id"], texts["row"], "item_id", "item", "offset", part.alias("part")),
+        "aligned",
     )
     length = F.size("item")
     width = F.least(length, F.lit(STRETCH_TOKENS))
+    missing = F.greatest(-F.col("offset"), F.lit(0))
     equal = F.transform(
-        "item", lambda word, k: F.coalesce(F.get("tokens", F.col("offset") + k) == word, F.lit(False)).cast("int")
+        "item", lambda word, k: F.coalesce(F.get("part", k - missing) == word, F.lit(False)).cast("int")
     )
     total = lambda values: F.aggregate(values, F.lit(0), lambda n, x: n + x)
+    stretches = F.transform(F.sequence(F.lit(1), length - width + 1), lambda first: total(F.slice(equal, first, width)))
     measured = aligned.select(
-        "id", "row", "item_id", "offset", length.alias("item_tokens"), width.alias("width"), equal.alias("equal")
-    ).withColumn("matched", total(F.col("equal")))
-    measured = measured.withColumn(
-        "best_stretch",
-        F.array_max(
-            F.transform(
-                F.sequence(F.lit(1), F.col("item_tokens") - F.col("width") + 1),
-                lambda first: total(F.slice("equal", first, F.col("width"))),
-            )
-        ),
-    )
+        "id", "row", "item_id", "offset", length.alias("item_tokens"), width.alias("width"),
+        total(equal).alias("matched"), F.array_max(stretches).alias("best_stretch"),
+    )
     close = measured.where(F.col("best_stretch") >= F.col("width") * SIMILARITY)
     best = close.groupBy("id", "row", "item_id", "item_tokens").agg(
         F.max(F.struct("best_stretch", "matched", (-F.col("offset")).alias("back"))).alias("best")
