@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, html_template, line_dedup, nn_descent, packing, pii, simhash, toxicity, warc
+from cohortry.llm import decontaminate, html_template, line_dedup, nn_descent, packing, pii, simhash, toxicity, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +116,15 @@ def op4_warc(t: Tables) -> DataFrame:
     )
 
 
+TRAINING_KEY = "epoch-0"
+
+
+@query("op5_training_order")
+def op5_training_order(t: Tables) -> DataFrame:
+    _, slots = training_order.materialise_order(t.documents, VOCABULARY, TRAINING_KEY)
+    return slots.drop("attempt")
+
+
 NEAR_VECTORS_SQL = """
 WITH RECURSIVE units AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
