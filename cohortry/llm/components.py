@@ -9,15 +9,16 @@ from cohortry.llm.common import stored
 
 
 def _star(links: DataFrame) -> DataFrame:
-    """Point every node's larger neighbours, and the node itself, at the smallest node around it.
+    """Point every node and all its neighbours at the smallest node around it.
 
-    The neighbours of a node are never gathered: their minimum is a combined aggregate that is joined back.
+    The neighbours of a node are never gathered: their minimum is a combined aggregate that is joined back. When
+    nothing changes any more, every node is linked to the smallest of its component and to nothing else.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-    larger = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b"), F.col("least").alias("a"))
-    own = least.where(F.col("least") < F.col("a")).select(F.col("a").alias("b"), F.col("least").alias("a"))
-    return larger.unionByName(own).select("a", "b").distinct()
+    around = both.join(least, "a").select(F.col("least").alias("a"), "b")
+    own = least.select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return around.unionByName(own).where(F.col("a") != F.col("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
