@@ -7,10 +7,12 @@ analysis itself is written twice, with the operators and as oracle SQL.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import query
-from cohortry.catalog.statistics import BOX_COLUMNS, _rounded_box_sql, box_sql, label_sql, rank_sum_sql, upper_tail_sql
+from cohortry.catalog.statistics import BOX_COLUMNS, _rounded_box_sql, box_sql, label_sql, rank_sum_sql, t975_sql, upper_tail_sql
 from cohortry.operators import sets as U
 from cohortry.plans import tumour_cohort as P
 from cohortry.session import materialise
@@ -553,6 +555,67 @@ def cohort_report(t):
     )
 
 
+def _cohort_density_sql() -> str:
+    ctes, parts = [], []
+    for i, (metric, scope, source, *_rest) in enumerate(_comparison_sources()):
+        ctes.append(f"src{i} AS MATERIALIZED ({source})")
+        parts.append(f"SELECT {i} AS comparison, '{metric}' AS metric, '{scope}' AS scope, cls AS class, v FROM src{i}")
+    keys = "comparison, metric, scope, class"
+    steps = [
+        f"""all_rows AS MATERIALIZED ({" UNION ALL ".join(parts)})""",
+        f"""spread AS (SELECT {keys}, count(*) AS n, min(v) AS lo, max(v) AS hi, coalesce(stddev_samp(v), 0) AS sd,
+                   quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM all_rows GROUP BY {keys} HAVING count(*) > 1)""",
+        """width AS (SELECT *, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd
+                             WHEN lo <> 0 THEN abs(lo) ELSE 1 END * pow(n, -0.2) AS bw, (hi - lo) / 511.0 AS w FROM spread)""",
+        f"""placed AS (SELECT {keys}, CASE WHEN w > 0 THEN (v - lo) / w ELSE 0 END AS place,
+                   least(floor(CASE WHEN w > 0 THEN (v - lo) / w ELSE 0 END), 510) AS node FROM all_rows JOIN width USING ({keys}))""",
+        f"""nodes AS (SELECT {keys}, node, sum(weight) AS weight FROM (
+                   SELECT {keys}, node, 1 - (place - node) AS weight FROM placed
+                   UNION ALL SELECT {keys}, node + 1, place - node FROM placed) GROUP BY {keys}, node HAVING sum(weight) > 0)""",
+    ]
+    last = f"""
+        SELECT {keys}, point, round(any_value(lo + point * w), 6) AS x,
+               round(sum(weight * exp(-pow((lo + point * w - (lo + node * w)) / bw, 2) / 2) / (n * bw * {math.sqrt(2 * math.pi)!r})), 6)
+               AS density
+        FROM nodes JOIN width USING ({keys}), (SELECT unnest(range(512)) AS point) GROUP BY {keys}, point
+    """
+    return with_sql(*_ANNOTATED, *_MEASURES, *ctes, *steps, last=last)
+
+
+@query("cohort_density", _cohort_density_sql())
+def cohort_density(t):
+    x, annotated = annotated_cohort(t)
+    density = P.cohort_density(materialise(P.measured_samples(annotated, x)))
+    return density.select(
+        "comparison", "metric", "scope", "class", "point", F.round("x", 6).alias("x"), F.round("density", 6).alias("density")
+    )
+
+
+def _fit_band_sql(y: str) -> str:
+    return f"""
+        SELECT 'NtAI ~ {y}' AS pair, point, round(place, 6) AS x, round(fit, 6) AS fit, round(fit - half, 6) AS lower,
+               round(fit + half, 6) AS upper
+        FROM (SELECT *, intercept + slope * place AS fit,
+                     {t975_sql('(n - 2)')} * sigma * sqrt(1.0 / n + (place - mx) * (place - mx) / sxx) AS half
+        FROM (SELECT *, lo + point * (hi - lo) / 79.0 AS place, sqrt(greatest(0, syy - slope * slope * sxx) / (n - 2)) AS sigma
+        FROM (SELECT regr_count({y}, NtAI) AS n, regr_slope({y}, NtAI) AS slope, regr_intercept({y}, NtAI) AS intercept,
+                     regr_avgx({y}, NtAI) AS mx, regr_sxx({y}, NtAI) AS sxx, regr_syy({y}, NtAI) AS syy,
+                     min(NtAI) AS lo, max(NtAI) AS hi
+              FROM measured WHERE NtAI IS NOT NULL AND LST IS NOT NULL AND HRD_LOH IS NOT NULL),
+             (SELECT CAST(unnest(range(80)) AS INTEGER) AS point)))
+    """
+
+
+@query(
+    "cohort_scar_fit",
+    with_sql(*_ANNOTATED, *_MEASURES, last=f"{_fit_band_sql('LST')} UNION ALL {_fit_band_sql('HRD_LOH')}"),
+)
+def cohort_scar_fit(t):
+    x, annotated = annotated_cohort(t)
+    bands = P.scar_fits(materialise(P.measured_samples(annotated, x)))
+    return bands.select("pair", "point", *(F.round(c, 6).alias(c) for c in ("x", "fit", "lower", "upper")))
+
+
 def _correlation_sql(x: str, y: str) -> str:
     return f"""
         SELECT 'NtAI ~ {y}' AS pair, n, round(rho, 6) AS rho, round(t, 6) AS t, round(2.0 * {upper_tail_sql('dev')}, 6) AS p_value

@@ -496,3 +496,89 @@ def lasso_score(t):
     fit = M.fit_lasso_cv(train, DOCUMENT_FEATURES, key="doc_id")
     scored = M.score(fit, documents, "doc_id", exclude=train)
     return M.ranked_scores(scored, "doc_id").select("doc_id", "score", "position")
+
+
+# --- the classifier at fixed coefficients, which SQL can follow step by step
+
+_FOLDS = 5
+_BETA = (0.2, 0.4, -0.3, 0.1, -0.2)  # per standardised feature
+
+_STANDARD_SQL = f"""
+    WITH f AS ({DOCUMENT_FEATURES_SQL}),
+    known AS (SELECT doc_id, 1 - CAST(quality AS INT) AS label, {", ".join(DOCUMENT_FEATURES)} FROM f WHERE quality IS NOT NULL),
+    moments AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in DOCUMENT_FEATURES)} FROM known)
+    SELECT doc_id, label, CAST(('0x' || md5('12345|' || CAST(doc_id AS VARCHAR))[1:8]) AS BIGINT) % {_FOLDS} AS fold,
+           {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in DOCUMENT_FEATURES)}
+    FROM known, moments
+"""
+
+
+def _known_documents(t):
+    known = document_features(t).where(F.col("quality").isNotNull())
+    return known.withColumn("label", 1 - F.col("quality").cast("int"))
+
+
+@query(
+    "lasso_path",
+    f"""
+    SELECT CAST(step AS INT) AS step, round(top * exp(ln(0.0001) * step / 19.0), 9) AS penalty
+    FROM (SELECT greatest({", ".join(f"abs(covar_pop({c}, label)) / stddev_pop({c})" for c in DOCUMENT_FEATURES)}) AS top
+          FROM (SELECT *, 1 - CAST(quality AS INT) AS label FROM ({DOCUMENT_FEATURES_SQL}) WHERE quality IS NOT NULL)),
+         (SELECT unnest(range(20)) AS step)
+    """,
+)
+def lasso_path(t):
+    path = M.lambda_path(_known_documents(t), DOCUMENT_FEATURES, "label", 20)
+    return t.spark.createDataFrame(list(enumerate(path)), "step int, penalty double").withColumn("penalty", F.round("penalty", 9))
+
+
+@query(
+    "lasso_sums",
+    f"""
+    WITH s AS (SELECT *, {" + ".join(f"{b} * {c}" for b, c in zip(_BETA, DOCUMENT_FEATURES))} AS margin FROM ({_STANDARD_SQL})),
+    p AS (SELECT *, 1 / (1 + exp(-margin)) AS p FROM s),
+    problems AS (SELECT unnest(range(-1, {_FOLDS})) AS held_out)
+    SELECT CAST(held_out AS INT) AS held_out, count(*) FILTER (fold <> held_out) AS n,
+           {", ".join(f"round(sum((label - p) * {c}) FILTER (fold <> held_out) / 1000, 6) AS gradient_{c}" for c in DOCUMENT_FEATURES)},
+           {", ".join(f"round(sum(p * (1 - p) * {c} * {c}) FILTER (fold <> held_out) / 1000, 6) AS curvature_{c}" for c in DOCUMENT_FEATURES)},
+           round(2 * sum(greatest(margin, 0) + ln(1 + exp(-abs(margin))) - label * margin) FILTER (fold <> held_out) / 1000, 6) AS deviance,
+           round(coalesce(2 * sum(greatest(margin, 0) + ln(1 + exp(-abs(margin))) - label * margin) FILTER (fold = held_out), 0) / 1000, 6)
+           AS held_deviance
+    FROM p, problems GROUP BY held_out
+    """,
+)
+def lasso_sums(t):
+    known = _known_documents(t).withColumn("fold", M.fold_of("doc_id", 12345, _FOLDS).cast("int"))
+    scaled = known.agg(*(g(c).alias(f"{n}_{c}") for c in DOCUMENT_FEATURES for n, g in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    table = known.select(
+        F.col("label").cast("double").alias("label"),
+        "fold",
+        *(((F.col(c) - scaled[f"m_{c}"]) / F.lit(scaled[f"s_{c}"])).alias(c) for c in DOCUMENT_FEATURES),
+    )
+    sums = M.problem_sums(table, [(0.0, *_BETA)] * (_FOLDS + 1), list(range(-1, _FOLDS)))
+    thousandth = lambda name: F.round(F.col(name) / 1000, 6).alias(name)
+    renamed = sums.select(
+        "held_out", F.col("n").cast("bigint").alias("n"),
+        *(F.col("gradient")[i + 1].alias(f"gradient_{c}") for i, c in enumerate(DOCUMENT_FEATURES)),
+        *(F.col("curvature")[i + 1].alias(f"curvature_{c}") for i, c in enumerate(DOCUMENT_FEATURES)),
+        "deviance", "held_deviance",
+    )
+    return renamed.select("held_out", "n", *(thousandth(c) for c in renamed.columns[2:]))
+
+
+@query(
+    "score_fixed",
+    f"""
+    WITH f AS ({DOCUMENT_FEATURES_SQL}), rest AS (SELECT * FROM f WHERE doc_id % 7 <> 0),
+    scored AS (
+        SELECT doc_id, round(1 / (1 + exp(-(0.5 + {" + ".join(
+            f"{b} * ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for b, c in zip(_BETA, DOCUMENT_FEATURES))}))), 9) AS score
+        FROM rest)
+    SELECT doc_id, score, row_number() OVER (ORDER BY score, doc_id) AS position FROM scored
+    """,
+)
+def score_fixed(t):
+    documents = materialise(document_features(t))
+    fit = M.LassoFit(tuple(DOCUMENT_FEATURES), (), (), 0.0, 0.5, _BETA)
+    scored = M.score(fit, documents, "doc_id", exclude=documents.where("doc_id % 7 = 0"))
+    return M.ranked_scores(scored.withColumn("score", F.round("score", 9)), "doc_id").select("doc_id", "score", "position")

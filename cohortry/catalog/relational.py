@@ -14,7 +14,7 @@ from cohortry.operators import joins as J
 from cohortry.operators import rules as R
 from cohortry.operators import sets as U
 from cohortry.session import scratch_path
-from cohortry.sources.delimited import read_delimited, write_delimited
+from cohortry.sources.delimited import read_delimited, write_delimited, write_report
 
 SEGMENTS = ["MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]
 
@@ -353,6 +353,47 @@ def anti_join(t):
     return J.anti_join(t.orders.select("o_orderkey", "o_orderstatus"), lines, "o_orderkey")
 
 
+_WITH_NULL_KEYS = "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders"
+_STATUSES = "SELECT DISTINCT nullif(l_linestatus, 'O') AS status FROM lineitem"
+
+
+def _null_key_tables(t):
+    orders = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+    return orders, t.lineitem.select(F.nullif("l_linestatus", F.lit("O")).alias("status"))
+
+
+@query(
+    "semi_join_null_keys",
+    f"SELECT * FROM ({_WITH_NULL_KEYS}) o WHERE EXISTS (SELECT 1 FROM ({_STATUSES}) l WHERE l.status IS NOT DISTINCT FROM o.status)",
+)
+def semi_join_null_keys(t):
+    return J.semi_join(*_null_key_tables(t), "status", null_safe=True)
+
+
+@query(
+    "anti_join_null_keys",
+    f"SELECT * FROM ({_WITH_NULL_KEYS}) o WHERE NOT EXISTS (SELECT 1 FROM ({_STATUSES}) l WHERE l.status IS NOT DISTINCT FROM o.status)",
+)
+def anti_join_null_keys(t):
+    return J.anti_join(*_null_key_tables(t), "status", null_safe=True)
+
+
+@query(
+    "report_roundtrip",
+    """
+    SELECT c_mktsegment AS metric, c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS mean
+    FROM customer GROUP BY ALL
+    """,
+)
+def report_roundtrip(t):
+    table = t.customer.groupBy(F.col("c_mktsegment").alias("metric"), "c_nationkey").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean")
+    )
+    path = scratch_path(t.spark, "report")
+    write_report(table, path)
+    return t.spark.read.parquet(path).select("metric", "c_nationkey", "n", "mean")
+
+
 @query(
     "contains_join",
     """

@@ -93,6 +93,37 @@ def rank_sum_ties(t):
     return _rounded_tests(tests, "l_returnflag")
 
 
+# all ways to choose the class's ranks among the pooled ones, by a recursive count of rank sums
+_EXACT_SQL = """
+    WITH RECURSIVE source AS (
+        SELECT n_regionkey AS cls, ((n_nationkey * 7919) % 1009) * 1.0 AS v FROM nation),
+    pairs AS (
+        SELECT a.cls, count(*) FILTER (a.v > b.v) AS u FROM source a JOIN source b ON a.cls <> 0 AND b.cls = 0 GROUP BY 1),
+    sizes AS (
+        SELECT cls, count(*) AS n, (SELECT count(*) FROM source WHERE cls = 0) AS n_ref FROM source WHERE cls <> 0 GROUP BY 1),
+    ways(cls, place, chosen, below, w) AS (
+        SELECT cls, 0, 0, 0, 1::DOUBLE FROM sizes
+        UNION ALL
+        SELECT cls, place, chosen, below, sum(w) FROM (
+            SELECT w.cls, place + 1 AS place, chosen + pick AS chosen,
+                   below + CASE WHEN pick = 1 THEN place - chosen ELSE 0 END AS below, w
+            FROM ways w JOIN sizes USING (cls), (SELECT unnest([0, 1]) AS pick)
+            WHERE place < n + n_ref AND chosen + pick <= n AND place + 1 - chosen - pick <= n_ref)
+        GROUP BY ALL)
+    SELECT s.cls AS n_regionkey, s.n, s.n_ref, CAST(p.u AS DOUBLE) AS u,
+           round(sum(w) FILTER (below >= p.u) / sum(w), 9) AS p_value
+    FROM ways JOIN sizes s USING (cls) JOIN pairs p USING (cls)
+    WHERE place = s.n + s.n_ref AND chosen = s.n GROUP BY ALL
+"""
+
+
+@query("rank_sum_exact", _EXACT_SQL)
+def rank_sum_exact(t):
+    spread = (F.col("n_nationkey") * 7919 % 1009).cast("double")  # tie-free
+    tests = T.rank_sum_vs_ref(t.nation.withColumn("v", spread), "n_regionkey", "v", 0, method="exact")
+    return tests.select("n_regionkey", "n", "n_ref", "u", F.round("p_value", 9).alias("p_value"))
+
+
 _T_TAIL_SQL = f"""
     2.0 * {upper_tail_sql('dev')}
 """
@@ -145,7 +176,7 @@ def linear_fit(t):
     return fit.select("l_returnflag", "n", *(F.round(c, d).alias(c) for c, d in digits.items()))
 
 
-def _t975_sql(v: str) -> str:
+def t975_sql(v: str) -> str:
     z = Z_975
     terms = [
         (z**3 + z) / 4,
@@ -161,13 +192,13 @@ def _t975_sql(v: str) -> str:
     f"""
     SELECT l_returnflag, point, round(x, 6) AS x, round(y, 3) AS fit, round(y - half, 3) AS lower, round(y + half, 3) AS upper
     FROM (SELECT *, intercept + slope * x AS y,
-                 {_t975_sql('(n - 2)')} * sigma * sqrt(1.0 / n + (x - mean_x) * (x - mean_x) / sxx) AS half
-          FROM (SELECT *, min_x + point * (max_x - min_x) / 15.0 AS x
-                FROM ({LINEAR_FIT_SQL}), (SELECT CAST(unnest(range(16)) AS INTEGER) AS point)))
+                 {t975_sql('(n - 2)')} * sigma * sqrt(1.0 / n + (x - mean_x) * (x - mean_x) / sxx) AS half
+          FROM (SELECT *, min_x + point * (max_x - min_x) / 79.0 AS x
+                FROM ({LINEAR_FIT_SQL}), (SELECT CAST(unnest(range(80)) AS INTEGER) AS point)))
     """,
 )
 def linear_fit_band(t):
-    band = T.linear_fit_band(t.lineitem, "l_quantity", "l_extendedprice", 16, "l_returnflag")
+    band = T.linear_fit_band(t.lineitem, "l_quantity", "l_extendedprice", by="l_returnflag")
     return band.select(
         "l_returnflag", "point", F.round("x", 6).alias("x"), *(F.round(c, 3).alias(c) for c in ("fit", "lower", "upper"))
     )
@@ -220,12 +251,12 @@ _DENSITY_SQL = f"""
     WITH rows_ AS (SELECT p_type, p_retailprice AS v FROM part),
     s AS (SELECT p_type, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd,
                  quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM rows_ GROUP BY 1),
-    b AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS bw, (hi - lo) / 63.0 AS w, (hi - lo) / 31.0 AS g FROM s),
-    placed AS (SELECT p_type, (v - lo) / w AS place, least(floor((v - lo) / w), 62) AS node FROM rows_ JOIN b USING (p_type)),
+    b AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS bw, (hi - lo) / 511.0 AS w, (hi - lo) / 511.0 AS g FROM s),
+    placed AS (SELECT p_type, (v - lo) / w AS place, least(floor((v - lo) / w), 510) AS node FROM rows_ JOIN b USING (p_type)),
     halves AS (SELECT p_type, node, 1 - (place - node) AS weight FROM placed
                UNION ALL SELECT p_type, node + 1, place - node FROM placed),
     nodes AS (SELECT p_type, node, sum(weight) AS weight FROM halves GROUP BY 1, 2),
-    grid AS (SELECT unnest(range(32)) AS point)
+    grid AS (SELECT unnest(range(512)) AS point)
     SELECT p_type, point, round(any_value(lo + point * g), 6) AS x,
            round(1000 * sum(weight * exp(-pow((lo + point * g - (lo + node * w)) / bw, 2) / 2)
                             / (n * bw * {math.sqrt(2 * math.pi)!r})), 6) AS density_per_mille
@@ -235,7 +266,7 @@ _DENSITY_SQL = f"""
 
 @query("density_profile", _DENSITY_SQL)
 def density_profile(t):
-    profile = T.density_profile(t.part, "p_type", "p_retailprice", n_grid=32, n_bins=64)
+    profile = T.density_profile(t.part, "p_type", "p_retailprice")
     return profile.select(
         "p_type", "point", F.round("x", 6).alias("x"), F.round(F.col("density") * 1000, 6).alias("density_per_mille")
     )

@@ -33,14 +33,21 @@ def sum_by(
 
 
 def category_scores(
-    df: DataFrame, key, category: str, value: str, groups: Mapping[str, Sequence[str]]
+    df: DataFrame, key, category: str, value: str, groups: Mapping[str, Sequence[str]], na_strict: bool = False
 ) -> DataFrame:
     """One named sum per set of categories, all in a single pass.
 
-    Entities with no row in any set are absent; a set an entity lacks is NULL.
+    Entities with no row in any set are absent; a set an entity lacks is NULL.  With
+    ``na_strict``, so is the sum of a set in which a value is NULL.
     """
     wanted = sorted({c for members in groups.values() for c in members})
-    sums = [F.sum(F.when(F.col(category).isin(list(m)), F.col(value))).alias(name) for name, m in groups.items()]
+    sums = []
+    for name, members in groups.items():
+        inside = F.col(category).isin(list(members))
+        total = F.sum(F.when(inside, F.col(value)))
+        if na_strict:
+            total = F.when(F.count_if(inside & F.col(value).isNull()) == 0, total)
+        sums.append(total.alias(name))
     return df.where(F.col(category).isin(wanted)).groupBy(*_keys(key)).agg(*sums)
 
 
@@ -66,16 +73,23 @@ def event_counts(
     return entities.join(counts, key, "left").fillna(0, subset=list(hits))
 
 
+def first_texts(df: DataFrame, key, value: str, order: ColumnLike) -> DataFrame:
+    """(key, text, first): the distinct texts of a group with the order in which they first occur."""
+    text = F.coalesce(F.col(value).cast("string"), F.lit("NA"))
+    return df.groupBy(*_keys(key), text.alias("text")).agg(F.min(as_column(order)).alias("first"))
+
+
 def concat_by(
     df: DataFrame, key, value: str, order: ColumnLike, out: str | None = None, sep: str = ","
 ) -> DataFrame:
     """Distinct texts of a group joined in first-seen order.
 
     Duplicates collapse on the map side first, so a group gathers its distinct texts only.
+    The result is one text per group, so a group's distinct texts must fit one row; keep the
+    (group, text, first order) rows of :func:`first_texts` where they may not.
     """
     keys = _keys(key)
-    text = F.coalesce(F.col(value).cast("string"), F.lit("NA"))
-    firsts = df.groupBy(*keys, text.alias("__text")).agg(F.min(as_column(order)).alias("__order"))
+    firsts = first_texts(df, keys, value, order).withColumnsRenamed({"text": "__text", "first": "__order"})
     ordered = F.array_sort(F.collect_list(F.struct("__order", "__text")))
     return firsts.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda x: x["__text"]), sep).alias(out or value)

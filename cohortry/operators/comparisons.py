@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -24,10 +23,9 @@ from cohortry.operators.joins import attach_aggregate, equi_join
 from cohortry.operators.ranking import histogram, quantiles_of_blocks, running_total, value_blocks
 from cohortry.session import materialise
 
-EXACT_BELOW = 50  # both classes smaller than this and no ties: exact p-value
 BOX_PROBS = (0.25, 0.5, 0.75)
 BOX_NAMES = ("q1", "median", "q3")
-KERNEL_REACH = 8.0  # in bandwidths; exp(-32) is below double rounding of any density
+KERNEL_REACH = 39.0  # in bandwidths; exp(-39 * 39 / 2) is zero in double precision, so nothing is cut off
 
 
 def _list(x) -> list:
@@ -38,7 +36,7 @@ def _list(x) -> list:
 
 @F.pandas_udf(DoubleType())
 def _exact_upper_tail(u: pd.Series, m: pd.Series, r: pd.Series) -> pd.Series:
-    """P(U >= u) by counting rank arrangements; called on small, tie-free classes only."""
+    """P(U >= u) by counting rank arrangements of tie-free classes; one evaluation per class."""
     out = []
     for ui, mi, ri in zip(u, m, r):
         if pd.isna(ui):
@@ -68,18 +66,13 @@ def _p_value(direction: Column, method: str) -> Column:
     )
     if method == "normal":
         return normal
-    small = (F.col("n") < EXACT_BELOW) & (F.col("n_ref") < EXACT_BELOW) & (F.col("__ties") == 0)
-    # by symmetry P(U <= u) = P(U >= m*r - u); rows outside the exact range pass NULL
+    # by symmetry P(U <= u) = P(U >= m*r - u), and the smaller tail belongs to the larger of the two
     mirrored = F.col("n") * F.col("n_ref") - F.col("u")
-    n, r = F.col("n").cast("double"), F.col("n_ref").cast("double")
-    exact_up = _exact_upper_tail(F.when(small, F.col("u")), n, r)
-    exact_down = _exact_upper_tail(F.when(small, mirrored), n, r)
-    exact = (
-        F.when(direction > 0, exact_up)
-        .when(direction < 0, exact_down)
-        .otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.least(exact_up, exact_down)))
-    )
-    return F.when(small, exact).otherwise(normal)
+    above = F.when(direction > 0, F.col("u")).when(direction < 0, mirrored).otherwise(F.greatest(F.col("u"), mirrored))
+    tied = F.raise_error(F.lit("the exact rank-sum distribution needs samples without ties"))
+    checked = F.when(F.col("__ties") > 0, tied.cast("double")).otherwise(above.cast("double"))
+    tail = _exact_upper_tail(checked, F.col("n").cast("double"), F.col("n_ref").cast("double"))
+    return F.least(F.lit(1.0), F.when(direction == 0, 2.0).otherwise(1.0) * tail)
 
 
 def rank_sum_of_blocks(
@@ -89,7 +82,7 @@ def rank_sum_of_blocks(
     value: str,
     is_ref: Column,
     alternative: Column,
-    method: str = "auto",
+    method: str = "normal",
 ) -> DataFrame:
     """Rank-sum test of every class against the reference class of its comparison.
 
@@ -97,8 +90,8 @@ def rank_sum_of_blocks(
     ``U`` of a class needs only the reference rows below and at each of its values; one
     running total over the reference counts serves all classes at once.
     """
-    if method not in ("auto", "normal"):
-        raise ValueError("method must be 'auto' or 'normal'")
+    if method not in ("exact", "normal"):
+        raise ValueError("method must be 'exact' or 'normal'")
     by = list(by)
     # the direction as a number: a text would rule out hash aggregation below
     direction = F.when(alternative == "greater", F.lit(1)).when(alternative == "less", F.lit(-1)).otherwise(F.lit(0))
@@ -116,14 +109,12 @@ def rank_sum_of_blocks(
         F.sum((joint**3 - joint) - (ref**3 - ref)).alias("__extra_ties"),
         F.sum(n**3 - n).alias("__own_ties"),
     )
-    # one row per class from here on
-    per_comparison = W.partitionBy(*by)
-    ref_ties = F.max(F.when(F.col("__is_ref"), F.col("__own_ties"))).over(per_comparison)
-    tests = (
-        classes.withColumnRenamed("n_rows", "n")
-        .withColumn("__ties", ref_ties + F.col("__extra_ties"))
-        .where(~F.col("__is_ref") & (F.col("n_ref") > 0))
-    )
+    # one row per class from here on; each meets the one reference row of its comparison
+    classes = materialise(classes)
+    reference = classes.where(F.col("__is_ref")).select(*by, F.col("__own_ties").alias("__ref_ties"))
+    others = classes.where(~F.col("__is_ref") & (F.col("n_ref") > 0)).withColumnRenamed("n_rows", "n")
+    met = equi_join(others, reference, by, "inner", null_safe=True) if by else others.crossJoin(F.broadcast(reference))
+    tests = met.withColumn("__ties", F.col("__ref_ties") + F.col("__extra_ties"))
     m, r = F.col("n").cast("double"), F.col("n_ref").cast("double")
     total = m + r
     variance = m * r / 12 * (total + 1 - F.col("__ties") / (total * (total - 1)))
@@ -143,14 +134,15 @@ def rank_sum_vs_ref(
     ref: str,
     alternative: str = "greater",
     by=None,
-    method: str = "auto",
+    method: str = "normal",
     cutpoints=DEFAULT_CUTPOINTS,
 ) -> DataFrame:
     """Wilcoxon rank-sum test of each class against ``ref`` with its significance label.
 
-    ``greater`` asks whether the class lies above the reference.  ``method='auto'`` uses
-    the exact distribution for two small tie-free samples, else the normal approximation
-    with continuity and tie corrections.
+    ``greater`` asks whether the class lies above the reference.  ``method='normal'`` is the
+    normal approximation with continuity and tie corrections; ``'exact'`` counts all rank
+    arrangements, whatever the sizes, and raises on ties.  Its cost is the product of both
+    class sizes squared, so it is for small samples; nothing switches by itself.
     """
     by = _list(by)
     hist = histogram(df.where(F.col(group).isNotNull()), value, [*by, group])
@@ -167,7 +159,7 @@ def box_of_blocks(blocks: DataFrame, by: Sequence[str], value: str) -> DataFrame
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.withColumn("__low", F.col("q1") - 1.5 * spread).withColumn("__high", F.col("q3") + 1.5 * spread)
     inside = (
-        equi_join(blocks.select(*by, value), fences.select(*by, "__low", "__high"), by, "inner", null_safe=True)
+        attach_aggregate(blocks.select(*by, value), fences.select(*by, "__low", "__high"), by)
         .where(F.col(value).between(F.col("__low"), F.col("__high")))
         .groupBy(*by)
         .agg(F.min(value).cast("double").alias("__min"), F.max(value).cast("double").alias("__max"))
@@ -198,17 +190,28 @@ def bandwidth(n: Column, sd: Column, iqr: Column, low: Column) -> Column:
 def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
     """Gaussian kernel density per class on an even grid over the class's data range.
 
-    Values are first shared out linearly over ``n_bins`` even nodes; each node then
-    reaches the grid points within a few bandwidths.  Cost per class is bounded by
-    nodes times grid points, whatever the number of rows.  A class needs two rows.
+    Values are first shared out linearly over ``n_bins`` even nodes; each node then adds to
+    every grid point at which its kernel is not zero in double precision.  Cost per class is
+    bounded by nodes times grid points, whatever the number of rows.  A class with two rows
+    or more has exactly ``n_grid`` rows, with density 0 where nothing reaches.
     """
     by = _list(group)
     v = F.col(value).cast("double")
     rows = df.where(finite(value)).select(*by, v.alias(value))
-    moments = rows.groupBy(*by).agg(
-        F.stddev_samp(value).alias("__sd"), F.min(value).alias("__low"), F.max(value).alias("__high")
+    return density_of_blocks(value_blocks(histogram(rows, value, by, "__rows"), value, by), by, value, n_grid, n_bins)
+
+
+def density_of_blocks(blocks: DataFrame, by: Sequence[str], value: str, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
+    """Density per group of a sorted histogram with the counts ``__rows``."""
+    by, n = list(by), F.col("__rows").cast("double")
+    mean = F.sum(n * F.col(value)) / F.sum(n)
+    centred = attach_aggregate(blocks, blocks.groupBy(*by).agg(mean.alias("__mean")), by)
+    off = F.col(value) - F.col("__mean")
+    moments = centred.groupBy(*by).agg(
+        F.sqrt(safe_ratio(F.sum(n * off * off), F.sum(n) - 1)).alias("__sd"),
+        F.min(value).alias("__low"),
+        F.max(value).alias("__high"),
     )
-    blocks = value_blocks(histogram(rows, value, by, "__rows"), value, by)
     spread = quantiles_of_blocks(blocks, value, (0.25, 0.75), by, ("__q1", "__q3"), weight="__rows")
     stats = (
         equi_join(spread, moments, by, "inner", null_safe=True)
@@ -216,6 +219,7 @@ def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins:
         .withColumn("__bw", bandwidth(F.col("n"), F.col("__sd"), F.col("__q3") - F.col("__q1"), F.col("__low")))
         .select(*by, "n", "__low", "__high", "__bw")
     )
+    stats = materialise(stats)
     width = (F.col("__high") - F.col("__low")) / F.lit(float(n_bins - 1))
     place = F.coalesce(safe_ratio(F.col(value) - F.col("__low"), width), F.lit(0.0))
     node = F.least(F.floor(place), F.lit(n_bins - 2))
@@ -244,12 +248,15 @@ def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins:
     x = F.col("__low") + F.col("point") * F.col("__step")
     u = (x - F.col("__at")) / F.col("__bw")
     scale = F.col("n") * F.col("__bw") * math.sqrt(2 * math.pi)
-    return (
-        contributions.withColumn("x", x)
-        .withColumn("__k", F.col("__weight") * F.exp(-u * u / 2) / scale)
+    reached = (
+        contributions.withColumn("__k", F.col("__weight") * F.exp(-u * u / 2) / scale)
         .groupBy(*by, "point")
-        .agg(F.first("x").alias("x"), F.sum("__k").alias("density"))
+        .agg(F.sum("__k").alias("__density"))
     )
+    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    grid = grid.select(*by, "point", (F.col("__low") + F.col("point") * step).alias("x"))
+    joined = equi_join(grid, reached, [*by, "point"], "left", null_safe=True)
+    return joined.select(*by, "point", "x", F.coalesce("__density", F.lit(0.0)).alias("density"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -344,18 +351,20 @@ class Comparison:
 
 
 def comparison_histogram(df: DataFrame, comparisons: Sequence[Comparison]) -> DataFrame:
-    """All comparisons in one scan: (metric, scope, class, value, n, is_ref, alternative).
+    """All comparisons in one scan: (comparison, metric, scope, class, value, n, is_ref, alternative).
 
     Each row yields one entry per comparison it takes part in: value inside the range,
-    class known, row in scope.
+    class known, row in scope.  ``comparison`` is the number in the list, so two
+    comparisons of one metric and scope stay apart.
     """
     entries = []
-    for c in comparisons:
+    for number, c in enumerate(comparisons):
         v = as_column(c.value).cast("double")
         takes_part = v.between(F.lit(float(c.low)), F.lit(float(c.high))) & F.col(c.group).isNotNull()
         if c.scope_filter is not None:
             takes_part = takes_part & c.scope_filter
         entry = F.struct(
+            F.lit(number).alias("comparison"),
             F.lit(c.metric).alias("metric"),
             F.lit(c.scope).alias("scope"),
             F.col(c.group).cast("string").alias("class"),
@@ -365,27 +374,43 @@ def comparison_histogram(df: DataFrame, comparisons: Sequence[Comparison]) -> Da
         )
         entries.append(F.when(takes_part, entry))
     long = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    return long.groupBy("metric", "scope", "class", "value", "is_ref", "alternative").agg(
+    return long.groupBy("comparison", "metric", "scope", "class", "value", "is_ref", "alternative").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-def association_report(df: DataFrame, comparisons: Sequence[Comparison], method: str = "auto") -> DataFrame:
+REPORT_KEYS = ["comparison", "metric", "scope"]
+
+
+def report_blocks(df: DataFrame, comparisons: Sequence[Comparison]) -> DataFrame:
+    """The sorted histogram of all comparisons, from which tests, boxes and densities are taken."""
+    return value_blocks(comparison_histogram(df, comparisons), "value", REPORT_KEYS)
+
+
+def association_density(blocks: DataFrame, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
+    """Kernel density of every class in every comparison, from the blocks of the report."""
+    counted = blocks.withColumnRenamed("n", "__rows")
+    return density_of_blocks(counted, [*REPORT_KEYS, "class"], "value", n_grid, n_bins)
+
+
+def association_report(
+    df: DataFrame, comparisons: Sequence[Comparison], method: str = "normal", blocks: DataFrame | None = None
+) -> DataFrame:
     """Box summary and rank-sum test of every class in every comparison.
 
-    Reference classes appear with their box and a NULL test.
+    ``comparison`` numbers the comparisons as listed.  Reference classes appear with their
+    box and a NULL test.  ``blocks`` may come from :func:`report_blocks`, so that one sort
+    serves the densities as well.
     """
-    by = ["metric", "scope"]
+    by = REPORT_KEYS
     # one sort serves the tests (per comparison) and the boxes (per class)
-    blocks = value_blocks(comparison_histogram(df, comparisons), "value", by)
+    blocks = report_blocks(df, comparisons) if blocks is None else blocks
     boxes = box_of_blocks(blocks, [*by, "class"], "value")
     tests = rank_sum_of_blocks(
         blocks, by, "class", "value", F.col("is_ref"), F.col("alternative"), method
     ).drop("n")
     label = F.lit(None).cast("string")
     for cut in {c.cutpoints for c in comparisons}:
-        users = [(c.metric, c.scope) for c in comparisons if c.cutpoints == cut]
-        uses = F.struct("metric", "scope").isin([F.struct(F.lit(m), F.lit(s)) for m, s in users])
-        label = F.when(uses, significance_label("p_value", cut)).otherwise(label)
+        users = [number for number, c in enumerate(comparisons) if c.cutpoints == cut]
+        label = F.when(F.col("comparison").isin(users), significance_label("p_value", cut)).otherwise(label)
     return boxes.join(tests, [*by, "class"], "left").withColumn("label", label)
-

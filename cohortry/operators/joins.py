@@ -56,12 +56,12 @@ def left_join(left, right, on, defaults: Mapping[str, object] | None = None, nul
     return joined.fillna(dict(defaults)) if defaults else joined
 
 
-def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
+def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = False) -> DataFrame:
     """Left join on every shared column name."""
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         raise ValueError("the tables share no column name")
-    return left.join(right, shared, "left")
+    return equi_join(left, right, shared, "left", null_safe)
 
 
 def full_outer_join(left, right, on, null_safe: bool = False) -> DataFrame:
@@ -69,14 +69,17 @@ def full_outer_join(left, right, on, null_safe: bool = False) -> DataFrame:
     return equi_join(left, right, on, "full_outer", null_safe)
 
 
-def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """Left rows whose key exists on the right."""
-    return left.join(right.select(*_keys(on)), _keys(on), "left_semi")
+def semi_join(left: DataFrame, right: DataFrame, on, null_safe: bool = False) -> DataFrame:
+    """Left rows whose key exists on the right; a NULL key exists there only if ``null_safe``."""
+    return equi_join(left, right.select(*_keys(on)), on, "left_semi", null_safe)
 
 
-def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """Left rows whose key does not exist on the right (rows with a NULL key stay)."""
-    return left.join(right.select(*_keys(on)), _keys(on), "left_anti")
+def anti_join(left: DataFrame, right: DataFrame, on, null_safe: bool = False) -> DataFrame:
+    """Left rows whose key does not exist on the right.
+
+    Rows with a NULL key stay, unless ``null_safe`` lets them match a NULL key on the right.
+    """
+    return equi_join(left, right.select(*_keys(on)), on, "left_anti", null_safe)
 
 
 def join_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -103,24 +106,17 @@ def contained_pairs(ids: DataFrame, texts: DataFrame, id_col: str, text_col: str
     wanted = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     lengths = wanted.agg(F.collect_set(F.length(id_col)).alias("lengths"))
     text = F.col(text_col)
-    length = F.length(text)
-    substrings = F.flatten(
-        F.transform(
-            F.filter(F.col("__lengths"), lambda n: n <= length),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), length - n + F.lit(1)),
-                lambda start: F.substring(text, start, n),
-            ),
-        )
-    )
-    expanded = (
+    # one row per length and place; no text holds all its substrings at once
+    sized = (
         texts.select(text_col)
         .where(text.isNotNull())
         .distinct()
-        .withColumn("__lengths", lengths.scalar())
-        .select(text_col, F.explode(F.array_distinct(substrings)).alias(id_col))
+        .withColumn("__n", F.explode(lengths.scalar()))
+        .where(F.col("__n") <= F.length(text))
     )
-    return expanded.join(wanted, id_col, "left_semi").select(id_col, text_col)
+    placed = sized.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1)))
+    expanded = placed.select(text_col, F.substring(text, F.col("__at"), F.col("__n")).alias(id_col))
+    return expanded.join(wanted, id_col, "left_semi").select(id_col, text_col).distinct()
 
 
 def contains_join(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.nulls import finite
@@ -21,10 +21,10 @@ from cohortry.session import materialise
 
 ROWS_PER_PARTITION = 100_000
 ROWS_AT_ONCE = 1024  # rows x problems is the largest array of a task
-DIRECT_PARTITIONS = 16  # up to here the driver adds up the partitions' sums itself
 MIN_WEIGHT_PROBABILITY = 1e-10  # keeps the curvature positive for near-certain rows
-MAX_PASSES = 60
-TOLERANCE = 1e-7
+TOLERANCE = 1e-4  # largest optimality residual of a finished problem, as a share of its penalty
+SMALLEST_STEP = 2.0**-40  # of a Newton step; below it no decrease is left to be found
+RIDGE = 1e-9  # share of the curvature's diagonal that keeps the local problem strictly convex
 
 
 def labelled_sample(
@@ -71,11 +71,14 @@ def feature_vector(df: DataFrame, features: Sequence[str], out: str = "features"
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def lambda_path(df: DataFrame, features: Sequence[str], label: str, n_lambda: int = 100) -> list[float]:
+def lambda_path(
+    df: DataFrame, features: Sequence[str], label: str, n_lambda: int = 100, end_ratio: float | None = None
+) -> list[float]:
     """Log-spaced penalties from the smallest one that zeroes every coefficient downwards.
 
     ``lambda_max = max_j |x_j . (y - mean(y))| / n`` on columns scaled with the n-denominator
-    deviation.  The end ratio is 1e-4 with more rows than features, else 0.01.
+    deviation.  ``end_ratio`` is the last penalty as a share of the first; the default is
+    1e-4 with more rows than features and 0.01 otherwise, the usual choice for a lasso path.
     """
     y = F.col(label).cast("double")
     complete = df.dropna(subset=[label, *features])
@@ -84,7 +87,7 @@ def lambda_path(df: DataFrame, features: Sequence[str], label: str, n_lambda: in
     row = complete.agg(F.count(F.lit(1)).alias("n"), F.array_max(F.array(*tops)).alias("top")).first()
     if not row["top"]:
         raise ValueError("no feature varies together with the label")
-    ratio = 1e-4 if row["n"] > len(features) else 0.01
+    ratio = end_ratio if end_ratio is not None else (1e-4 if row["n"] > len(features) else 0.01)
     if n_lambda == 1:
         return [row["top"]]
     return [row["top"] * math.exp(math.log(ratio) * i / (n_lambda - 1)) for i in range(n_lambda)]
@@ -132,14 +135,29 @@ def _summing(betas: np.ndarray, held_out: np.ndarray):
     return sums_per_problem
 
 
+def problem_sums(table: DataFrame, betas: Sequence[Sequence[float]], held_out: Sequence[int]) -> DataFrame:
+    """(held_out, n, gradient, curvature, deviance, held_deviance) of problems with one held-out fold each.
+
+    ``table`` has label, fold and the features; each beta starts with the intercept.  The
+    curvature is the diagonal only; the last two columns are of the rows used and held out.
+    """
+    width = len(betas[0])
+    matrix = _one_pass(table, np.array(betas, dtype=float), np.array(held_out))
+    diagonal = matrix[:, width : width + width * width].reshape(-1, width, width)[:, range(width), range(width)]
+    rows = [
+        (int(h), float(r[-3]), r[:width].tolist(), d.tolist(), float(r[-2]), float(r[-1]))
+        for h, r, d in zip(held_out, matrix, diagonal, strict=True)
+    ]
+    schema = "held_out int, n double, gradient array<double>, curvature array<double>, deviance double, held_deviance double"
+    return table.sparkSession.createDataFrame(rows, schema)
+
+
 def _one_pass(table: DataFrame, betas: np.ndarray, held_out: np.ndarray) -> np.ndarray:
     """One scan of the table for all problems: a (problem x sums) matrix."""
     partial = table.mapInPandas(_summing(betas, held_out), "problem int, sums array<double>")
     width = betas.shape[1]
     places = range(width + width * width + 3)
-    if table.rdd.getNumPartitions() > DIRECT_PARTITIONS:
-        # many partitions: add their sums up on the executors first
-        partial = partial.groupBy("problem").agg(F.array(*(F.sum(F.col("sums")[i]) for i in places)).alias("sums"))
+    partial = partial.groupBy("problem").agg(F.array(*(F.sum(F.col("sums")[i]) for i in places)).alias("sums"))
     rows = partial.toArrow()
     out = np.zeros((len(betas), len(places)))
     sums = rows["sums"].combine_chunks().flatten().to_numpy().reshape(-1, len(places))
@@ -147,25 +165,92 @@ def _one_pass(table: DataFrame, betas: np.ndarray, held_out: np.ndarray) -> np.n
     return out
 
 
-def _penalised_step(beta, gradient, curvature, penalty, sweeps: int = 500) -> np.ndarray:
-    """Minimise the local quadratic plus the L1 penalty, coordinate by coordinate, for all problems."""
+def _penalised_step(beta, gradient, curvature, penalty) -> np.ndarray:
+    """Minimise the local quadratic plus the L1 penalty, coordinate by coordinate, for all problems.
+
+    Sweeps go on until no coordinate moves; the small ridge on the curvature makes every
+    local problem strictly convex, for which coordinate descent converges.
+    """
+    width = beta.shape[1]
+    scale = np.maximum(curvature[:, range(width), range(width)], 1e-12)
+    curvature = curvature + (RIDGE * scale)[:, :, None] * np.eye(width)
     new = beta.copy()
     slope = gradient.copy()
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in range(beta.shape[1]):
-            h = np.maximum(curvature[:, j, j], 1e-12)
-            pull = h * new[:, j] + slope[:, j]
-            updated = np.sign(pull) * np.maximum(np.abs(pull) - penalty[:, j], 0.0) / h
-            change = updated - new[:, j]
-            new[:, j] = updated
-            slope -= curvature[:, :, j] * change[:, None]
-            moved = max(moved, np.abs(change).max())
-        if moved < 1e-9:
-            break
+    open_ = np.arange(len(beta))
+    while len(open_):
+        moved = np.zeros(len(open_))
+        for j in range(width):
+            h = curvature[open_, j, j]
+            pull = h * new[open_, j] + slope[open_, j]
+            updated = np.sign(pull) * np.maximum(np.abs(pull) - penalty[open_, j], 0.0) / h
+            change = updated - new[open_, j]
+            new[open_, j] = updated
+            slope[open_] -= curvature[open_, :, j] * change[:, None]
+            moved = np.maximum(moved, np.abs(change) / np.maximum(1.0, np.abs(updated)))
+        open_ = open_[moved > 1e-8]
     return new
 
 
+def optimality_residual(beta, gradient, penalty) -> np.ndarray:
+    """Per problem, the largest violation of the lasso's optimality conditions.
+
+    ``gradient`` is that of the mean log-likelihood.  It equals the signed penalty where a
+    coefficient is not zero and does not exceed the penalty elsewhere.
+    """
+    active = np.abs(gradient - penalty * np.sign(beta))
+    idle = np.maximum(np.abs(gradient) - penalty, 0.0)
+    return np.where((beta != 0) | (penalty == 0), active, idle).max(axis=1)
+
+
+def _solve(table: DataFrame, start: np.ndarray, penalty: np.ndarray, held_out: np.ndarray, tolerance: float):
+    """Solve all problems together; returns coefficients and held-out deviances.
+
+    Each problem has its own state: the best point so far, the Newton step from it and the
+    share of the step that is tried next.  A step is halved until the objective decreases as
+    its slope promises.  A problem leaves the passes once its optimality residual meets the
+    tolerance; when a step cannot be shortened any more before that, an error is raised.
+    """
+    count, width = start.shape
+    best, value, slope = start.copy(), np.full(count, np.inf), np.zeros(count)
+    step, share = np.zeros_like(start), np.ones(count)
+    trial, held = start.copy(), np.zeros(count)
+    open_ = np.arange(count)
+    while len(open_):
+        sums = _one_pass(table, trial[open_], held_out[open_])
+        n = sums[:, -3]
+        objective = sums[:, -2] / (2 * n) + (penalty[open_] * np.abs(trial[open_])).sum(1)
+        promised = value[open_] + 1e-4 * share[open_] * slope[open_]
+        decreased = np.where(np.isinf(value[open_]), True, objective <= promised + 1e-15 * np.abs(value[open_]))
+        good, bad = open_[decreased], open_[~decreased]
+        best[good], value[good], held[good] = trial[good], objective[decreased], sums[decreased, -1]
+        gradient = sums[decreased, :width] / n[decreased, None]
+        bound = np.where(penalty[good] > 0, penalty[good], np.inf).min(axis=1)
+        unfinished = optimality_residual(best[good], gradient, penalty[good]) > tolerance * bound
+        go_on = good[unfinished]
+        if len(go_on):
+            gradient = gradient[unfinished]
+            curvature = sums[decreased, width : width + width * width][unfinished].reshape(-1, width, width)
+            curvature = curvature / n[decreased][unfinished][:, None, None]
+            step[go_on] = _penalised_step(best[go_on], gradient, curvature, penalty[go_on]) - best[go_on]
+            gain = penalty[go_on] * (np.abs(best[go_on] + step[go_on]) - np.abs(best[go_on]))
+            slope[go_on] = (gain - gradient * step[go_on]).sum(1)
+            share[go_on] = 1.0
+        share[bad] /= 2
+        if len(bad) and share[bad].min() < SMALLEST_STEP:
+            raise ArithmeticError(
+                "the lasso stalls before it meets its optimality conditions; scale the features or end the path earlier"
+            )
+        open_ = np.sort(np.concatenate([go_on, bad]))
+        trial[open_] = best[open_] + share[open_, None] * step[open_]
+    return best, held
+
+
+def fold_of(key: str, seed: int, folds: int) -> Column:
+    """The fold of a row: the first 32 bits of an MD5 over seed and key, modulo ``folds``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
 def fit_lasso_cv(
     df: DataFrame,
     features: Sequence[str],
@@ -174,17 +259,20 @@ def fit_lasso_cv(
     folds: int = 10,
     n_lambda: int = 100,
     seed: int = 12345,
+    end_ratio: float | None = None,
+    tolerance: float = TOLERANCE,
 ) -> LassoFit:
     """L1 logistic regression whose penalty minimises the cross-validated deviance.
 
-    All folds and penalties advance together: a scan of the training table adds up the
-    gradient and curvature of every problem, so the whole grid takes a few dozen scans
-    where separate fits would take thousands.  What returns to the driver is
+    Every fit returned meets its optimality conditions to ``tolerance``, a share of its
+    penalty; there is no limit on passes.  All folds and penalties advance together: a scan
+    of the training table adds up the gradient and curvature of every open problem, so the
+    whole grid takes a few dozen scans where separate fits would take thousands.  What returns to the driver is
     (folds + 1) x penalties x (features + 1)^2 numbers, whatever the number of rows.
     ``key`` fixes the folds by hash, so they do not depend on partitioning.
     """
     names = list(features)
-    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)) if key else F.floor(F.rand(seed) * folds)
+    fold = fold_of(key, seed, folds) if key else F.floor(F.rand(seed) * folds)
     complete = df.where(F.col(label).isNotNull())
     for f in names:
         complete = complete.where(finite(f))
@@ -196,59 +284,44 @@ def fit_lasso_cv(
         )
     )
     xs = [f"x{i}" for i in range(len(names))]
-    lambdas = lambda_path(table, xs, "label", n_lambda)
+    lambdas = lambda_path(table, xs, "label", n_lambda, end_ratio)
 
-    # moments of the whole table and of each fold, for standardising
+    # moments of each fold, for standardising: merged from means and variances, as raw sums would cancel
+    places = range(len(xs))
     moments = [F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")]
-    moments += [g.alias(f"{n}{i}") for i, x in enumerate(xs) for n, g in (("s", F.sum(x)), ("q", F.sum(F.col(x) * F.col(x))))]
+    moments += [g.alias(f"{n}{i}") for i, x in enumerate(xs) for n, g in (("m", F.avg(x)), ("v", F.var_pop(x)))]
     per_fold = table.groupBy("fold").agg(*moments).toPandas().set_index("fold")
-    whole = per_fold.sum()
-    places = range(len(xs))
-    mean = np.array([whole[f"s{i}"] for i in places]) / whole["n"]
-    sd = np.sqrt(np.maximum(np.array([whole[f"q{i}"] for i in places]) / whole["n"] - mean**2, 0.0))
+
+    def merged(parts: pd.DataFrame) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """Rows, positives, means and deviations of several folds together."""
+        n = parts["n"].to_numpy(dtype=float)
+        means = parts[[f"m{i}" for i in places]].to_numpy()
+        variances = parts[[f"v{i}" for i in places]].to_numpy()
+        mean = (n[:, None] * means).sum(0) / n.sum()
+        variance = (n[:, None] * (variances + (means - mean) ** 2)).sum(0) / n.sum()
+        return n.sum(), parts["y"].sum(), mean, np.sqrt(variance)
+
+    rows_, _, mean, sd = merged(per_fold)
     sd[sd == 0] = 1.0
     standard = table.select(
         "label", "fold", *((F.col(x) - float(mean[i])) / F.lit(float(sd[i])) for i, x in enumerate(xs))
     ).toDF("label", "fold", *xs)
     # every pass costs one task per partition, so keep partitions filled
-    standard = standard.coalesce(max(1, math.ceil(whole["n"] / ROWS_PER_PARTITION)))
+    standard = standard.coalesce(max(1, math.ceil(rows_ / ROWS_PER_PARTITION)))
 
     held = sorted(per_fold.index)
     held_out = np.repeat([-1, *held], len(lambdas))  # -1: nothing held out
     penalty = np.zeros((len(held_out), len(xs) + 1))
     start = np.zeros_like(penalty)
     for g, h in enumerate([-1, *held]):
-        rest = whole if h == -1 else whole - per_fold.loc[h]
-        m = np.array([rest[f"s{i}"] for i in places]) / rest["n"]
-        spread = np.sqrt(np.maximum(np.array([rest[f"q{i}"] for i in places]) / rest["n"] - m**2, 0.0)) / sd
+        rest_rows, positives, _, rest_sd = merged(per_fold[per_fold.index != h])
         rows = slice(g * len(lambdas), (g + 1) * len(lambdas))
-        penalty[rows, 1:] = np.outer(lambdas, spread)  # each fold is penalised on its own scale
-        share = min(max(rest["y"] / rest["n"], 1e-6), 1 - 1e-6)
+        penalty[rows, 1:] = np.outer(lambdas, rest_sd / sd)  # each fold is penalised on its own scale
+        share = min(max(positives / rest_rows, 1e-6), 1 - 1e-6)
         start[rows, 0] = math.log(share / (1 - share))
 
-    width = len(xs) + 1
-    beta, accepted = start, start
-    best = np.full(len(beta), np.inf)
-    for _ in range(MAX_PASSES):
-        sums = _one_pass(standard, beta, held_out)
-        n = sums[:, -3]
-        objective = sums[:, -2] / (2 * n) + (penalty * np.abs(beta)).sum(1)
-        worse = objective > best + 1e-12
-        gradient = sums[:, :width] / n[:, None]
-        curvature = sums[:, width : width + width * width].reshape(-1, width, width) / n[:, None, None]
-        step = _penalised_step(beta, gradient, curvature, penalty)
-        # a step that made things worse is halved, any other is accepted and followed by the next
-        target = np.where(worse[:, None], (beta + accepted) / 2, step)
-        accepted = np.where(worse[:, None], accepted, beta)
-        best = np.where(worse, best, objective)
-        # largest weighted squared move, the usual stopping measure of coordinate descent
-        moved = (np.einsum("kjj->kj", curvature) * (target - beta) ** 2).max()
-        held_deviance = sums[:, -1]
-        beta = target
-        if moved < TOLERANCE:
-            break
-
-    deviances = held_deviance.reshape(len(held) + 1, -1)[1:].sum(0) / whole["n"]
+    beta, held_deviance = _solve(standard, start, penalty, held_out, tolerance)
+    deviances = held_deviance.reshape(len(held) + 1, -1)[1:].sum(0) / rows_
     chosen = int(np.argmin(deviances))
     scaled = beta[chosen]
     coefficients = scaled[1:] / sd

@@ -284,8 +284,8 @@ def uncovered_samples(x: CohortInputs) -> DataFrame:
     return U.union_by_name(*(part.toDF(*columns) for part in (homozygous, wildtype, germline)))
 
 
-def control_samples(x: CohortInputs, excluded: Sequence[str] = EXCLUDED_CONTROLS) -> DataFrame:
-    """Every control sample outside the exclusion list, as wildtype."""
+def control_samples(x: CohortInputs, excluded: Sequence[str] = ()) -> DataFrame:
+    """Every control sample outside the exclusion list, as wildtype; the analysis passes ``EXCLUDED_CONTROLS``."""
     kept = x.control_mutations.where(not_in_list("Tumor_Sample_Barcode", excluded))
     return U.distinct_entities(kept, "Tumor_Sample_Barcode").select(
         F.col("Tumor_Sample_Barcode").alias("sample"),
@@ -295,13 +295,13 @@ def control_samples(x: CohortInputs, excluded: Sequence[str] = EXCLUDED_CONTROLS
     )
 
 
-def merged_samples(x: CohortInputs) -> DataFrame:
+def merged_samples(x: CohortInputs, excluded: Sequence[str] = ()) -> DataFrame:
     """One row per sample and zygosity flag with its germline and somatic texts."""
     zygosity = x.variants.select("sample", F.col("zygosity_flag").alias("Tumor_zygosity"))
     covered = J.full_outer_join(germline_labels(x), somatic_labels(x), "sample")
     covered = J.full_outer_join(covered, zygosity, "sample")
     case = U.distinct_rows(U.union_by_name(covered, uncovered_samples(x)))
-    return U.union_by_name(case, control_samples(x))
+    return U.union_by_name(case, control_samples(x, excluded))
 
 
 def _germline_is(token: str, gene: str | None) -> Column:
@@ -376,9 +376,15 @@ def classify(samples: DataFrame, mutations: DataFrame) -> DataFrame:
     return detailed.withColumn("pattern", as_level("pattern", CLASS_LEVELS)).drop(*EVENT_PATTERNS)
 
 
-def annotate(x: CohortInputs, drop_known: tuple[str, str] | None = KNOWN_DUPLICATE) -> DataFrame:
-    """The annotated table: sample, texts, zygosity, broad class and detailed pattern."""
-    annotated = classify(merged_samples(x), x.mutations)
+def annotate(
+    x: CohortInputs, drop_known: tuple[str, str] | None = None, excluded: Sequence[str] = ()
+) -> DataFrame:
+    """The annotated table: sample, texts, zygosity, broad class and detailed pattern.
+
+    Nothing is dropped unless the caller says so: the analysis passes ``KNOWN_DUPLICATE`` and
+    ``EXCLUDED_CONTROLS``.  An unknown zygosity makes the condition unknown, which drops the row as well.
+    """
+    annotated = classify(merged_samples(x, excluded), x.mutations)
     if drop_known:
         sample, zygosity = drop_known
         annotated = annotated.where(~((F.col("sample") == sample) & (F.col("Tumor_zygosity") == zygosity)))
@@ -407,16 +413,16 @@ def mutation_totals(x: CohortInputs) -> DataFrame:
     return U.union_by_name(totals(x.spectrum), totals(x.control_spectrum))
 
 
-def signature_activity(x: CohortInputs) -> DataFrame:
+def signature_activity(x: CohortInputs, totals: DataFrame | None = None) -> DataFrame:
     """Share times total."""
     share = signature_share(x, "Signature.3", "share")
-    return J.inner_join(share, mutation_totals(x), "sample").select(
+    return J.inner_join(share, mutation_totals(x) if totals is None else totals, "sample").select(
         "sample", (F.col("share") * F.col("total")).alias("signature_3_activity")
     )
 
 
-def mutation_burden(x: CohortInputs) -> DataFrame:
-    return mutation_totals(x).select("sample", log2_inf("total").alias("Total_Mutational_Burdens"))
+def mutation_burden(x: CohortInputs, totals: DataFrame | None = None) -> DataFrame:
+    return (mutation_totals(x) if totals is None else totals).select("sample", log2_inf("total").alias("Total_Mutational_Burdens"))
 
 
 def _tagged(case: DataFrame, control: DataFrame, fn) -> DataFrame:
@@ -433,11 +439,11 @@ def indel_counts(x: CohortInputs) -> DataFrame:
     ).select("cohort", F.col("Tumor_Sample_Barcode").alias("sample"), "Total_Indel")
 
 
-def indel_burden(x: CohortInputs) -> DataFrame:
-    return indel_counts(x).select("sample", log2_inf("Total_Indel").alias("Total_Indel_log2"))
+def indel_burden(x: CohortInputs, indels: DataFrame | None = None) -> DataFrame:
+    return (indel_counts(x) if indels is None else indels).select("sample", log2_inf("Total_Indel").alias("Total_Indel_log2"))
 
 
-def microhomology_share(x: CohortInputs) -> DataFrame:
+def microhomology_share(x: CohortInputs, indels: DataFrame | None = None) -> DataFrame:
     """Long microhomologies per insertion or deletion."""
     long = _tagged(
         x.microhomology.select("Sample", "Homology_Length"),
@@ -445,18 +451,22 @@ def microhomology_share(x: CohortInputs) -> DataFrame:
         lambda df: A.count_by(df, ["cohort", "Sample"], F.col("Homology_Length") > HOMOLOGY_ABOVE, "hits"),
     )
     fractions = A.fraction_by(
-        long, indel_counts(x), ["cohort", "Sample"], ["cohort", "sample"], "hits", "Total_Indel", "Microhomology_Percent"
+        long, indel_counts(x) if indels is None else indels, ["cohort", "Sample"], ["cohort", "sample"], "hits", "Total_Indel", "Microhomology_Percent"
     )
     return fractions.select(F.col("Sample").alias("sample"), "Microhomology_Percent")
 
 
-def scar_score(case: DataFrame, control: DataFrame, id_mapping: DataFrame, value: str) -> DataFrame:
-    """Scar scores of both cohorts; control ids go through the mapping, unmatched ones are dropped."""
-    sample = control.columns[0]
-    mapping = id_mapping.select(F.col("SAMPLE_ID").alias("__source"), F.col("DMP_ID").alias("__target"))
-    mapped = J.map_ids(
-        control.withColumnRenamed(sample, "__id"), mapping, "__id", "__source", "__target", "sample", rewrite=("IM6", "WES")
-    )
+def control_ids(x: CohortInputs) -> DataFrame:
+    """(id, sample): the ids of all control scar tables, mapped in one containment join."""
+    tables = (x.control_ntai, x.control_lst, x.control_hrd_loh)
+    ids = U.union_by_name(*(table.select(F.col(table.columns[0]).alias("__id")) for table in tables)).distinct()
+    mapping = x.id_mapping.select(F.col("SAMPLE_ID").alias("__source"), F.col("DMP_ID").alias("__target"))
+    return J.map_ids(ids, mapping, "__id", "__source", "__target", "sample", rewrite=("IM6", "WES"))
+
+
+def scar_score(case: DataFrame, control: DataFrame, ids: DataFrame, value: str) -> DataFrame:
+    """Scar scores of both cohorts; control ids are replaced, unmatched ones are dropped."""
+    mapped = control.withColumnRenamed(control.columns[0], "__id").join(ids, "__id")
     return U.union_by_name(
         case.select(F.col(case.columns[0]).alias("sample"), value), mapped.select("sample", value)
     )
@@ -469,17 +479,18 @@ def cancer_types(x: CohortInputs) -> DataFrame:
 
 
 def measure_tables(x: CohortInputs) -> dict[str, DataFrame]:
-    """Every measure as (sample, value)."""
+    """Every measure as (sample, value); what several of them need is computed once."""
+    totals, indels, ids = materialise(mutation_totals(x)), materialise(indel_counts(x)), materialise(control_ids(x))
     return {
         "signature_3_percentage": signature_share(x, "Signature.3", "signature_3_percentage"),
         "signature_8_percentage": signature_share(x, "Signature.8", "signature_8_percentage"),
-        "signature_3_activity": signature_activity(x),
-        "Microhomology_Percent": microhomology_share(x),
-        "NtAI": scar_score(x.ntai, x.control_ntai, x.id_mapping, "NtAI"),
-        "LST": scar_score(x.lst, x.control_lst, x.id_mapping, "LST"),
-        "HRD_LOH": scar_score(x.hrd_loh, x.control_hrd_loh, x.id_mapping, "HRD_LOH"),
-        "Total_Indel_log2": indel_burden(x),
-        "Total_Mutational_Burdens": mutation_burden(x),
+        "signature_3_activity": signature_activity(x, totals),
+        "Microhomology_Percent": microhomology_share(x, indels),
+        "NtAI": scar_score(x.ntai, x.control_ntai, ids, "NtAI"),
+        "LST": scar_score(x.lst, x.control_lst, ids, "LST"),
+        "HRD_LOH": scar_score(x.hrd_loh, x.control_hrd_loh, ids, "HRD_LOH"),
+        "Total_Indel_log2": indel_burden(x, indels),
+        "Total_Mutational_Burdens": mutation_burden(x, totals),
     }
 
 
@@ -613,11 +624,23 @@ def comparison_table(measured: DataFrame) -> DataFrame:
     return refined.withColumn("refined_pattern", as_level("refined_pattern", REFINED_LEVELS))
 
 
-def cohort_report(measured: DataFrame, method: str = "auto") -> DataFrame:
+def cohort_report(measured: DataFrame, method: str = "normal") -> DataFrame:
     """Box summaries and tests of all comparisons."""
     return T.association_report(comparison_table(measured), cohort_comparisons(), method)
 
 
+def cohort_density(measured: DataFrame, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
+    """Kernel density of every class in every comparison, in one pass over the sorted values."""
+    return T.association_density(T.report_blocks(comparison_table(measured), cohort_comparisons()), n_grid, n_bins)
+
+
+def scar_fits(measured: DataFrame, grid: int = 80) -> DataFrame:
+    """Fitted lines of NtAI against LST and HRD-LOH with their confidence bands."""
+    complete = measured.where(F.col("NtAI").isNotNull() & F.col("LST").isNotNull() & F.col("HRD_LOH").isNotNull())
+    bands = [T.linear_fit_band(complete, "NtAI", y, grid).withColumn("pair", F.lit(f"NtAI ~ {y}")) for y in ("LST", "HRD_LOH")]
+    return U.union_by_name(*bands)
+
+
 def scar_correlations(measured: DataFrame) -> DataFrame:
     """NtAI against LST and against HRD-LOH, over samples with all three scores."""
     complete = measured.where(F.col("NtAI").isNotNull() & F.col("LST").isNotNull() & F.col("HRD_LOH").isNotNull())

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 
 def read_delimited(
@@ -17,9 +18,13 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header row.
 
-    Declare ``schema`` for known inputs: inference costs one more pass.  ``multiline``
-    is needed only for quoted values holding line breaks and makes each file one
-    unsplittable task, so write such data as many files.
+    With ``schema``, its columns are taken from the file by name, wherever they stand, and
+    cast; columns beside them are not read, and a declared column that the header lacks
+    raises an error.  Without it types are inferred, which costs one more pass.  All files of
+    one call have the same header.  The unquoted text ``na`` is a missing value; choose
+    another marker where that can be a value.  ``multiline`` is needed only for quoted values
+    holding line breaks and makes each file one unsplittable task, so write such data as
+    many files.
     """
     reader = (
         spark.read.option("sep", sep)
@@ -30,16 +35,29 @@ def read_delimited(
     )
     if comment:
         reader = reader.option("comment", comment)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    texts = reader.csv(path)
+    missing = [f.name for f in wanted if f.name not in texts.columns]
+    if missing:
+        raise ValueError(f"no column {missing} in {path}; the header has {texts.columns}")
+    return texts.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted))
 
 
 def write_delimited(
     df: DataFrame, path: str, sep: str = "\t", na: str = "NA", mode: str = "errorifexists"
 ) -> None:
-    """Delimited text, one file per partition, header in each, every value quoted."""
+    """Delimited text, one file per partition, header in each, every value quoted.
+
+    Missing values are written as ``na``.  A text that equals ``na`` would be read back as
+    missing, so it raises an error; choose a marker that no text has.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    clash = F.raise_error(F.lit(f"a text equals the marker {na!r} for missing values"))
+    checked = df.withColumns({c: F.when(F.col(f"`{c}`") == na, clash.cast("string")).otherwise(F.col(f"`{c}`")) for c in texts})
     (
-        df.write.mode(mode)
+        checked.write.mode(mode)
         .option("sep", sep)
         .option("header", True)
         .option("quoteAll", True)

@@ -84,7 +84,7 @@ def inputs(spark):
 
 @pytest.fixture(scope="module")
 def annotated(inputs):
-    return materialise(P.annotate(inputs[0]))
+    return materialise(P.annotate(inputs[0], P.KNOWN_DUPLICATE, P.EXCLUDED_CONTROLS))
 
 
 def test_texts_zygosity_and_classes(annotated):
@@ -126,6 +126,12 @@ def test_known_duplicate_is_dropped(spark, inputs):
     assert P.annotate(x, drop_known=("s7", "None")).where("sample = 's7'").count() == 0
 
 
+def test_nothing_is_excluded_unless_asked(inputs):
+    kept = {r["sample"] for r in P.annotate(inputs[0]).collect()}
+    assert set(P.EXCLUDED_CONTROLS[:2]) <= kept
+    assert not set(P.EXCLUDED_CONTROLS) & {r["sample"] for r in P.annotate(inputs[0], excluded=P.EXCLUDED_CONTROLS).collect()}
+
+
 def test_measures(inputs, annotated):
     x, _ = inputs
     got = {r["sample"]: r for r in P.measured_samples(annotated, x).where("coalesce(Tumor_zygosity, '') <> 'AI_ALT'").collect()}

@@ -59,7 +59,7 @@ def test_rank_sum_within_groups(measured):
 def test_small_tie_free_samples_use_the_exact_distribution(rows, alternative):
     x, ref = [1.5, 4.0, 6.5, 7.25], [1.0, 2.0, 3.0, 5.0, 8.0]
     df = rows("c string, v double", *(("x", a) for a in x), *(("ref", b) for b in ref))
-    got = T.rank_sum_vs_ref(df, "c", "v", "ref", alternative).first()
+    got = T.rank_sum_vs_ref(df, "c", "v", "ref", alternative, method="exact").first()
     observed = sum(a > b for a in x for b in ref)
     pooled = sorted(x + ref)
     us = []
@@ -71,14 +71,13 @@ def test_small_tie_free_samples_use_the_exact_distribution(rows, alternative):
     assert got.p_value == pytest.approx(want, abs=1e-12)
 
 
-def test_ties_or_size_fall_back_to_the_normal_approximation(rows):
+def test_exact_raises_on_ties_and_nothing_switches(rows):
     tied = rows("c string, v double", ("x", 1.0), ("x", 2.0), ("ref", 1.0), ("ref", 3.0))
-    auto, normal = (T.rank_sum_vs_ref(tied, "c", "v", "ref", method=m).first() for m in ("auto", "normal"))
-    assert auto.p_value == normal.p_value
-    data = [("x", float(2 * i)) for i in range(60)] + [("ref", float(2 * i + 1)) for i in range(20)]
-    large = rows("c string, v double", *data)
-    auto, normal = (T.rank_sum_vs_ref(large, "c", "v", "ref", method=m).first() for m in ("auto", "normal"))
-    assert auto.p_value == normal.p_value
+    with pytest.raises(Exception, match="without ties"):
+        T.rank_sum_vs_ref(tied, "c", "v", "ref", method="exact").collect()
+    assert T.rank_sum_vs_ref(tied, "c", "v", "ref").first().p_value is not None
+    with pytest.raises(ValueError, match="exact"):
+        T.rank_sum_vs_ref(tied, "c", "v", "ref", method="auto")
 
 
 def test_missing_reference_gives_no_tests(rows):
@@ -112,6 +111,13 @@ def test_density_is_close_to_the_direct_sum(measured):
         np.testing.assert_allclose(part["density"], direct, rtol=2e-3)
 
 
+def test_density_has_every_grid_point_however_far_apart(rows):
+    data = [("k", float(v)) for v in range(200)] + [("k", 1e6)]
+    got = T.density_profile(rows("c string, v double", *data), "c", "v").collect()
+    assert sorted(r.point for r in got) == list(range(512))
+    assert any(r.density == 0 for r in got) and sum(r.density > 0 for r in got) >= 2
+
+
 def test_density_of_a_constant_class(rows):
     got = T.density_profile(rows("c string, v double", ("k", 2.0), ("k", 2.0), ("one", 1.0)), "c", "v", n_grid=4).collect()
     assert len(got) == 4 and all(r.c == "k" and r.x == 2.0 and r.density > 0 for r in got)
@@ -179,3 +185,28 @@ def test_report_agrees_with_single_comparisons(measured):
         np.testing.assert_allclose(got.loc[tests.index, "p_value"].astype(float), tests["p_value"])
         assert list(got.loc[tests.index, "label"]) == list(tests["label"])
         assert got.loc["ref", "label"] is None and len(got) == 4
+
+
+def test_comparisons_of_one_name_stay_apart(measured):
+    df, _ = measured
+    comparisons = [
+        T.Comparison("v", "v", "cls", "ref", -9, 9, scope_filter=F.col("s") == x) for x in ("x", "y")
+    ]
+    report = T.association_report(df, comparisons).toPandas()
+    for number, c in enumerate(comparisons):
+        part = df.where(c.scope_filter & F.col("v").between(-9, 9))
+        alone = T.rank_sum_vs_ref(part, "cls", "v", "ref").toPandas().set_index("cls")
+        got = report[report.comparison == number].set_index("class")
+        np.testing.assert_allclose(got.loc[alone.index, "u"].astype(float), alone["u"])
+        assert set(got.loc[alone.index, "n_ref"]) == set(alone["n_ref"])
+
+
+def test_densities_come_from_the_blocks_of_the_report(measured):
+    df, _ = measured
+    comparisons = [T.Comparison("v", "v", "cls", "ref", -3, 3), T.Comparison("w", "w", "cls", "ref", 0, 10)]
+    blocks = T.report_blocks(df, comparisons)
+    got = T.association_density(blocks, 40, 64).toPandas()
+    assert len(got) == 2 * 4 * 40
+    alone = T.density_profile(df.where("v BETWEEN -3 AND 3"), "cls", "v", 40, 64).toPandas().sort_values(["cls", "point"])
+    same = got[got.comparison == 0].sort_values(["class", "point"])
+    np.testing.assert_allclose(same["density"], alone["density"], rtol=1e-9)

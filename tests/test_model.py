@@ -72,8 +72,7 @@ def test_fit_does_not_depend_on_partitioning(table, fit):
     assert len(fit.deviances) == 12 and min(fit.deviances) == fit.deviances[fit.lambdas.index(fit.lambda_min)]
 
 
-def test_sums_are_added_up_on_executors_beyond_a_few_partitions(table, fit, monkeypatch):
-    monkeypatch.setattr(M, "DIRECT_PARTITIONS", 1)
+def test_sums_are_added_up_on_the_executors(table, fit, monkeypatch):
     monkeypatch.setattr(M, "ROWS_PER_PARTITION", 100)
     again = M.fit_lasso_cv(table[0], FEATURES, key="id", folds=5, n_lambda=12)
     np.testing.assert_allclose(again.coefficients, fit.coefficients, atol=1e-9)
@@ -84,7 +83,7 @@ def test_held_out_deviance(table, spark):
     df, pdf = table
     folds, key = 4, "id"
     fit = M.fit_lasso_cv(df, FEATURES, key=key, folds=folds, n_lambda=1)
-    fold = df.select("id", F.pmod(F.xxhash64(F.lit(12345), F.col(key)), F.lit(folds)).alias("f")).toPandas().set_index("id")["f"]
+    fold = df.select("id", M.fold_of(key, 12345, folds).alias("f")).toPandas().set_index("id")["f"]
     y = pdf.set_index("id").label
     total = 0.0
     for f in range(folds):
@@ -128,3 +127,33 @@ def test_scores(table, fit):
     assert ranked["score"].is_monotonic_increasing and len(ranked) == len(pdf)
     with pytest.raises(ValueError):
         M.score(fit, df, "id", scaler="other")
+
+
+def test_separable_correlated_rows_are_solved_to_optimality(spark):
+    """22 and 100 rows, eight correlated features, classes far apart: every problem must still be finished."""
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(122, 1))
+    x = 0.9 * z + 0.3 * rng.normal(size=(122, 8))
+    x[:22, :4] += 4
+    names = [f"f{i}" for i in range(8)]
+    pdf = pd.DataFrame(x, columns=names)
+    pdf["label"], pdf["id"] = [1] * 22 + [0] * 100, range(122)
+    fit = M.fit_lasso_cv(spark.createDataFrame(pdf), names, key="id")
+    sd, mean = x.std(0), x.mean(0)
+    p = 1 / (1 + np.exp(-(fit.intercept + x @ np.array(fit.coefficients))))
+    gradient = ((x - mean) / sd).T @ (pdf.label.to_numpy() - p) / len(x)
+    beta = np.array(fit.coefficients) * sd
+    residual = M.optimality_residual(beta[None], gradient[None], np.full((1, 8), fit.lambda_min))
+    assert residual[0] <= 2 * M.TOLERANCE * fit.lambda_min
+
+
+def test_large_offsets_do_not_change_the_fit(table, fit):
+    shifted = table[0].withColumn("c", F.col("c") + 1e6)
+    again = M.fit_lasso_cv(shifted, FEATURES, key="id", folds=5, n_lambda=12)
+    np.testing.assert_allclose(again.coefficients, fit.coefficients, rtol=1e-3, atol=1e-5)
+
+
+def test_a_stalled_fit_is_not_returned(table, monkeypatch):
+    monkeypatch.setattr(M, "_penalised_step", lambda beta, *rest: beta + 1.0)  # no descent direction
+    with pytest.raises(ArithmeticError, match="stalls"):
+        M.fit_lasso_cv(table[0], FEATURES, key="id", folds=3, n_lambda=3)

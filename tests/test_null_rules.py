@@ -78,6 +78,20 @@ def test_anti_join_keeps_missing_keys(rows):
     left = rows("k string", ("x",), (None,))
     right = rows("k string", ("x",), (None,))
     assert [r.k for r in J.anti_join(left, right, "k").collect()] == [None]
+    assert J.anti_join(left, right, "k", null_safe=True).count() == 0
+    assert J.semi_join(left, right, "k").count() == 1
+    assert J.semi_join(left, right, "k", null_safe=True).count() == 2
+    extra = rows("k string, b int", ("x", 1), (None, 2))
+    assert {(r.k, r.b) for r in J.natural_left_join(left, extra, null_safe=True).collect()} == {("x", 1), (None, 2)}
+
+
+def test_strict_category_scores(rows):
+    df = rows("id int, c string, v double", (1, "a", 1.0), (1, "a", None), (1, "b", 2.0), (2, "a", 3.0))
+    sets = {"x": ["a"], "y": ["a", "b"], "z": ["b"]}
+    loose = {r.id: tuple(r)[1:] for r in A.category_scores(df, "id", "c", "v", sets).collect()}
+    strict = {r.id: tuple(r)[1:] for r in A.category_scores(df, "id", "c", "v", sets, na_strict=True).collect()}
+    assert loose == {1: (1.0, 3.0, 2.0), 2: (3.0, 3.0, None)}
+    assert strict == {1: (None, None, 2.0), 2: (3.0, 3.0, None)}
 
 
 def test_strict_aggregates_turn_missing(rows):

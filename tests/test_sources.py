@@ -27,6 +27,23 @@ def test_reads_headers_comments_and_declared_types(spark, tmp_path):
     assert dict(inferred.dtypes) == {"Sample": "string", "NtAI": "int"}
 
 
+def test_declared_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "wide.txt"
+    path.write_text("Hugo_Symbol\tEntrez\tTumor_Sample_Barcode\tScore\nBRCA1\t672\tT-01\t0.5\nTP53\tNA\tT-02\tNA\n")
+    df = read_delimited(spark, str(path), schema="Tumor_Sample_Barcode string, Score double, Hugo_Symbol string")
+    assert as_set(df) == {("T-01", 0.5, "BRCA1"), ("T-02", None, "TP53")}
+    with pytest.raises(ValueError, match="Absent"):
+        read_delimited(spark, str(path), schema="Hugo_Symbol string, Absent int")
+
+
+def test_texts_that_equal_the_marker_are_not_lost(spark, rows, tmp_path):
+    df = rows("id int, t string", (1, "NA"), (2, None))
+    with pytest.raises(Exception, match="marker"):
+        write_delimited(df, str(tmp_path / "clash"))
+    write_delimited(df, str(tmp_path / "ok"), na="\\N")
+    assert as_set(read_delimited(spark, str(tmp_path / "ok"), schema=df.schema, na="\\N")) == {(1, "NA"), (2, None)}
+
+
 def test_report_is_partitioned_by_metric(spark, rows, tmp_path):
     write_report(rows("metric string, n int", ("a", 1), ("b", 2)), str(tmp_path / "r"))
     assert {p.name for p in (tmp_path / "r").iterdir() if p.is_dir()} == {"metric=a", "metric=b"}
