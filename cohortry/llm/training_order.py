@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import in_tasks, stored, text_or_empty
 from cohortry.llm.tokens import encoder
-from cohortry.session import scratch_path
+from cohortry.session import checked_broadcast, scratch_path
 
 SEQUENCE_TOKENS = 2048
 SHARD_SEQUENCES = 4096
@@ -183,13 +183,15 @@ def materialise_order(
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     size = counts.agg(F.sum("n")).first()[0] or 0
-    numbered = sequences.join(first.drop("n"), "part").select((F.col("before") + F.col("nth")).alias("sequence"), "used", "tokens")
+    # one small row per partition read; a shuffled join would move every sequence once more
+    numbered = sequences.join(checked_broadcast(first.drop("n")), "part").select((F.col("before") + F.col("nth")).alias("sequence"), "used", "tokens")
     slotted = in_tasks(numbered, partial(add_slots, size=max(size, 1), key=key), "slot long, sequence long, used int, tokens binary")
     dealt = slotted.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "sequence", "used", "tokens")
-    # whole shards per task, tasks take consecutive ranges of slots
+    # slots are even by construction, so ranges of whole shards need no sampling
     shards = max(1, -(-size // per_shard))
     tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = dealt.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
+    task = F.floor(F.col("shard") * tasks / shards).cast("int")
+    ranged = dealt.repartitionById(tasks, task).sortWithinPartitions("shard", "slot")
     slots = in_tasks(ranged, partial(write_shards, folder=f"{folder}/shards", length=length, per_shard=per_shard), SLOT_SCHEMA)
     slots.write.parquet(f"{folder}/slots")
     return folder, spark.read.schema(slots.schema).parquet(f"{folder}/slots")
