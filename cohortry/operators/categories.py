@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.labels import as_level, level_position, reversed_position
 from cohortry.functions.nulls import na_ifelse
 from cohortry.operators.joins import attach_aggregate
-from cohortry.operators.ranking import global_position
+from cohortry.operators.ranking import global_position, row_hash
 
 
 def group_size(df: DataFrame, by: str | Sequence[str], out: str = "cases") -> DataFrame:
@@ -35,13 +35,13 @@ def lump_rare(df: DataFrame, column: str, min_n: int = 15, label: str = "Rare Ca
 def sort_by_levels(
     df: DataFrame, column: str, levels: Sequence[str], out: str = "level", reverse: bool = False, keep: bool = True
 ) -> DataFrame:
-    """Order rows by a custom category order; unlisted values become NULL and go last."""
+    """Order rows by a custom category order; unlisted values become NULL and go last.
+
+    A hash of the row as last key spreads a level over several tasks.
+    """
     position = reversed_position(column, levels) if reverse else level_position(column, levels)
-    ordered = (
-        df.withColumn(out, position)
-        .withColumn(column, as_level(column, levels))
-        .orderBy(F.asc_nulls_last(out))
-    )
+    leveled = df.withColumn(out, position).withColumn(column, as_level(column, levels))
+    ordered = leveled.orderBy(F.asc_nulls_last(out), row_hash(leveled))
     return ordered if keep else ordered.drop(out)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from cohortry.functions.nulls import ColumnLike, as_column
 from cohortry.operators.joins import equi_join
@@ -27,9 +28,14 @@ def _list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A last sort key that lets a range sort split rows whose other keys are equal."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)))
+
+
 def sort_nulls_last(df: DataFrame, *columns: str) -> DataFrame:
-    """Ascending sort with NULL at the end of every key."""
-    return df.orderBy(*(F.asc_nulls_last(c) for c in columns))
+    """Ascending sort with NULL at the end of every key; a hash of the row splits equal keys over tasks."""
+    return df.orderBy(*(F.asc_nulls_last(c) for c in columns), row_hash(df))
 
 
 def sorted_blocks(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else (local mode only) a temp dir."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else (local mode only) a temp dir.
+
+    The cluster's setting is taken as it is: a ``file:`` folder may be a share that all
+    executors mount.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,9 +51,33 @@ def shared_folder(spark: SparkSession) -> str:
     return (configured or current).rstrip("/")
 
 
+_owners: list[list[str]] = []  # written paths of the open temporary_tables contexts, innermost last
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside once the block ends.
+
+    Results must be written or collected inside the block, as they read those tables.
+    """
+    written: list[str] = []
+    _owners.append(written)
+    try:
+        yield
+    finally:
+        _owners.remove(written)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in written:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table below the shared folder, owned by the open context if any."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -67,7 +97,7 @@ def fits_broadcast(
     """Measure ``df`` and tell whether it is small enough to copy to every executor."""
     bounded = df.limit(max_rows + 1)
     sized = [f.name for f in df.schema.fields if not isinstance(f.dataType, (NumericType, BooleanType))]
-    width = sum((F.length(F.col(c).cast("string")) for c in sized), F.lit(16 * len(df.columns)))
+    width = sum((F.octet_length(F.col(c).cast("string")) for c in sized), F.lit(16 * len(df.columns)))
     size = bounded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(width, F.lit(64))).alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 

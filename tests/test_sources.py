@@ -67,6 +67,16 @@ def test_scratch_paths_lie_in_the_shared_folder(spark):
     assert configured is None or shared == configured.rstrip("/")
 
 
+def test_temporary_tables_are_deleted_by_their_owner(spark, rows):
+    from pathlib import Path
+
+    with SS.temporary_tables(spark):
+        kept = SS.materialise(rows("k int", (1,), (2,)))
+        path = Path(kept.inputFiles()[0].removeprefix("file:").removeprefix("//")).parent
+        assert kept.count() == 2 and path.exists()
+    assert not path.exists()
+
+
 def test_checkpoint_survives_without_its_source(spark, rows):
     kept = SS.materialise(rows("k int", (1,), (2,)).withColumn("r", F.rand()))
     assert as_set(kept) == as_set(kept)
