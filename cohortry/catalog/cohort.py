@@ -92,7 +92,7 @@ def _inputs() -> dict[str, str]:
                         WHEN day(o_orderdate) <= 16 THEN 'AI_ALT' WHEN day(o_orderdate) <= 19 THEN 'AI_REF'
                         WHEN day(o_orderdate) <= 22 THEN 'subclonal' WHEN day(o_orderdate) <= 28 THEN 'None' END AS zygosity_flag
             FROM orders JOIN samples ON o_custkey = c_custkey
-            WHERE NOT control AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000
+            WHERE NOT control
         """,
         "clinical": f"""
             SELECT sid AS CMO_ID, dmp AS DMP_ID, CASE WHEN c_acctbal BETWEEN 0 AND 100 THEN 'failed' END AS Sample_QC,
@@ -524,7 +524,7 @@ def _comparison_sources():
         ("log2 signature 3 activity", "signature_3_activity", "log2(signature_3_activity)", 12),
         ("signature 3 share", "signature_3_percentage", "signature_3_percentage", 1),
     ]:
-        source = f"SELECT cls, {value} AS v FROM ({_lumped_sql(measure)}) WHERE cls IS NOT NULL AND {value} BETWEEN 0 AND {high}"
+        source = f"SELECT cls, {value} AS v, {measure} AS raw FROM ({_lumped_sql(measure)}) WHERE cls IS NOT NULL AND {value} BETWEEN 0 AND {high}"
         rows.append((metric, "cancer types", source, "Ovarian Cancer", "less", None))
     source = f"SELECT cls, signature_3_activity AS v FROM ({_REFINED_SQL}) WHERE cls IS NOT NULL AND signature_3_activity BETWEEN 0 AND 480"
     rows.append(("signature 3 activity", "refined classes", source, _WT, "greater", None))
@@ -536,11 +536,12 @@ def _cohort_report_sql() -> str:
     for i, (metric, scope, source, ref, alternative, cuts) in enumerate(_comparison_sources()):
         ctes.append(f"src{i} AS MATERIALIZED ({source})")
         label = label_sql("p_value", cuts) if cuts else "label"
+        rank = "raw" if scope == "cancer types" else "v"  # ties are those of the values before a logarithm
         parts.append(
             f"""SELECT '{metric}' AS metric, '{scope}' AS scope, b.cls AS class, b.n, q1, median, q3, whisker_low, whisker_high,
                        n_ref, u, z, p_value, {label} AS label
                 FROM ({_rounded_box_sql(box_sql(f'SELECT * FROM src{i}', 'cls'), 'cls')}) b
-                LEFT JOIN ({rank_sum_sql(f'SELECT * FROM src{i}', ref, alternative)}) r ON b.cls = r.cls"""
+                LEFT JOIN ({rank_sum_sql(f'SELECT cls, {rank} AS v FROM src{i}', ref, alternative)}) r ON b.cls = r.cls"""
         )
     return with_sql(*_ANNOTATED, *_MEASURES, *ctes, last=" UNION ALL ".join(parts))
 

@@ -20,7 +20,7 @@ from cohortry.functions.distributions import normal_upper_tail, student_quantile
 from cohortry.functions.labels import DEFAULT_CUTPOINTS, significance_label
 from cohortry.functions.nulls import as_column, finite, safe_ratio
 from cohortry.operators.joins import attach_aggregate, equi_join
-from cohortry.operators.ranking import histogram, quantiles_of_blocks, running_total, value_blocks
+from cohortry.operators.ranking import histogram, quantiles_of_blocks, running_total, sorted_blocks, value_blocks
 from cohortry.session import materialise
 
 BOX_PROBS = (0.25, 0.5, 0.75)
@@ -336,7 +336,12 @@ def linear_fit_band(df: DataFrame, x: str, y: str, grid: int = 80, by=None) -> D
 
 @dataclass(frozen=True)
 class Comparison:
-    """One metric compared between classes within one scope."""
+    """One metric compared between classes within one scope.
+
+    ``rank_by`` names the values that the rank test sorts by, where ``value`` is a rounded
+    increasing function of them (a logarithm): the order is the same, without ties that
+    only rounding makes.
+    """
 
     metric: str
     value: str
@@ -348,10 +353,11 @@ class Comparison:
     scope: str = "all"
     scope_filter: Column | None = None
     cutpoints: tuple = DEFAULT_CUTPOINTS
+    rank_by: str | None = None
 
 
 def comparison_histogram(df: DataFrame, comparisons: Sequence[Comparison]) -> DataFrame:
-    """All comparisons in one scan: (comparison, metric, scope, class, value, n, is_ref, alternative).
+    """All comparisons in one scan: (comparison, metric, scope, class, value, rank, n, is_ref, alternative).
 
     Each row yields one entry per comparison it takes part in: value inside the range,
     class known, row in scope.  ``comparison`` is the number in the list, so two
@@ -369,12 +375,13 @@ def comparison_histogram(df: DataFrame, comparisons: Sequence[Comparison]) -> Da
             F.lit(c.scope).alias("scope"),
             F.col(c.group).cast("string").alias("class"),
             v.alias("value"),
+            (v if c.rank_by is None else F.col(c.rank_by).cast("double")).alias("rank"),
             (F.col(c.group) == F.lit(c.reference)).alias("is_ref"),
             F.lit(c.alternative).alias("alternative"),
         )
         entries.append(F.when(takes_part, entry))
     long = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    return long.groupBy("comparison", "metric", "scope", "class", "value", "is_ref", "alternative").agg(
+    return long.groupBy("comparison", "metric", "scope", "class", "value", "rank", "is_ref", "alternative").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -384,12 +391,13 @@ REPORT_KEYS = ["comparison", "metric", "scope"]
 
 def report_blocks(df: DataFrame, comparisons: Sequence[Comparison]) -> DataFrame:
     """The sorted histogram of all comparisons, from which tests, boxes and densities are taken."""
-    return value_blocks(comparison_histogram(df, comparisons), "value", REPORT_KEYS)
+    order = [F.asc(c) for c in (*REPORT_KEYS, "rank", "value")]
+    return sorted_blocks(comparison_histogram(df, comparisons), order).drop("__row")
 
 
 def association_density(blocks: DataFrame, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
     """Kernel density of every class in every comparison, from the blocks of the report."""
-    counted = blocks.withColumnRenamed("n", "__rows")
+    counted = blocks.drop("rank").withColumnRenamed("n", "__rows")
     return density_of_blocks(counted, [*REPORT_KEYS, "class"], "value", n_grid, n_bins)
 
 
@@ -407,7 +415,7 @@ def association_report(
     blocks = report_blocks(df, comparisons) if blocks is None else blocks
     boxes = box_of_blocks(blocks, [*by, "class"], "value")
     tests = rank_sum_of_blocks(
-        blocks, by, "class", "value", F.col("is_ref"), F.col("alternative"), method
+        blocks, by, "class", "rank", F.col("is_ref"), F.col("alternative"), method
     ).drop("n")
     label = F.lit(None).cast("string")
     for cut in {c.cutpoints for c in comparisons}:

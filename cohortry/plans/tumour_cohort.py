@@ -605,7 +605,10 @@ def cohort_comparisons() -> list[T.Comparison]:
         for m, v, lo, hi in scoped
     ]
     out += [
-        T.Comparison(m, v, g, "Ovarian Cancer", lo, hi, "less", scope="cancer types") for m, v, g, lo, hi in by_type
+        T.Comparison(
+            m, v, g, "Ovarian Cancer", lo, hi, "less", scope="cancer types", rank_by=v.removeprefix("log2_")
+        )
+        for m, v, g, lo, hi in by_type
     ]
     out.append(
         T.Comparison(
