@@ -36,6 +36,27 @@ RECALL = 0.95
 MARGIN = 1e-4  # lists are kept in single precision; links are decided in double
 
 
+def scaled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, vector) to (vec_id, label, unit)."""
+
+    def unit(vector: list | None, label) -> np.ndarray | None:
+        if label is None or not vector or None in vector:
+            return None
+        values = np.array(vector, dtype=np.float64)
+        largest = np.abs(values).max()
+        if not np.isfinite(largest) or largest == 0:
+            return None
+        values /= largest  # squares of very large or small numbers would overflow or vanish
+        return values / np.sqrt(values @ values) + 0.0  # + 0.0 turns -0.0 into 0.0, so equal vectors group together
+
+    for batch in batches:
+        labels, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        units = [unit(v, y) for v, y in zip(vectors, labels, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "label", "unit"]
+        )
+
+
 def unit_vectors(embeddings: DataFrame, id_column: str, vector_column: str, label_column: str) -> DataFrame:
     """(vec_id, label, unit): vectors of length one in double precision; unit is null where nothing can link."""
     raw = embeddings.select(
@@ -43,13 +64,8 @@ def unit_vectors(embeddings: DataFrame, id_column: str, vector_column: str, labe
         F.col(label_column).alias("label"),
         F.col(vector_column).cast("array<double>").alias("v"),
     )
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    largest = F.array_max(F.transform("v", F.abs))
-    usable = F.col("label").isNotNull() & ~odd & (largest > 0)
-    scaled = raw.withColumn("v", F.when(usable, F.transform("v", lambda x: x / largest)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x))
-    # + 0.0 turns -0.0 into 0.0, so equal vectors group together
-    return scaled.select("vec_id", "label", F.transform("v", lambda x: x / norm + 0.0).alias("unit"))
+    label = raw.schema["label"].dataType.simpleString()
+    return in_tasks(raw, scaled_rows, f"vec_id long, label {label}, unit array<double>")
 
 
 def bucket_codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -176,22 +192,35 @@ def improved(lists: DataFrame | None, members: DataFrame, nodes: DataFrame, neig
     )
 
 
-def descent(nodes: DataFrame, classes: DataFrame, bits: int, least: float, neighbours: int, seed: int) -> DataFrame:
-    """Neighbour lists (node, other, likeness) that leave out members of the node's own root."""
+def around_focus(members: DataFrame, focus: DataFrame | None) -> DataFrame:
+    """Of (key, node) the keys that a node of ``focus`` belongs to; all where there is no focus."""
+    if focus is None:
+        return members
+    return members.join(members.join(focus, "node").select("key").distinct(), "key", "left_semi")
+
+
+def descent(
+    nodes: DataFrame, classes: DataFrame, bits: int, least: float, neighbours: int, seed: int, focus: DataFrame | None = None
+) -> DataFrame:
+    """Neighbour lists (node, other, likeness) that leave out members of the node's own root.
+
+    With ``focus``, only groups that one of its nodes belongs to are compared.
+    """
     codes = in_tasks(
         classes.select("node", "space", "unit"),
         partial(bucket_codes, bits=bits, tables=TABLES, seed=seed),
         "number long, space long, code long, node long",
     )
     members = codes.select(F.xxhash64("number", "space", "code").alias("key"), "node")
-    lists = improved(None, members, nodes, neighbours, seed)
+    lists = improved(None, around_focus(members, focus), nodes, neighbours, seed)
     count = lambda table: table.where(F.col("likeness") >= least - MARGIN).count()
     links = count(lists)
     while True:
         around = lists.select(F.col("node").alias("key"), F.col("other").alias("node"))
         back = lists.select(F.col("other").alias("key"), "node")
         seed += 1
-        lists = improved(lists, around.unionByName(back).distinct(), nodes, neighbours, seed)
+        members = around_focus(around.unionByName(back).distinct(), focus)
+        lists = improved(lists, members, nodes, neighbours, seed)
         before, links = links, count(lists)
         if links <= before:
             return lists
@@ -263,22 +292,24 @@ def near_vectors(
     bits = max(1, math.ceil(math.log2(max(1.0, largest / neighbours))))
     vectors = classes.select("node", F.col("unit").cast("array<float>").alias("vector"))
 
-    groups, links, seed = None, None, 1
+    groups, links, focus, seed = None, None, None, 1
     while largest > 1:
         known = vectors.withColumn("root", F.col("node"))
         if groups is not None:
             known = vectors.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lists = descent(known, classes, bits, least, neighbours, 1000 * seed)
-        found = exact_links(lists, classes, least)
-        if links is not None:
-            if found.isEmpty() and audited_recall(classes, groups, least) >= recall:
+        lists = descent(known, classes, bits, least, neighbours, 1000 * seed, focus)
+        found = stored(exact_links(lists, classes, least), "links")
+        grown = not found.isEmpty()
+        if grown or links is None:
+            links = found if links is None else stored(found.unionByName(links), "links")
+            groups = stored(components(links), "components")
+        near = lists.where(F.col("likeness") >= least - MARGIN).groupBy("node").count()
+        focus = stored(near.where(F.col("count") >= neighbours).select("node"), "saturated")
+        if focus.isEmpty() or not grown:
+            # nothing is hidden any more; too low a recall starts again from other buckets, for all nodes
+            if audited_recall(classes, groups, least) >= recall:
                 break
-            found = found.unionByName(links)
-        links = stored(found, "links")
-        groups = stored(components(links), "components")
-        saturated = lists.where(F.col("likeness") >= least - MARGIN).groupBy("node").count().where(F.col("count") >= neighbours)
-        if saturated.isEmpty() and audited_recall(classes, groups, least) >= recall:
-            break
+            focus = None
         seed += 1
 
     if groups is None:
