@@ -15,7 +15,8 @@ from cohortry.catalog.registry import query
 from cohortry.catalog.statistics import BOX_COLUMNS, _rounded_box_sql, box_sql, label_sql, rank_sum_sql, t975_sql, upper_tail_sql
 from cohortry.operators import sets as U
 from cohortry.plans import tumour_cohort as P
-from cohortry.session import materialise
+from cohortry.session import materialise, scratch_path
+from cohortry.sources.delimited import write_delimited
 
 _KEY = "lpad('' || c_custkey, 10, '0')"
 
@@ -281,6 +282,18 @@ def cohort_annotation(t):
     return P.annotate(cohort_inputs(t))
 
 
+@query("cohort_from_files", with_sql(*_ANNOTATED, last="SELECT * FROM annotated"))
+def cohort_from_files(t):
+    """The annotation of inputs that were written as wide files and read back by name."""
+    files = {}
+    for name, table in vars(cohort_inputs(t)).items():
+        files[name] = scratch_path(t.spark, name)
+        if not name.endswith("spectrum"):  # further columns, and the wanted ones in another order
+            table = table.select(F.lit(1).alias("extra"), *reversed(table.columns), F.lit("x").alias("further"))
+        write_delimited(table, files[name])
+    return P.annotate(P.cohort_from_files(t.spark, files))
+
+
 @query(
     "cohort_class_counts",
     with_sql(

@@ -262,20 +262,20 @@ def density_of_blocks(blocks: DataFrame, by: Sequence[str], value: str, n_grid:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with its two-sided p-value, as one row (n, rho, t, p_value).
 
-    Mid-ranks come from the marginal histograms and meet in the joint one, so no row is
-    ranked on its own.
+    Mid-ranks come from histograms, so no row is ranked on its own.
     """
-    joint = materialise(
-        df.where(finite(x) & finite(y)).groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    def centred_ranks(column: str, out: str) -> DataFrame:
-        margin = joint.groupBy(column).agg(F.sum("n").alias("n"))
-        run = running_total(value_blocks(margin, column), column, "n")
-        middle = F.col("below") + (F.col("equal") + 1) / 2 - (F.col("group_total") + 1) / 2
-        return run.select(column, middle.alias(out))
-
-    ranked = joint.join(centred_ranks("__x", "__rx"), "__x").join(centred_ranks("__y", "__ry"), "__y")
+    joint = df.where(finite(x) & finite(y)).groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("n"))
+    # sorted by y, so y is ranked where it lies; only the margin of x is sorted and joined besides
+    blocks = value_blocks(joint, "__y")
+
+    def centred(out: str) -> Column:
+        return (F.col("below") + (F.col("equal") + 1) / 2 - (F.col("group_total") + 1) / 2).alias(out)
+
+    by_y = running_total(blocks, "__y", "n", unique=False)
+    by_y = by_y.select("__x", "n", centred("__ry"))
+    margin = blocks.groupBy("__x").agg(F.sum("n").alias("n"))
+    by_x = running_total(value_blocks(margin, "__x"), "__x", "n")
+    ranked = by_y.join(by_x.select("__x", centred("__rx")), "__x")
     sums = ranked.agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("__rx") * F.col("__ry")).alias("__xy"),

@@ -5,10 +5,10 @@ Inputs are tables (see ``sources.schemas``); all results are DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.labels import SHORT_CUTPOINTS, as_level
@@ -22,6 +22,7 @@ from cohortry.operators import rules as R
 from cohortry.operators import sets as U
 from cohortry.operators.columns import cohort_scope
 from cohortry.session import materialise
+from cohortry.sources.schemas import read_tables
 
 # --- Fixed values -----------------------------------------------------------------
 
@@ -200,6 +201,14 @@ class CohortInputs:
     control_hrd_loh: DataFrame
 
 
+def cohort_from_files(spark: SparkSession, files: Mapping[str, str | list[str]], **options) -> CohortInputs:
+    """Inputs from one delimited file (or list of files) per field of ``CohortInputs``.
+
+    Files may hold further columns in any order.
+    """
+    return CohortInputs(**read_tables(spark, files, **options))
+
+
 def normalise_ids(x: CohortInputs, convert: Callable[[Column], Column]) -> CohortInputs:
     """Apply a caller's sample-id expression where ids come from other naming schemes."""
     return CohortInputs(
