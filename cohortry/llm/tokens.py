@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 # Ends a piece inside the merge table; texts that hold the character itself take the general way.
 PIECE_END = "\x7f"
-MAX_CACHED_WORDS = 600_000
+MAX_CACHED_WORDS = 250_000
 MAX_CACHED_LENGTH = 48
 
 # Printable ASCII, Latin-1 and Latin Extended-A: no character here is changed by NFC.

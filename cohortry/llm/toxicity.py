@@ -80,6 +80,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+PLAIN_WORD = (0.0, 0.0, False, False)
+MAX_CACHED_WORDS = 150_000
+
+
 class WordTraits(dict):
     """For a word: its two weights, whether it addresses the reader, whether it is a disguised lexicon word."""
 
@@ -95,7 +99,8 @@ class WordTraits(dict):
             own = self.lexicon.words.get(plain, 0.0)
             disguised = own > 0
         traits = (own, beginning, word in SECOND_PERSON, disguised)
-        if len(self) >= 400_000:  # bounded memory; traits do not depend on it
+        traits = PLAIN_WORD if traits == PLAIN_WORD else traits
+        if len(self) >= MAX_CACHED_WORDS:  # bounded memory; traits do not depend on it
             self.clear()
         self[word] = traits
         return traits
