@@ -113,7 +113,10 @@ def rank_sum_of_blocks(
     classes = materialise(classes)
     reference = classes.where(F.col("__is_ref")).select(*by, F.col("__own_ties").alias("__ref_ties"))
     others = classes.where(~F.col("__is_ref") & (F.col("n_ref") > 0)).withColumnRenamed("n_rows", "n")
-    met = equi_join(others, reference, by, "inner", null_safe=True) if by else others.crossJoin(F.broadcast(reference))
+    if by:
+        met = equi_join(others, reference, by, "inner", null_safe=True)
+    else:
+        met = others.withColumn("__ref_ties", reference.select("__ref_ties").scalar())
     tests = met.withColumn("__ties", F.col("__ref_ties") + F.col("__extra_ties"))
     m, r = F.col("n").cast("double"), F.col("n_ref").cast("double")
     total = m + r
