@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import query
@@ -500,6 +501,16 @@ def lasso_score(t):
 
 # --- the classifier at fixed coefficients, which SQL can follow step by step
 
+@query(
+    "feature_vector",
+    "SELECT doc_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(DOCUMENT_FEATURES))
+    + f" FROM ({DOCUMENT_FEATURES_SQL})",
+)
+def feature_vector(t):
+    vectors = M.feature_vector(document_features(t), DOCUMENT_FEATURES)
+    return vectors.select("doc_id", *(vector_to_array("features")[i].alias(f"x{i}") for i in range(len(DOCUMENT_FEATURES))))
+
+
 _FOLDS = 5
 _BETA = (0.2, 0.4, -0.3, 0.1, -0.2)  # per standardised feature
 

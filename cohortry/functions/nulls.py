@@ -58,10 +58,6 @@ def log2_inf(col: ColumnLike) -> Column:
     return F.when(c == 0, F.lit(float("-inf"))).otherwise(F.log2(c))
 
 
-def fill_default(col: ColumnLike, default) -> Column:
-    return F.coalesce(as_column(col), as_value(default))
-
-
 def safe_ratio(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     """Quotient that is NULL for a zero denominator, under ANSI mode too."""
     d = as_column(denominator).cast("double")

@@ -17,7 +17,7 @@ from cohortry.operators.joins import anti_join
 from cohortry.operators.ranking import sample_n, score_ranking
 from cohortry.operators.scaling import zscore
 from cohortry.operators.sets import union_fill
-from cohortry.session import materialise
+from cohortry.session import fits_broadcast, materialise
 
 ROWS_PER_PARTITION = 100_000
 ROWS_AT_ONCE = 1024  # rows x problems is the largest array of a task
@@ -61,7 +61,8 @@ def labelled_sample(
             if sizes.get(value, 0) < n:
                 raise ValueError(f"cannot draw {n} rows of {name!r}, only {sizes.get(value, 0)} available")
     # drawn keys exist in ``df``, so this inner join equals the left join of the draw
-    sample = df.select(key, *features).join(F.broadcast(drawn), key).select(key, label, *features)
+    side = F.broadcast(drawn) if fits_broadcast(drawn) else drawn
+    sample = df.select(key, *features).join(side, key).select(key, label, *features)
     sample = materialise(sample)
     return zscore(sample, list(features)) if scale else sample
 
