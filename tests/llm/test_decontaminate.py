@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 import pytest
 
-from cohortry.llm.decontaminate import MASKS, contaminated, decontaminate
+from cohortry.llm.decontaminate import MASKS, SEEDS, contaminated, decontaminate
 
 WORDS = [f"w{k}" for k in range(4000)]
 
@@ -61,3 +62,44 @@ def test_edge_rows(spark, rows):
 
 def test_masks_have_one_span():
     assert len({len(m) for m in MASKS}) == 1 and {m.count("1") for m in MASKS} == {6}
+
+
+def test_seeds_miss_no_pattern_of_substitutions():
+    for length in range(10, 21):
+        fits = [[at + k for k, bit in enumerate(m) if bit == "1"] for m in SEEDS for at in range(length - len(m) + 1)]
+        for changed in combinations(range(length), length // 5):
+            assert any(not set(changed) & set(places) for places in fits), (length, changed)
+
+
+@pytest.mark.parametrize("length", [10, 15, 20, 50, 100])
+def test_every_fifth_token_substituted(rows, length):
+    rng = random.Random(length)
+    items = [(k, text(rng, length)) for k in range(5)]
+    docs = [
+        (k, f"{text(rng, 7)} {' '.join('other' if j % 5 == k else w for j, w in enumerate(item.split(' ')))} {text(rng, 7)}")
+        for k, item in items
+    ]
+    edges = [(5 + k, " ".join(item.split(" ")[length // 5 :])) for k, item in items]  # the beginning is missing
+    got = contaminated(rows("doc_id long, text string", *docs, *edges), rows("item_id long, text string", *items)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((k + n, k) for k in range(5) for n in (0, 5))
+
+
+def test_equals_a_search_without_seeds(rows):
+    rng = random.Random(3)
+    few = WORDS[:3]  # many chance hits
+    items = [(k, [rng.choice(few) for _ in range(rng.randint(10, 26))]) for k in range(12)]
+    near = lambda item: [rng.choice(few) if rng.random() < 0.3 else w for w in item]
+    some = lambda: [rng.choice(few) for _ in range(rng.randint(0, 20))]
+    docs = [(k, some() + near(items[k % 12][1])[rng.randint(0, 3) :] + some()) for k in range(48)]
+    want = {}
+    for d, words in docs:
+        for i, item in items:
+            width = min(len(item), 20)
+            for offset in range(-len(item) + 1, len(words)):
+                equal = [0 <= offset + k < len(words) and words[offset + k] == w for k, w in enumerate(item)]
+                best = max(sum(equal[s : s + width]) for s in range(len(item) - width + 1))
+                if best >= 0.8 * width:
+                    want[d, i] = max(want.get((d, i), (0, 0, 0)), (best, sum(equal), -offset))
+    as_rows = lambda name, data: rows(f"{name} long, text string", *((k, " ".join(w)) for k, w in data))
+    got = contaminated(as_rows("doc_id", docs), as_rows("item_id", items)).collect()
+    assert want and {(r.doc_id, r.item_id): (r.best_stretch, r.matched, -r.offset) for r in got} == want
