@@ -4,7 +4,9 @@ Tokens are the elements of a page, told apart by their path, and its texts, told
 whose numbers of occurrences agree on every page of a host form an equivalence class. A class is valid when it covers
 most of the host's different pages; classes nest as their paths do and make up the template. The valid classes that
 occur once a page are its frame; what lies between them and is no template text are the slots. The slot that holds
-nearly all of the varying text is the article, and it is cut out of every page of the host.
+nearly all of the varying text is the article, and it is cut out of every page of the host. A text in one valid class
+with the element around it is the template's own and is cut from the slot; a text in one of several like elements stays,
+since copies of an article on a host look the same.
 
 Occurrence vectors are compared by a hash that is summed up over the pages, so a host with a third of all pages is
 aggregated in parts like any other.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -149,12 +151,20 @@ class Page:
         order = lambda p: (bool(re.search(ARTICLE, p)), bool(re.search(MAIN, p)), p.count(">"), p)
         return max(held, key=order, default="")
 
-    def text(self, main: str | None) -> str:
-        """The blocks below ``main``, or below the page's own main element where it has no such element."""
+    def text(self, main: str | None, template: Collection[int] = ()) -> str:
+        """The blocks below ``main``, or below the page's own main element where it has no such element.
+
+        ``template``: tokens of texts that belong to the host's template and are left out.
+        """
         if main is None or main not in self.opened:
             main = self.main_path()
         inside = f"{main}>"
-        return "\n".join(t for path, t, apart in self.blocks if not apart and (path == main or path.startswith(inside) or not main))
+        held = ((p, t) for p, t, apart in self.blocks if not apart and (p == main or p.startswith(inside) or not main))
+        return "\n".join(t for p, t in held if not template or text_token(p, t) not in template)
+
+
+def text_token(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1 or 1
 
 
 def ancestors(path: str) -> list[str]:
@@ -169,7 +179,7 @@ def ancestors(path: str) -> list[str]:
 def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to one row per token: host, page, path, wording, count, chars.
 
-    ``wording`` is 0 for an element and a hash for a text; ``chars`` is the text below an element, or the length of
+    ``wording`` is 0 for an element and a hash of path and text for a text; ``chars`` is the text below an element, or the length of
     the text. The empty path stands for the page.
     """
     for batch in batches:
@@ -180,7 +190,7 @@ def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars = parsed.volume()
             rows += [(host, page, p, 0, n, chars[p]) for p, n in {"": 1, **parsed.opened}.items()]
             texts = Counter((p, t) for p, t, apart in parsed.blocks if not apart)
-            rows += [(host, page, p, xxhash.xxh64_intdigest(t) >> 1 or 1, n, len(t)) for (p, t), n in texts.items()]
+            rows += [(host, page, p, text_token(p, t), n, len(t)) for (p, t), n in texts.items()]
         names = ["host", "page", "path", "wording", "count", "chars"]
         types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
@@ -206,7 +216,10 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
 
 
 def templates(classes: DataFrame) -> DataFrame:
-    """(host, main): the path of the article's slot, for hosts with enough different pages."""
+    """(host, main, texts): the path of the article's slot and the tokens of template texts, for hosts with enough pages.
+
+    Where the template texts hold nearly all of the slot, the pages are copies of one article and the texts stay.
+    """
     sizes = classes.where((F.col("path") == "") & (F.col("wording") == 0)).select("host", F.col("pages").alias("all"))
     sized = classes.join(sizes.where(F.col("all") >= LEAST_PAGES), "host")
     valid = sized.where(F.col("pages") >= COVER * F.col("all"))
@@ -217,7 +230,7 @@ def templates(classes: DataFrame) -> DataFrame:
     # a class is named by what its tokens share; those that occur once on each of their pages form the frame
     frame = valid.where((F.col("wording") == 0) & (F.col("occurrences") == F.col("pages")))
     frame = frame.join(fixed, ["host", "path"], "left")
-    frame = frame.select("host", "path", (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("varying"), "vector")
+    frame = frame.select("host", "path", "chars", (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("varying"), "vector")
     whole = frame.where(F.col("path") == "").select("host", F.col("varying").alias("whole"))
     slots = frame.join(whole, "host").where((F.col("varying") >= MAIN_SHARE * F.col("whole")) & (F.col("varying") > 0))
     # of the nest of classes that hold the text: an article element, a main element, or else the innermost
@@ -226,16 +239,24 @@ def templates(classes: DataFrame) -> DataFrame:
         F.col("path").rlike(MAIN).alias("main"),
         F.size(F.split("path", ">")).alias("depth"),
         "path",
+        (F.col("varying") < (1 - MAIN_SHARE) * F.col("chars")).alias("copies"),
     )
     best = slots.where(~F.col("path").rlike(LEAF)).groupBy("host").agg(F.max(order).alias("best"))
-    return best.select("host", F.col("best.path").alias("main"))
+    # a text is the template's where it shares its class with its own element, which then never holds another text
+    same = ["host", "path", "pages", "occurrences", "vector"]
+    nested = valid.where((F.col("wording") == 0) & (F.col("pages") >= LEAST_PAGES)).select(same)
+    texts = valid.where(F.col("wording") != 0).join(nested, same)
+    texts = texts.groupBy("host").agg(F.collect_set("wording").alias("texts"))
+    return best.join(texts, "host", "left").select(
+        "host", F.col("best.path").alias("main"), F.when(~F.col("best.copies"), F.col("texts")).alias("texts")
+    )
 
 
 def cut_articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, main) to (page_id, url, text)."""
+    """(page_id, url, html, main, texts) to (page_id, url, text)."""
     for batch in batches:
-        mains = batch.column(3).to_pylist()
-        texts = [Page(html.as_py()).text(main) for html, main in zip(batch.column(2), mains, strict=True)]
+        templates_ = zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True)
+        texts = [Page(html.as_py()).text(main, frozenset(fixed.as_py() or ())) for html, main, fixed in templates_]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
@@ -248,7 +269,8 @@ def extract_text(
 
     White space inside a block becomes one space; character references are decoded. Parts whose element or whose
     class, id or role says that they lie beside the article (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments) are left out wherever they stand, as are scripts and styles. Where a host has fewer than three
+    forms, comments) are left out wherever they stand, as are scripts and styles, and so are texts of the host's
+    template (on at least 60 % of its different pages, in an element with no other text). Where a host has fewer than three
     different pages, or a page lacks the host's article slot, the page's own layout decides by the same rule.
 
     A null html is empty and gives an empty text; a null or malformed url has the empty host. Null ids and repeated
@@ -261,6 +283,6 @@ def extract_text(
     )
     classes = stored(equivalence_classes(source.select("host", "html")), "tokens")
     main = checked_broadcast(templates(classes))
-    joined = source.join(main, "host", "left").select("page_id", "url", "html", "main")
+    joined = source.join(main, "host", "left").select("page_id", "url", "html", "main", "texts")
     schema = f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string"
     return in_tasks(joined, cut_articles, schema).withColumn("n_chars", F.length("text").cast("long"))

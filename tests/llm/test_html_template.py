@@ -58,3 +58,29 @@ def test_documents_of_the_test_table(spark):
         assert r.text and "track(" not in r.text and "&copy;" not in r.text
         article = html.html.split("<article>")[1].split("</article>")[0]
         assert r.text.count("\n") <= article.count("<p>") + 1
+
+
+ARTICLE_TEXT = "<p>Story {k} tells at length of matter {k}, which no other page has.</p><p>It ends {k} times, and for good.</p>"
+
+
+def extracted(rows, *pages):
+    got = extract_text(rows("page_id long, url string, html string", *((k, "http://h.example/x", html) for k, html in enumerate(pages))))
+    return {r.page_id: r.text for r in got.collect()}
+
+
+def test_template_texts_in_the_slot_are_cut(rows):
+    shell = "<body><div class=post>{often}<div class='x1'>Read our offer</div>{text}<h4>Ask us.</h4></div></body>"
+    often = "<section class=x2><p>Now in colour</p></section>"  # on seven of ten pages
+    pages = [shell.format(often=often if k < 7 else "", text=ARTICLE_TEXT.format(k=k)) for k in range(10)]
+    for k, text in extracted(rows, *pages).items():
+        assert text == f"Story {k} tells at length of matter {k}, which no other page has.\nIt ends {k} times, and for good."
+
+
+def test_copies_of_an_article_stay_whole(rows):
+    shell = "<body><nav>{n}</nav><article><h1>T</h1>{text}</article></body>"
+    copies = [shell.format(n=n, text=ARTICLE_TEXT.format(k=0)) for n in range(4)]
+    whole = Page(copies[0]).text(None)
+    assert whole.count("\n") == 2 and set(extracted(rows, *copies).values()) == {whole}
+    assert extracted(rows, *copies[:2], shell.format(n=9, text=ARTICLE_TEXT.format(k=9)).replace("<h1>T</h1>", ""))[0] == whole
+    others = [shell.format(n=k, text=ARTICLE_TEXT.format(k=k)).replace("<h1>T</h1>", f"<h1>T {k}</h1>") for k in (7, 8)]
+    assert extracted(rows, *copies, *others)[0] == whole
