@@ -42,6 +42,7 @@ BLOCK = frozenset(
 # elements that are blocks of a text and no slot for one
 LEAF = r">(?:p|h[1-6]|li|ul|ol|dl|dt|dd|pre|table|tbody|tr|caption|figcaption|address|blockquote|summary)(?:\.[^>]*)?$"
 ARTICLE, MAIN = r">article(?:\.[^>]*)?$", r">main(?:\.[^>]*)?$"
+WHOLE = frozenset("html body main article".split())  # never apart by a class, id or role
 APART = frozenset("head nav header footer aside form menu dialog button select fieldset search".split())
 # an element of the first kind ends an open one of the second
 IMPLIED_END = {
@@ -73,7 +74,9 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, bool]] = []
         self.opened: Counter[str] = Counter()
-        self._stack: list[tuple[str, str, bool]] = []  # name, path, apart
+        self._stack: list[tuple[str, str, tuple[int, ...]]] = []  # name, path, the marked elements from the outermost on
+        self._held: list[tuple[str, str, tuple[int, ...]]] = []  # path, text, marked elements
+        self._marked = 0
         self._parts: list[str] = []
         at = 0
         while (tag := TAG.search(html, at)) is not None:
@@ -94,13 +97,35 @@ class Page:
                 self._open(name, tag["attributes"])
         self._parts.append(html[at:])
         self._flush()
+        around = self._around()
+        self.blocks = [(path, text, any(m not in around for m in marked)) for path, text, marked in self._held]
+
+    def _around(self) -> set[int]:
+        """Marked elements that are no parts beside the article, since they hold most of the text and hardly any is outside.
+
+        From the outermost on, as long as the marks leave less than a tenth of the text.
+        """
+        around: set[int] = set()
+        whole = sum(len(text) for _, text, _ in self._held)
+        while True:
+            left, below = 0, Counter()
+            for _, text, marked in self._held:
+                first = next((m for m in marked if m not in around), None)
+                if first is None:
+                    left += len(text)
+                else:
+                    below[first] += len(text)
+            largest = max(below, key=below.get, default=None)
+            if largest is None or left >= (1 - MAIN_SHARE) * whole or 2 * below[largest] <= whole:
+                return around
+            around.add(largest)
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", unescape("".join(self._parts))).strip()
         self._parts = []
         if text:
-            _, path, apart = self._stack[-1] if self._stack else ("", "", False)
-            self.blocks.append((path, text, apart))
+            _, path, marked = self._stack[-1] if self._stack else ("", "", ())
+            self._held.append((path, text, marked))
 
     def _open(self, name: str, attributes: str) -> None:
         self._flush()
@@ -114,13 +139,15 @@ class Page:
             if self._stack[k][0] in IMPLIED_END.get(name, ()):
                 del self._stack[k:]
                 break
-        _, path, apart = self._stack[-1] if self._stack else ("", "", False)
+        _, path, marked = self._stack[-1] if self._stack else ("", "", ())
         names = [a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)] if attributes else []
-        apart = apart or name in APART or any(BESIDE.search(n) for n in names)
+        if name in APART or (name not in WHOLE and any(BESIDE.search(n) for n in names)):
+            marked = (*marked, self._marked)
+            self._marked += 1
         label = ".".join([name, *sorted(NUMBERS.sub("", n) for n in names)])
         path = f"{path}>{label.replace('>', '')}"
         self.opened[path] += 1
-        self._stack.append((name, path, apart))
+        self._stack.append((name, path, marked))
 
     def _close(self, name: str) -> None:
         if name not in BLOCK:
@@ -269,7 +296,8 @@ def extract_text(
 
     White space inside a block becomes one space; character references are decoded. Parts whose element or whose
     class, id or role says that they lie beside the article (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments) are left out wherever they stand, as are scripts and styles, and so are texts of the host's
+    forms, comments) are left out wherever they stand, but html, body, main and article are none, nor is an element that
+    holds most of the page's text where less than a tenth would be left. Left out are scripts and styles as well, and texts of the host's
     template (on at least 60 % of its different pages, in an element with no other text). Where a host has fewer than three
     different pages, or a page lacks the host's article slot, the page's own layout decides by the same rule.
 

@@ -84,3 +84,22 @@ def test_copies_of_an_article_stay_whole(rows):
     assert extracted(rows, *copies[:2], shell.format(n=9, text=ARTICLE_TEXT.format(k=9)).replace("<h1>T</h1>", ""))[0] == whole
     others = [shell.format(n=k, text=ARTICLE_TEXT.format(k=k)).replace("<h1>T</h1>", f"<h1>T {k}</h1>") for k in (7, 8)]
     assert extracted(rows, *copies, *others)[0] == whole
+
+
+def test_wrappers_are_not_apart(rows):
+    names = [
+        "<body class='has-sidebar'>{}", "<body class='no-comments'>{}", "<article class='social-policy'>{}</article>",
+        "<form id=aspnetForm>{}</form>", "<div class='sidebar wide'><form class=page>{}</form></div><footer>Imprint</footer>",
+        "<main role=search>{}</main><div class=comments><p>Fine.</p></div>",
+    ]
+    inner = "<nav>Home</nav><div class=post>{}</div><div class=ad>Buy</div>".format(ARTICLE_TEXT.format(k=1))
+    want = Page(ARTICLE_TEXT.format(k=1)).text(None)
+    for k, name in enumerate(names):
+        assert Page(name.format(inner)).text(None) == want, name
+        single = rows("page_id long, url string, html string", *((j, f"http://h{k}.example/", name.format(inner.replace("1", str(j)))) for j in range(4)))
+        assert all(f"matter {r.page_id}," in r.text and "Buy" not in r.text and "Home" not in r.text for r in extract_text(single).collect())
+
+
+def test_long_comments_stay_apart():
+    page = "<body><div class=post>" + ARTICLE_TEXT.format(k=1) + "</div><div class=comments>" + "<p>I think so too.</p>" * 20 + "</div>"
+    assert Page(page).text(None) == Page(ARTICLE_TEXT.format(k=1)).text(None)
