@@ -94,7 +94,7 @@ SELECT doc_id, item_id, item_tokens, shift AS "offset", matched, best_stretch FR
 
 @query("op3_decontamination", DECONTAMINATE_SQL)
 def op3_decontamination(t: Tables) -> DataFrame:
-    return decontaminate.contaminated(t.documents, t.benchmark).drop("row")
+    return decontaminate.contaminated(t.documents, t.benchmark, short_items=True).drop("row")
 
 
 WARC_SQL = """

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from cohortry.llm.decontaminate import MASKS, SEEDS, contaminated, decontaminate
+from cohortry.llm.decontaminate import MASKS, SEEDS, contaminated, decontaminate, short_masks
 
 WORDS = [f"w{k}" for k in range(4000)]
 
@@ -103,3 +103,35 @@ def test_equals_a_search_without_seeds(rows):
     as_rows = lambda name, data: rows(f"{name} long, text string", *((k, " ".join(w)) for k, w in data))
     got = contaminated(as_rows("doc_id", docs), as_rows("item_id", items)).collect()
     assert want and {(r.doc_id, r.item_id): (r.best_stretch, r.matched, -r.offset) for r in got} == want
+
+
+def test_short_items(rows):
+    rng = random.Random(11)
+    items = [(n, " ".join(f"item{n}x{k}" for k in range(n))) for n in range(1, 10)]
+    whole = [(n, f"{text(rng, 4)} {item.upper()}. {text(rng, 4)}") for n, item in items]
+    changed = [(100 + 10 * n + k, " ".join("other" if j == k else w for j, w in enumerate(i.split(" ")))) for n, i in items for k in range(n)]
+    cut = [(300 + n, " ".join(i.split(" ")[1:])) for n, i in items]
+    docs, bench = rows("doc_id long, text string", *whole, *changed, *cut), rows("item_id long, text string", *items)
+    got = contaminated(docs, bench, short_items=True).collect()
+    want = [(n, n) for n in range(1, 10)] + [(100 + 10 * n + k, n) for n in range(5, 10) for k in range(n)] + [(300 + n, n) for n in range(5, 10)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    kept = {r.doc_id for r in decontaminate(docs, bench, short_items=True).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
+def test_short_masks_miss_no_pattern():
+    for length in range(1, 10):
+        fits = [[at + k for k, bit in enumerate(m) if bit == "1"] for m in short_masks(length) for at in range(length - len(m) + 1)]
+        for changed in combinations(range(length), length // 5):
+            assert any(not set(changed) & set(places) for places in fits), (length, changed)
+
+
+@pytest.mark.parametrize(
+    "item",
+    ["下列哪一项不是太阳系的行星请选择正确的答案", "次の文章を読んで、問いに答えなさい。カタカナのデータも", "จงเลือกคำตอบที่ถูกต้องที่สุดเพียงข้อเดียว"],
+)
+def test_scripts_without_spaces(rows, item):
+    changed = item[:6] + "X" + item[7:]
+    docs = rows("doc_id long, text string", (1, f"前文{item}後文"), (2, f"ab{changed}cd"), (3, item[::-1]), (4, "plain words"))
+    got = contaminated(docs, rows("item_id long, text string", (5, item))).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
