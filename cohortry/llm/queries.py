@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables
-from cohortry.llm import decontaminate, html_template, line_dedup, nn_descent, packing, pii, simhash, toxicity, training_order, warc
+from cohortry.llm import (
+    decontaminate,
+    hard_negatives,
+    html_template,
+    licenses,
+    line_dedup,
+    merkle,
+    nn_descent,
+    packing,
+    pii,
+    simhash,
+    toxicity,
+    training_order,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +188,104 @@ def op9_packing(t: Tables) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels)
+
+
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x) FOR x IN embedding::DOUBLE[]] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM scored WHERE same),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+         AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    WHERE p.nth <= 5)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def op11_hard_negatives(t: Tables) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(t.embeddings, F.col("vec_id") % 100 == 0, label=label)
+
+
+MERKLE_LEVELS = 8  # sixteen to the eighth leaves in a source
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, first: str) -> str:
+    """Levels of a tree over the nodes of ``first`` (s, i, n, h), and what lies left and right of every node."""
+    levels = [f"{name}0 AS ({first})"]
+    for k in range(MERKLE_LEVELS):
+        levels.append(
+            f"{name}{k + 1} AS (SELECT s, i // 16 AS i, any_value((n + 15) // 16) AS n, sha256(string_agg(h, '' ORDER BY i)) AS h"
+            f" FROM {name}{k} WHERE n > 1 GROUP BY s, i // 16)"
+        )
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {name}{k}" for k in range(MERKLE_LEVELS + 1))
+    sides = (
+        "SELECT a.s, a.k, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,"
+        " coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r"
+        f" FROM {name}_all a JOIN {name}_all b ON a.s = b.s AND a.k = b.k AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL"
+    )
+    tops = f"SELECT s, h, k FROM {name}_all WHERE n = 1"
+    return ",\n".join([*levels, f"{name}_all AS ({every})", f"{name}_sides AS ({sides})", f"{name}_top AS ({tops})"])
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE hit AS (
+    SELECT *, list_reduce(
+        [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')],
+        lambda crc, b: list_reduce(
+            [x::BIGINT FOR x IN range(8)],
+            lambda c, bit: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)),
+        4294967295::BIGINT) AS register
+    FROM documents),
+leaves AS (
+    SELECT doc_id, {_leaf("text")} AS leaf,
+           CASE WHEN xor(register, 4294967295) % 5 = 0
+                THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS seen,
+           dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM hit),
+{_tree("low", "SELECT s, i, n, leaf AS h FROM leaves")},
+{_tree("up", "SELECT 0 AS s, s AS i, count(*) OVER () AS n, h FROM low_top")},
+steps AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY up, k) AS nth, l, r FROM (
+        SELECT d.doc_id, 0 AS up, x.k, x.l, x.r FROM leaves d JOIN low_sides x ON x.s = d.s AND x.i = d.i // (16 ** x.k)::BIGINT
+        UNION ALL
+        SELECT d.doc_id, 1, x.k, x.l, x.r FROM leaves d JOIN up_sides x ON x.i = d.s // (16 ** x.k)::BIGINT)),
+folded AS (
+    SELECT doc_id, 0::BIGINT AS nth, seen AS h FROM leaves
+    UNION ALL
+    SELECT f.doc_id, x.nth, sha256(x.l || f.h || x.r) FROM folded f JOIN steps x ON x.doc_id = f.doc_id AND x.nth = f.nth + 1),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY nth) AS texts FROM steps GROUP BY doc_id),
+ends AS (SELECT doc_id, arg_max(h, nth) AS folded_root FROM folded GROUP BY doc_id)
+SELECT d.doc_id, d.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(p.texts, '')) AS proof_sha256, e.folded_root,
+       e.folded_root = u.h AS verified
+FROM leaves d JOIN low_top t ON t.s = d.s CROSS JOIN up_top u JOIN ends e ON e.doc_id = d.doc_id
+     LEFT JOIN proofs p ON p.doc_id = d.doc_id
+"""
+
+
+@query("op12_merkle", MERKLE_SQL)
+def op12_merkle(t: Tables) -> DataFrame:
+    return merkle.checked_documents(t.documents)
+
+
+@query("op13_licenses")
+def op13_licenses(t: Tables) -> DataFrame:
+    return licenses.license_statements(t.documents)
