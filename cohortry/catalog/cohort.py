@@ -12,6 +12,7 @@ import math
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import query
+from cohortry.catalog.relational import coverage_sql
 from cohortry.catalog.statistics import BOX_COLUMNS, _rounded_box_sql, box_sql, label_sql, rank_sum_sql, t975_sql, upper_tail_sql
 from cohortry.operators import sets as U
 from cohortry.plans import tumour_cohort as P
@@ -20,12 +21,19 @@ from cohortry.sources.delimited import write_delimited
 
 _KEY = "lpad('' || c_custkey, 10, '0')"
 
+# The first customers bear the ids that the analysis names: the excluded controls, then the known duplicate.
+_NAMED = [*P.EXCLUDED_CONTROLS, P.KNOWN_DUPLICATE[0]]
+_N_EXCLUDED = len(P.EXCLUDED_CONTROLS)
+_DUPLICATE_KEY = len(_NAMED)
+
 _BASES = {
     "samples": f"""
-        SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment = 'HOUSEHOLD' AS control,
-               CASE WHEN c_mktsegment = 'BUILDING' THEN 's_C_' || {_KEY} ELSE 'P-' || {_KEY} || '-T01-WES' END AS sid,
-               'P-' || {_KEY} || '-T01-IM6' AS dmp, 'H' || {_KEY} AS scar_id
-        FROM customer
+        SELECT c_custkey, c_nationkey, c_acctbal, control, coalesce(named, CASE WHEN c_mktsegment = 'BUILDING' THEN 's_C_' || {_KEY}
+                                                                               ELSE 'P-' || {_KEY} || '-T01-WES' END) AS sid,
+               coalesce(replace(named, 'WES', 'IM6'), 'P-' || {_KEY} || '-T01-IM6') AS dmp, 'H' || {_KEY} AS scar_id
+        FROM (SELECT *, c_custkey <= {_N_EXCLUDED} OR (c_mktsegment = 'HOUSEHOLD' AND c_custkey <> {_DUPLICATE_KEY}) AS control,
+                     CASE c_custkey {" ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(_NAMED, 1))} END AS named
+              FROM customer) c
     """,
     "calls": """
         SELECT s.sid, s.scar_id, s.control, s.c_nationkey, l_partkey, l_linenumber, l_quantity, l_discount, l_tax,
@@ -49,7 +57,8 @@ _SIGNATURES = """
     SELECT sid AS Tumor_Sample_Barcode, 'Signature.' || k AS Signature,
            sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY sid) AS mean
     FROM (SELECT sid, l_quantity,
-                 CASE WHEN c_nationkey < 7 AND l_linenumber BETWEEN 3 AND 6 THEN '15'
+                 CASE WHEN c_nationkey = 3 AND l_linenumber IN (2, 3, 4, 6) THEN '15'
+                      WHEN c_nationkey < 7 AND c_nationkey <> 3 AND l_linenumber BETWEEN 3 AND 6 THEN '15'
                       WHEN c_nationkey BETWEEN 7 AND 12 AND l_linenumber BETWEEN 3 AND 6 THEN '13'
                       WHEN c_nationkey BETWEEN 13 AND 18 AND l_linenumber BETWEEN 3 AND 6 THEN '10'
                       WHEN l_linenumber = 1 AND c_nationkey < 24 THEN '3' WHEN l_linenumber <= 2 THEN '8'
@@ -60,7 +69,8 @@ _SIGNATURES = """
 """
 _SPECTRUM = """
     SELECT sid AS Tumor_Sample_Barcode,
-           count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS AF,
+           count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F')
+               * max(CASE WHEN c_nationkey % 6 = 3 THEN 16 ELSE 1 END) AS AF,
            count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') AS AO,
            count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'F') AS NF,
            count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS NO_,
@@ -84,16 +94,20 @@ _CANCER = """
 def _inputs() -> dict[str, str]:
     case, control = "NOT control", "control"
     tables = {
-        "variants": """
+        # a fifth of the case samples has no variants, a fifth only somatic and a fifth only germline ones
+        "variants": f"""
             SELECT sid AS sample,
-                   CASE o_orderstatus WHEN 'F' THEN 'Germline' WHEN 'O' THEN 'Somatic' ELSE 'Germline,Somatic' END AS BRCA_Type,
+                   CASE WHEN c_custkey % 5 = 1 THEN 'Somatic' WHEN c_custkey % 5 = 2 THEN 'Germline'
+                        WHEN o_orderstatus = 'F' THEN 'Germline' WHEN o_orderstatus = 'O' THEN 'Somatic'
+                        ELSE 'Germline,Somatic' END AS BRCA_Type,
                    'p.G' || o_orderkey || 'fs' AS HGVSp_Short,
                    CASE WHEN month(o_orderdate) <= 6 THEN 'BRCA1' ELSE 'BRCA2' END AS Hugo_Symbol,
-                   CASE WHEN day(o_orderdate) <= 9 THEN 'AI_LOH_ALT' WHEN day(o_orderdate) <= 12 THEN 'AI_LOH_REF'
+                   CASE WHEN c_custkey = {_DUPLICATE_KEY} AND o_orderkey % 2 = 0 THEN '{P.KNOWN_DUPLICATE[1]}'
+                        WHEN day(o_orderdate) <= 9 THEN 'AI_LOH_ALT' WHEN day(o_orderdate) <= 12 THEN 'AI_LOH_REF'
                         WHEN day(o_orderdate) <= 16 THEN 'AI_ALT' WHEN day(o_orderdate) <= 19 THEN 'AI_REF'
                         WHEN day(o_orderdate) <= 22 THEN 'subclonal' WHEN day(o_orderdate) <= 28 THEN 'None' END AS zygosity_flag
             FROM orders JOIN samples ON o_custkey = c_custkey
-            WHERE NOT control
+            WHERE NOT control AND c_custkey % 5 <> 0
         """,
         "clinical": f"""
             SELECT sid AS CMO_ID, dmp AS DMP_ID, CASE WHEN c_acctbal BETWEEN 0 AND 100 THEN 'failed' END AS Sample_QC,
@@ -186,6 +200,7 @@ _MERGED = f"""
                       ) ON CMO_ID = Tumor_Sample_Barcode
                       WHERE BRCA_Type = 'Germline' AND Variant_Type = 'deletion')
         UNION ALL SELECT DISTINCT Tumor_Sample_Barcode, 'WT', 'WT', 'None' FROM control_mutations
+                  WHERE Tumor_Sample_Barcode NOT IN ({", ".join(f"'{name}'" for name in P.EXCLUDED_CONTROLS)})
     ),
     counted AS (
         SELECT merged.*, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2,
@@ -268,18 +283,24 @@ _ANNOTATED = [
     *_step_ctes("d", f"b{len(_BROAD_STEPS)}", "detailed_pattern", _DETAIL_STEPS),
     f"""annotated AS MATERIALIZED (
         SELECT sample, Germline_mutation, Somatic_mutation, Tumor_zygosity, nullif(c, 'Others') AS pattern, detailed_pattern
-        FROM d{len(_DETAIL_STEPS)})""",
+        FROM d{len(_DETAIL_STEPS)}
+        WHERE NOT (sample = '{P.KNOWN_DUPLICATE[0]}' AND Tumor_zygosity = '{P.KNOWN_DUPLICATE[1]}'))""",
 ]
 
 
+def annotated_rows(x: P.CohortInputs):
+    """The annotation with the analysis' exclusions."""
+    return P.annotate(x, P.KNOWN_DUPLICATE, P.EXCLUDED_CONTROLS)
+
+
 def annotated_cohort(t):
     x = cohort_inputs(t)
-    return x, materialise(P.annotate(x))
+    return x, materialise(annotated_rows(x))
 
 
 @query("cohort_annotation", with_sql(*_ANNOTATED, last="SELECT * FROM annotated"))
 def cohort_annotation(t):
-    return P.annotate(cohort_inputs(t))
+    return annotated_rows(cohort_inputs(t))
 
 
 @query("cohort_from_files", with_sql(*_ANNOTATED, last="SELECT * FROM annotated"))
@@ -291,7 +312,7 @@ def cohort_from_files(t):
         if not name.endswith("spectrum"):  # further columns, and the wanted ones in another order
             table = table.select(F.lit(1).alias("extra"), *reversed(table.columns), F.lit("x").alias("further"))
         write_delimited(table, files[name])
-    return P.annotate(P.cohort_from_files(t.spark, files))
+    return annotated_rows(P.cohort_from_files(t.spark, files))
 
 
 @query(
@@ -425,34 +446,39 @@ def cohort_model_table(t):
     )
 
 
+_OUTLIERS = [
+    """burden AS (SELECT a.*, log2(total) AS b FROM annotated a JOIN totals USING (sample))""",
+    """cut AS (SELECT median(b) + 1.5 * (quantile_cont(b, 0.75) - quantile_cont(b, 0.25)) AS cutoff FROM burden)""",
+    """ids AS (SELECT source, min(struct_pack(r := r, t := target)).t AS target
+               FROM (SELECT CMO_ID AS source, DMP_ID AS target, 0 AS r FROM passed
+                     UNION ALL SELECT SAMPLE_ID, DMP_ID, 1 FROM id_mapping) GROUP BY source)""",
+    """outliers AS (
+        SELECT DISTINCT sample, CASE WHEN contains(sample, 'WES') THEN replace(sample, 'WES', 'IM6')
+                                     WHEN contains(sample, 's_C_') THEN target END AS DMP_ID
+        FROM burden LEFT JOIN ids ON sample = source, cut WHERE b >= cutoff)""",
+    """shares AS (
+        SELECT Tumor_Sample_Barcode AS sample,
+               sum(mean) FILTER (Signature IN ('Signature.6', 'Signature.15', 'Signature.20', 'Signature.26')) AS mmr,
+               sum(mean) FILTER (Signature IN ('Signature.2', 'Signature.13')) AS apobec,
+               sum(mean) FILTER (Signature = 'Signature.10') AS pole FROM sig GROUP BY 1)""",
+    """hot AS (SELECT Tumor_Sample_Barcode AS sample, min(HGVSp_Short) AS hotspot
+               FROM (SELECT * FROM mutations UNION ALL SELECT * FROM control_mutations)
+               WHERE contains(Hugo_Symbol, 'POLE') AND (contains(HGVSp_Short, 'P286') OR contains(HGVSp_Short, 'V411'))
+               GROUP BY 1)""",
+    """scores AS (
+        SELECT o.sample, o.DMP_ID, coalesce(MSI_SCORE, 0.04) AS MSI_SCORE, coalesce(hotspot, 'POLE Somatic WT') AS hotspot,
+               mmr, apobec, pole
+        FROM outliers o LEFT JOIN msi ON o.DMP_ID = msi.SAMPLE_ID
+        LEFT JOIN shares ON o.sample = shares.sample LEFT JOIN hot ON o.sample = hot.sample)""",
+]
+
+
 @query(
     "cohort_hypermutation",
     with_sql(
         *_ANNOTATED,
         *_MEASURES,
-        """burden AS (SELECT a.*, log2(total) AS b FROM annotated a JOIN totals USING (sample))""",
-        """cut AS (SELECT median(b) + 1.5 * (quantile_cont(b, 0.75) - quantile_cont(b, 0.25)) AS cutoff FROM burden)""",
-        """ids AS (SELECT source, min(struct_pack(r := r, t := target)).t AS target
-                   FROM (SELECT CMO_ID AS source, DMP_ID AS target, 0 AS r FROM passed
-                         UNION ALL SELECT SAMPLE_ID, DMP_ID, 1 FROM id_mapping) GROUP BY source)""",
-        """outliers AS (
-            SELECT DISTINCT sample, CASE WHEN contains(sample, 'WES') THEN replace(sample, 'WES', 'IM6')
-                                         WHEN contains(sample, 's_C_') THEN target END AS DMP_ID
-            FROM burden LEFT JOIN ids ON sample = source, cut WHERE b >= cutoff)""",
-        """shares AS (
-            SELECT Tumor_Sample_Barcode AS sample,
-                   sum(mean) FILTER (Signature IN ('Signature.6', 'Signature.15', 'Signature.20', 'Signature.26')) AS mmr,
-                   sum(mean) FILTER (Signature IN ('Signature.2', 'Signature.13')) AS apobec,
-                   sum(mean) FILTER (Signature = 'Signature.10') AS pole FROM sig GROUP BY 1)""",
-        """hot AS (SELECT Tumor_Sample_Barcode AS sample, min(HGVSp_Short) AS hotspot
-                   FROM (SELECT * FROM mutations UNION ALL SELECT * FROM control_mutations)
-                   WHERE contains(Hugo_Symbol, 'POLE') AND (contains(HGVSp_Short, 'P286') OR contains(HGVSp_Short, 'V411'))
-                   GROUP BY 1)""",
-        """scores AS (
-            SELECT o.sample, o.DMP_ID, coalesce(MSI_SCORE, 0.04) AS MSI_SCORE, coalesce(hotspot, 'POLE Somatic WT') AS hotspot,
-                   mmr, apobec, pole
-            FROM outliers o LEFT JOIN msi ON o.DMP_ID = msi.SAMPLE_ID
-            LEFT JOIN shares ON o.sample = shares.sample LEFT JOIN hot ON o.sample = hot.sample)""",
+        *_OUTLIERS,
         """mechanism AS (
             SELECT scores.*, CASE WHEN pole IS NULL THEN NULL WHEN pole >= 0.5 THEN 'POLE Mutation'
                                   WHEN apobec IS NULL THEN NULL WHEN apobec >= 0.5 THEN 'APOBEC Mutation'
@@ -484,6 +510,30 @@ def cohort_hypermutation(t):
     )
 
 
+_MECHANISM_STEPS = [
+    ("MSI_SCORE >= cutoff AND mmr >= 0.5", "MSI High"),
+    ("apobec >= 0.5", "APOBEC Mutation"),
+    ("pole >= 0.5", "POLE Mutation"),
+]
+
+
+@query(
+    "cohort_rule_coverage",
+    with_sql(
+        *_ANNOTATED,
+        *_MEASURES,
+        *_OUTLIERS,
+        last=" UNION ALL ".join([
+            coverage_sql("broad", "counted", _BROAD_STEPS, "Others"),
+            coverage_sql("detailed", f"b{len(_BROAD_STEPS)}", _DETAIL_STEPS, "Others"),
+            coverage_sql("mechanism", "scores, cut", _MECHANISM_STEPS, "Unknown Significance"),
+        ]),
+    ),
+)
+def cohort_rule_coverage(t):
+    return P.rule_coverage(cohort_inputs(t), P.KNOWN_DUPLICATE, P.EXCLUDED_CONTROLS)
+
+
 # --- Comparisons ------------------------------------------------------------------------
 
 _LEVELS_SQL = ", ".join(f"'{v}'" for v in P.CANCER_LEVELS)

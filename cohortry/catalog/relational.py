@@ -221,6 +221,27 @@ def rule_cascade(t):
     return customer_patterns(t)
 
 
+def coverage_sql(cascade: str, source: str, steps, default: str) -> str:
+    """Every rule's condition on every row, as a list; a rule is last when no later one is true or unknown."""
+    conditions, values = ", ".join(f"({c})" for c, _ in steps), ", ".join(f"'{v}'" for v in (default, *(v for _, v in steps)))
+    return f"""
+        SELECT '{cascade}' AS cascade, CAST(k AS INTEGER) AS rule, [{values}][k + 1] AS value,
+               count(*) FILTER (this) AS hits, count(*) FILTER (this IS NULL) AS unknown,
+               count(*) FILTER (this AND NOT later) AS decided, count(*) FILTER (this IS NULL AND NOT later) AS erased,
+               count(*) FILTER (this AND later) AS shadowed
+        FROM (SELECT k, CASE WHEN k = 0 THEN true ELSE found[k] END AS this,
+                     len([f FOR f IN found[k + 1:] IF coalesce(f, true)]) > 0 AS later
+              FROM (SELECT [{conditions}] AS found FROM {source}), (SELECT unnest(range({len(steps) + 1})) AS k))
+        GROUP BY k
+    """
+
+
+@query("rule_coverage", coverage_sql("customers", f"({EVENT_COUNTS_SQL})", _RULE_STEPS, "Others"))
+def rule_coverage(t):
+    rules = [(F.expr(condition), value) for condition, value in _RULE_STEPS]
+    return R.rule_coverage(customer_event_counts(t), rules, "Others").withColumn("cascade", F.lit("customers"))
+
+
 @query(
     "refine_class",
     f"""

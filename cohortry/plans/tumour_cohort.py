@@ -374,13 +374,18 @@ def detail_rules(class_col: str = "pattern") -> list[R.Rule]:
     return rules
 
 
-def classify(samples: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Add the broad class (``pattern``; unlisted ones NULL) and the detailed pattern."""
+def broad_classes(samples: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Event counts and the broad class, unlisted ones included."""
     events = mutations.withColumnRenamed("Tumor_Sample_Barcode", "sample")
     counted = A.event_counts(
         samples, events, "sample", "Variant_Classification", PATHOGENIC, "Hugo_Symbol", EVENT_PATTERNS
     )
-    broad = R.rule_cascade(counted, "pattern", broad_rules(), OTHERS)
+    return R.rule_cascade(counted, "pattern", broad_rules(), OTHERS)
+
+
+def classify(samples: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Add the broad class (``pattern``; unlisted ones NULL) and the detailed pattern."""
+    broad = broad_classes(samples, mutations)
     detailed = R.rule_cascade(broad, "detailed_pattern", detail_rules(), OTHERS)
     return detailed.withColumn("pattern", as_level("pattern", CLASS_LEVELS)).drop(*EVENT_PATTERNS)
 
@@ -515,11 +520,8 @@ def measured_samples(annotated: DataFrame, x: CohortInputs) -> DataFrame:
 # --- Outliers -----------------------------------------------------------------------
 
 
-def hypermutation(annotated: DataFrame, x: CohortInputs, msi_cutoff: float | None = None, default_msi: float = DEFAULT_MSI) -> DataFrame:
-    """Annotated rows with burden, outlier flag and proposed mechanism.
-
-    ``msi_cutoff`` defaults to the burden cutoff, as the original analysis has it.
-    """
+def outlier_scores(annotated: DataFrame, x: CohortInputs, default_msi: float = DEFAULT_MSI) -> tuple[DataFrame, DataFrame]:
+    """Annotated rows with burden, cutoff and outlier flag, and the scores of the outlying samples."""
     burden = J.inner_join(annotated, mutation_burden(x), "sample")
     flagged = materialise(K.flag_outliers(burden, "Total_Mutational_Burdens", 1.5, "is_hypermutated"))
     outliers = flagged.where("is_hypermutated").select("sample", "cutoff").distinct()
@@ -545,20 +547,41 @@ def hypermutation(annotated: DataFrame, x: CohortInputs, msi_cutoff: float | Non
         "mean",
         SIGNATURE_GROUPS,
     )
-    explained = R.propose_mechanism(
-        J.score_lookup(scored, shares, "sample"),
-        "Proposed_mechanism",
-        "MSI_SCORE",
-        F.col("cutoff") if msi_cutoff is None else msi_cutoff,
-        "MMR_Signature_Percentage",
-        "APOBEC_Score",
-        "POLE_Score",
-    ).drop("cutoff")
+    return flagged, J.score_lookup(scored, shares, "sample")
+
+
+def mechanism_rules(msi_cutoff: float | None = None) -> list[R.Rule]:
+    """``msi_cutoff`` defaults to the burden cutoff, as the original analysis has it."""
+    cutoff = F.col("cutoff") if msi_cutoff is None else msi_cutoff
+    return R.mechanism_rules("MSI_SCORE", cutoff, "MMR_Signature_Percentage", "APOBEC_Score", "POLE_Score")
+
+
+def hypermutation(annotated: DataFrame, x: CohortInputs, msi_cutoff: float | None = None, default_msi: float = DEFAULT_MSI) -> DataFrame:
+    """Annotated rows with burden, outlier flag and proposed mechanism."""
+    flagged, scored = outlier_scores(annotated, x, default_msi)
+    explained = R.rule_cascade(scored, "Proposed_mechanism", mechanism_rules(msi_cutoff), R.MECHANISMS["unknown"])
     return J.left_join(
-        flagged.drop("cutoff"), explained, "sample", {"Proposed_mechanism": R.MECHANISMS["not_outlier"]}
+        flagged.drop("cutoff"), explained.drop("cutoff"), "sample", {"Proposed_mechanism": R.MECHANISMS["not_outlier"]}
     )
 
 
+def rule_coverage(
+    x: CohortInputs, drop_known: tuple[str, str] | None = None, excluded: Sequence[str] = ()
+) -> DataFrame:
+    """What every rule of the three cascades does on the cohort: (cascade, rule, value, hits, ...).
+
+    Broad and detailed rules are counted over all merged samples, mechanisms over the outlying ones.
+    """
+    classed = materialise(broad_classes(merged_samples(x, excluded), x.mutations))
+    _, scored = outlier_scores(annotate(x, drop_known, excluded), x)
+    cascades = {
+        "broad": R.rule_coverage(classed, broad_rules(), OTHERS),
+        "detailed": R.rule_coverage(classed, detail_rules(), OTHERS),
+        "mechanism": R.rule_coverage(scored, mechanism_rules(), R.MECHANISMS["unknown"]),
+    }
+    return U.union_by_name(*(df.withColumn("cascade", F.lit(name)) for name, df in cascades.items()))
+
+
 def hotspots(x: CohortInputs) -> DataFrame:
     """Protein changes at the hotspot residues of one gene, both cohorts."""
     columns = ["Tumor_Sample_Barcode", "Hugo_Symbol", "HGVSp_Short"]

@@ -185,3 +185,23 @@ def test_counts_and_subset(inputs, annotated):
 def test_ids_can_be_normalised(inputs):
     x = P.normalise_ids(inputs[0], lambda c: F.replace(c, F.lit("s_C_"), F.lit("case-")))
     assert "case-6" in {r["sample"] for r in P.merged_samples(x).collect()}
+
+
+def test_derived_cohort_reaches_every_rule_and_class(spark):
+    """No rule, class or mechanism of the test tables is empty, nor are the excluded and the duplicate rows."""
+    from cohortry.catalog import cohort as C
+    from cohortry.catalog.registry import Tables
+
+    x = C.cohort_inputs(Tables(spark, "/root/testdata/sf0.01"))
+    coverage = P.rule_coverage(x, P.KNOWN_DUPLICATE, P.EXCLUDED_CONTROLS).collect()
+    sizes = {name: sum(r.cascade == name for r in coverage) for name in ("broad", "detailed", "mechanism")}
+    assert sizes == {"broad": 22, "detailed": 17, "mechanism": 4}
+    assert all(r.decided > 0 for r in coverage), [r for r in coverage if not r.decided]
+    whole, kept = materialise(P.annotate(x)), materialise(C.annotated_rows(x))
+    assert {r["pattern"] for r in kept.select("pattern").distinct().collect()} == {*P.CLASS_LEVELS, None}
+    sample, zygosity = P.KNOWN_DUPLICATE
+    named = f"sample = '{sample}'"
+    assert whole.where(f"{named} and Tumor_zygosity = '{zygosity}'").count() == 1
+    assert kept.where(named).count() == whole.where(named).count() - 1 > 0
+    excluded = F.col("sample").isin(P.EXCLUDED_CONTROLS)
+    assert (whole.where(excluded).count(), kept.where(excluded).count()) == (len(P.EXCLUDED_CONTROLS), 0)

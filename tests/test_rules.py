@@ -1,7 +1,9 @@
 """Cascades against a step-by-step evaluation, for all truth values."""
 
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators import rules as R
@@ -21,6 +23,26 @@ def test_cascade_equals_sequential_rules_for_all_truth_values(spark):
         assert got[i] == expected, conditions
 
 
+@pytest.mark.parametrize("n_rules", [0, 1, 4, 63, 64, 130])
+def test_coverage_equals_counting_row_by_row(spark, n_rules):
+    """Three-valued conditions drawn at random; masks are split into words of 63 rules."""
+    draw = random.Random(n_rules)
+    table = [(i, [draw.choice((True, False, False, None, False)) for _ in range(n_rules)]) for i in range(200)]
+    df = spark.createDataFrame(table * 2, "id int, c array<boolean>")
+    rules = [(F.col("c")[k], f"v{k + 1}") for k in range(n_rules)]
+    expected = {k: [0] * 5 for k in range(n_rules + 1)}
+    for _, found in table * 2:
+        found = [True, *found]
+        last = max(k for k, f in enumerate(found) if f is not False)
+        for k, f in enumerate(found):
+            flags = (f is True, f is None, f is True and k == last, f is None and k == last, f is True and k < last)
+            expected[k] = [n + flag for n, flag in zip(expected[k], flags, strict=True)]
+    got = R.rule_coverage(df, rules, "none").collect()
+    assert {r.rule: [r.hits, r.unknown, r.decided, r.erased, r.shadowed] for r in got} == expected
+    assert [r.value for r in got] == ["none", *(v for _, v in rules)]
+    assert all(r.decided == r.hits == 0 for r in R.rule_coverage(df.limit(0), rules, "none").collect())
+
+
 def test_cascade_without_rules_gives_the_default(spark):
     assert R.rule_cascade(spark.range(1), "out", [], "d").first()["out"] == "d"
 
