@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.nulls import ColumnLike, as_column
-from cohortry.session import checked_broadcast
+from cohortry.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, checked_broadcast, materialise
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -96,39 +96,83 @@ def assert_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return df
 
 
+GRAM_LENGTHS = (8, 4, 2, 1)  # an id is looked for by grams of the longest of these that it holds
+CHUNK_CHARS = 1 << 16
+
+
+def _grams(text: Column, length: int) -> Column:
+    """All overlapping substrings of one length, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def _chunks(text: Column) -> Column:
+    """A long text in overlapping parts, so that the grams of one part are what a task holds."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK_CHARS))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(CHUNK_CHARS + GRAM_LENGTHS[0] - 1)))
+
+
+def _anchored(ids: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash of a text) pairs among which all containments are; to be verified against the texts."""
+    text, size = F.col(text_col), F.length("__id")
+    wanted = ids.select(F.col(id_col).alias("__id")).where(F.col(id_col).isNotNull()).distinct()
+    own = F.array(F.lit(""))  # an empty id
+    for n in GRAM_LENGTHS[::-1]:
+        own = F.when(size >= n, F.array_distinct(_grams(F.col("__id"), n))).otherwise(own)
+    id_grams = materialise(wanted.select("__id", F.explode(own).alias("__gram")))
+    known = id_grams.select("__gram").distinct()
+    bytes_of = F.sum(F.octet_length("__gram") + 32)
+    sizes = known.agg(F.count(F.lit(1)).alias("n"), bytes_of.alias("b"), F.collect_set(F.length("__gram")).alias("lengths")).first()
+    if sizes["n"] <= BROADCAST_MAX_ROWS and (sizes["b"] or 0) <= BROADCAST_MAX_BYTES:
+        known = F.broadcast(known)
+
+    # at most five gram lengths; the empty gram stands in every text
+    held = F.concat(*(_grams(F.col("__part"), n) for n in sizes["lengths"] if n), F.array(F.lit("")))
+    every = texts.select(text_col).where(text.isNotNull()).distinct()
+    parts = every.select(F.xxhash64(text).alias("__text"), F.explode(_chunks(text)).alias("__part"))
+    text_grams = parts.select("__text", F.explode(F.array_distinct(held)).alias("__gram"))
+    index = text_grams.join(known, "__gram", "left_semi").distinct()
+    frequency = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
+    ranked = id_grams.join(frequency, "__gram", "left")
+    rarest = F.min(F.struct(F.coalesce("__texts", F.lit(0)).alias("texts"), F.col("__gram").alias("gram")))
+    anchors = ranked.groupBy("__id").agg(rarest.alias("__anchor")).where(F.col("__anchor.texts") > 0)
+    return index.join(anchors.select("__id", F.col("__anchor.gram").alias("__gram")), "__gram").select("__id", "__text")
+
+
+def _verified(texts: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``texts`` with every id that their text contains; equal hashes only add comparisons."""
+    marked = texts.withColumn("__text", F.xxhash64(F.col(text_col))).where(F.col(text_col).isNotNull())
+    met = marked.join(candidates, "__text").where(F.col(text_col).contains(F.col("__id")))
+    return met.drop("__text").withColumnRenamed("__id", id_col)
+
+
 def contained_pairs(ids: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct (id, text) pairs where the text contains the id.
 
-    Instead of testing all pairs, each distinct text is expanded to its substrings of
-    the lengths that ids have, and those are matched by equality.  The expansion grows
-    with text length times the number of id lengths, which suits identifier-like texts.
+    Every id is represented by one anchor, the gram of it that the fewest texts hold. Texts are cut into grams of at
+    most four lengths, whatever lengths ids have, and only grams that some id has are kept; their counts over the
+    texts are the index that chooses the anchors. An id with a gram that no text holds is left out. Texts that hold an
+    anchor are compared with its ids. The rows grow with the characters of the distinct texts, and the comparisons
+    with the texts per rarest gram. NULL ids and texts match nothing; an empty id is contained in every text.
     """
-    wanted = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    lengths = wanted.agg(F.collect_set(F.length(id_col)).alias("lengths"))
-    text = F.col(text_col)
-    # one row per length and place; no text holds all its substrings at once
-    sized = (
-        texts.select(text_col)
-        .where(text.isNotNull())
-        .distinct()
-        .withColumn("__n", F.explode(lengths.scalar()))
-        .where(F.col("__n") <= F.length(text))
-    )
-    placed = sized.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1)))
-    expanded = placed.select(text_col, F.substring(text, F.col("__at"), F.col("__n")).alias(id_col))
-    return expanded.join(wanted, id_col, "left_semi").select(id_col, text_col).distinct()
+    candidates = _anchored(ids, texts, id_col, text_col)
+    return _verified(texts.select(text_col).distinct(), candidates, id_col, text_col).select(id_col, text_col)
 
 
 def contains_join(
     ids: DataFrame, events: DataFrame, id_col: str, text_col: str, match: str = "contains"
 ) -> DataFrame:
-    """For every distinct id, the event rows whose text contains (or equals) the id."""
+    """For every distinct id, the event rows whose text contains (or equals) the id.
+
+    With ``contains`` the event rows are written once, as both the index of their texts and the join read them; a
+    filter or join behind ``events`` then runs once.
+    """
     if match == "exact":
         wanted = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
         return events.join(wanted.withColumn(text_col, F.col(id_col)), text_col)
     if match != "contains":
         raise ValueError("match must be 'contains' or 'exact'")
-    return events.join(contained_pairs(ids, events, id_col, text_col), text_col)
+    events = materialise(events)
+    return _verified(events, _anchored(ids, events, id_col, text_col), id_col, text_col)
 
 
 def first_match(dim: DataFrame, key: str, order: ColumnLike | Sequence[ColumnLike], values: Sequence[str]) -> DataFrame:

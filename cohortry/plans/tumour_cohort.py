@@ -408,9 +408,13 @@ def annotate(
 # --- Measures -----------------------------------------------------------------------
 
 
-def signature_share(x: CohortInputs, signature: str, out: str) -> DataFrame:
-    both = U.union_by_name(x.signatures, x.control_signatures)
-    return both.where(F.col("Signature") == signature).select(
+def signature_rows(x: CohortInputs, signatures: Sequence[str]) -> DataFrame:
+    """The rows of some signatures, both cohorts."""
+    return U.union_by_name(x.signatures, x.control_signatures).where(in_list("Signature", signatures))
+
+
+def signature_share(rows: DataFrame, signature: str, out: str) -> DataFrame:
+    return rows.where(F.col("Signature") == signature).select(
         F.col("Tumor_Sample_Barcode").alias("sample"), F.col("mean").alias(out)
     )
 
@@ -427,10 +431,10 @@ def mutation_totals(x: CohortInputs) -> DataFrame:
     return U.union_by_name(totals(x.spectrum), totals(x.control_spectrum))
 
 
-def signature_activity(x: CohortInputs, totals: DataFrame | None = None) -> DataFrame:
+def signature_activity(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """Share times total."""
-    share = signature_share(x, "Signature.3", "share")
-    return J.inner_join(share, mutation_totals(x) if totals is None else totals, "sample").select(
+    share = signature_share(rows, "Signature.3", "share")
+    return J.inner_join(share, totals, "sample").select(
         "sample", (F.col("share") * F.col("total")).alias("signature_3_activity")
     )
 
@@ -495,10 +499,11 @@ def cancer_types(x: CohortInputs) -> DataFrame:
 def measure_tables(x: CohortInputs) -> dict[str, DataFrame]:
     """Every measure as (sample, value); what several of them need is computed once."""
     totals, indels, ids = materialise(mutation_totals(x)), materialise(indel_counts(x)), materialise(control_ids(x))
+    shares = materialise(signature_rows(x, ["Signature.3", "Signature.8"]))
     return {
-        "signature_3_percentage": signature_share(x, "Signature.3", "signature_3_percentage"),
-        "signature_8_percentage": signature_share(x, "Signature.8", "signature_8_percentage"),
-        "signature_3_activity": signature_activity(x, totals),
+        "signature_3_percentage": signature_share(shares, "Signature.3", "signature_3_percentage"),
+        "signature_8_percentage": signature_share(shares, "Signature.8", "signature_8_percentage"),
+        "signature_3_activity": signature_activity(shares, totals),
         "Microhomology_Percent": microhomology_share(x, indels),
         "NtAI": scar_score(x.ntai, x.control_ntai, ids, "NtAI"),
         "LST": scar_score(x.lst, x.control_lst, ids, "LST"),

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,34 @@ def test_contains_join_with_repeated_letters(rows):
     assert {(r.id, r.t) for r in got} == wanted and len(got) == len(wanted)
 
 
+def test_containment_of_thirty_lengths_in_a_long_text(spark, rows):
+    """Ids of 1 to 30 characters in a text of 200,000: the grams cut have four lengths, and chunk borders hide nothing."""
+    draw = random.Random(7)
+    alphabet = "ACGTü😀."
+    long = "".join(draw.choice(alphabet) for _ in range(200_000))
+    border = J.CHUNK_CHARS
+    cuts = [(border + k, n) for n in range(1, 31) for k in (-n, -n // 2, -1, 0)]
+    found = [long[at : at + n] for at, n in cuts]
+    absent = ["".join(draw.choice("ACGTX") for _ in range(n)) for n in range(8, 31)]
+    texts = [long, long[:40], "", "ACGT\n" * 20, None] + [draw.choice(found) + "x" for _ in range(20)]
+    ids = [*found, *absent, "", "T\nA", None]
+    start = time.perf_counter()
+    got = J.contained_pairs(rows("id string", *((i,) for i in ids)), rows("t string", *((t,) for t in texts)), "id", "t").collect()
+    assert time.perf_counter() - start < 60
+    wanted = {(i, t) for i in ids for t in texts if i is not None and t is not None and i in t}
+    assert {(r.id, r.t) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_containment_reads_the_events_once(spark, rows, tmp_path):
+    """Events are read when they are written; index and join read the written rows, with an equality join."""
+    rows("barcode string, gene string", ("s_C_1_x", "a"), ("s_C_12", "b")).write.parquet(f"{tmp_path}/events")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    joined = J.contains_join(rows("id string", ("s_C_1",)), events, "id", "barcode")
+    plan = joined._jdf.queryExecution().toString()
+    assert f"{tmp_path}/events" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert joined.count() == 2
+
+
 def test_exact_match_is_stricter(rows, events):
     ids = rows("id string", ("s_C_1",))
     assert J.contains_join(ids, events, "id", "barcode").count() == 4
