@@ -551,7 +551,7 @@ def lasso_path(t):
     problems AS (SELECT unnest(range(-1, {_FOLDS})) AS held_out)
     SELECT CAST(held_out AS INT) AS held_out, count(*) FILTER (fold <> held_out) AS n,
            {", ".join(f"round(sum((label - p) * {c}) FILTER (fold <> held_out) / 1000, 6) AS gradient_{c}" for c in DOCUMENT_FEATURES)},
-           {", ".join(f"round(sum(p * (1 - p) * {c} * {c}) FILTER (fold <> held_out) / 1000, 6) AS curvature_{c}" for c in DOCUMENT_FEATURES)},
+           {", ".join(f"round(sum((1 - p) * {c}) FILTER (fold <> held_out AND label = 1) / 1000, 6) AS positive_{c}" for c in DOCUMENT_FEATURES)},
            round(2 * sum(greatest(margin, 0) + ln(1 + exp(-abs(margin))) - label * margin) FILTER (fold <> held_out) / 1000, 6) AS deviance,
            round(coalesce(2 * sum(greatest(margin, 0) + ln(1 + exp(-abs(margin))) - label * margin) FILTER (fold = held_out), 0) / 1000, 6)
            AS held_deviance
@@ -571,12 +571,87 @@ def lasso_sums(t):
     renamed = sums.select(
         "held_out", F.col("n").cast("bigint").alias("n"),
         *(F.col("gradient")[i + 1].alias(f"gradient_{c}") for i, c in enumerate(DOCUMENT_FEATURES)),
-        *(F.col("curvature")[i + 1].alias(f"curvature_{c}") for i, c in enumerate(DOCUMENT_FEATURES)),
+        *(F.col("positive_gradient")[i + 1].alias(f"positive_{c}") for i, c in enumerate(DOCUMENT_FEATURES)),
         "deviance", "held_deviance",
     )
     return renamed.select("held_out", "n", *(thousandth(c) for c in renamed.columns[2:]))
 
 
+@query(
+    "balanced_folds",
+    f"""
+    SELECT doc_id, CAST((row_number() OVER (ORDER BY quality DESC, md5('12345|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % {_FOLDS} AS INT)
+           AS fold
+    FROM ({DOCUMENT_FEATURES_SQL}) WHERE quality IS NOT NULL
+    """,
+)
+def balanced_folds(t):
+    known = _known_documents(t).select("doc_id", "label")
+    return M.balanced_folds(known, "label", _FOLDS, key="doc_id").select("doc_id", "fold")
+
+
+_PENALTY = 0.02
+_GRADIENT_STEPS = 4000
+
+
+def _one_penalty_sql() -> str:
+    """Proximal gradient steps from zero, each one row of a recursion that sums over the standardised table."""
+    n = len(DOCUMENT_FEATURES)
+    margin = " + ".join(["b0", *(f"b{i + 1} * {c}" for i, c in enumerate(DOCUMENT_FEATURES))])
+    columns = ", ".join(f"b{i}" for i in range(n + 1))
+    sums = ", ".join(["avg(label - p) AS g0", *(f"avg((label - p) * {c}) AS g{i + 1}" for i, c in enumerate(DOCUMENT_FEATURES))])
+    moved = [f"b{i} + g{i} * width AS m{i}" for i in range(n + 1)]
+    shrunk = ["m0", *(f"sign(m{i + 1}) * greatest(abs(m{i + 1}) - {_PENALTY} * width, 0)" for i in range(n))]
+    return f"""
+    WITH RECURSIVE s AS MATERIALIZED ({_STANDARD_SQL}),
+    size AS (SELECT 4.0 / {n + 1} AS width),
+    fit AS (
+        SELECT 0 AS step, {", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(n + 1))}
+        UNION ALL
+        SELECT step + 1, {", ".join(shrunk)}
+        FROM (SELECT step, width, {", ".join(moved)}
+              FROM (SELECT step, {columns}, {sums}
+                    FROM (SELECT fit.*, label, {", ".join(DOCUMENT_FEATURES)}, 1 / (1 + exp(-({margin}))) AS p FROM fit, s)
+                    GROUP BY step, {columns}), size)
+        WHERE step < {_GRADIENT_STEPS})
+    SELECT name, round(b, 4) + 0.0 AS coefficient
+    FROM (SELECT unnest(['intercept', {", ".join(f"'{c}'" for c in DOCUMENT_FEATURES)}]) AS name, unnest([{columns}]) AS b
+          FROM fit WHERE step = {_GRADIENT_STEPS})
+    """
+
+
+@query("lasso_one_penalty", _one_penalty_sql())
+def lasso_one_penalty(t):
+    """The fit at one penalty, coefficients on the standardised scale."""
+    known = _known_documents(t)
+    moments = known.agg(*(g(c).alias(f"{n}_{c}") for c in DOCUMENT_FEATURES for n, g in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    fit = M.fit_lasso(known, DOCUMENT_FEATURES, _PENALTY, tolerance=1e-7)
+    scaled = [b * moments[f"s_{c}"] for b, c in zip(fit.coefficients, DOCUMENT_FEATURES, strict=True)]
+    centre = fit.intercept + sum(b * moments[f"m_{c}"] for b, c in zip(fit.coefficients, DOCUMENT_FEATURES, strict=True))
+    rows = list(zip(["intercept", *DOCUMENT_FEATURES], [centre, *scaled], strict=True))
+    return t.spark.createDataFrame(rows, "name string, coefficient double").select("name", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
+
+
+_GAP = 1e-5  # of the objective
+
+
+@query(
+    "lasso_certificate",
+    f"""
+    SELECT CAST(held_out AS INT) AS held_out, round(top * exp(ln(0.0001) * step / 99.0), 9) AS penalty, true AS certified
+    FROM (SELECT greatest({", ".join(f"abs(covar_pop({c}, label)) / stddev_pop({c})" for c in DOCUMENT_FEATURES)}) AS top
+          FROM (SELECT *, 1 - CAST(quality AS INT) AS label FROM ({DOCUMENT_FEATURES_SQL}) WHERE quality IS NOT NULL)),
+         (SELECT unnest(range(100)) AS step), (SELECT unnest(range(-1, 10)) AS held_out)
+    """,
+)
+def lasso_certificate(t):
+    """Every problem of a cross-validated path, and whether its duality gap shows it to be solved."""
+    fit = M.fit_lasso_cv(_known_documents(t), DOCUMENT_FEATURES, key="doc_id")
+    rows = [(c.held_out, c.penalty, 0 <= c.gap + 1e-12 and c.gap <= _GAP * c.objective) for c in fit.certificates]
+    found = t.spark.createDataFrame(rows, "held_out int, penalty double, certified boolean")
+    return found.withColumn("penalty", F.round("penalty", 9))
+
+
 @query(
     "score_fixed",
     f"""
