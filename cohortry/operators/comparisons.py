@@ -25,7 +25,6 @@ from cohortry.session import materialise
 
 BOX_PROBS = (0.25, 0.5, 0.75)
 BOX_NAMES = ("q1", "median", "q3")
-KERNEL_REACH = 39.0  # in bandwidths; exp(-39 * 39 / 2) is zero in double precision, so nothing is cut off
 
 
 def _list(x) -> list:
@@ -34,24 +33,39 @@ def _list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+EXACT_MAX_PAIRS = 4_000_000  # largest product of two class sizes: 2,000 against 2,000 rows take 16 MB and some seconds
+
+
+def rank_sum_masses(m: int, r: int) -> np.ndarray:
+    """P(U = 0), P(U = 1), ... up to the middle, for tie-free samples of m and r; the rest mirrors it.
+
+    The ways to reach each U are the coefficients of the Gaussian binomial, the product over k = 1..m of
+    (1 - q**(r + k)) / (1 - q**k). One array is multiplied and divided by one factor at a time and scaled by
+    k / (r + k), so it holds the probabilities for samples of k and r after each step. A coefficient only depends on
+    lower ones, which are smaller up to the middle, so nothing cancels there.
+    """
+    m, r = min(m, r), max(m, r)
+    masses = np.zeros(m * r // 2 + 1)
+    masses[0] = 1.0
+    for k in range(1, m + 1):
+        if r + k < len(masses):
+            masses[r + k :] -= masses[: -(r + k)].copy()
+        padded = np.append(masses, np.zeros(-len(masses) % k)).reshape(-1, k)
+        masses = padded.cumsum(axis=0).ravel()[: len(masses)] * (k / (r + k))
+    return masses
+
+
 @F.pandas_udf(DoubleType())
 def _exact_upper_tail(u: pd.Series, m: pd.Series, r: pd.Series) -> pd.Series:
-    """P(U >= u) by counting rank arrangements of tie-free classes; one evaluation per class."""
+    """P(U >= u) of tie-free classes; one evaluation per class."""
     out = []
     for ui, mi, ri in zip(u, m, r):
         if pd.isna(ui):
             out.append(None)
             continue
-        mi, ri = int(mi), int(ri)
-        ways = np.zeros((mi + 1, mi * ri + 1))
-        ways[0, 0] = 1.0
-        # the k-th chosen of the sorted values adds the number of values not chosen below it
-        for place in range(mi + ri):
-            for k in range(min(mi, place + 1), max(0, place - ri), -1):
-                below = place - (k - 1)
-                ways[k, below:] += ways[k - 1, : mi * ri + 1 - below]
-        counts = ways[mi]
-        out.append(counts[max(0, math.ceil(ui)) :].sum() / counts.sum())
+        masses, least = rank_sum_masses(int(mi), int(ri)), max(0, math.ceil(ui))
+        mirrored = int(mi) * int(ri) - least  # U >= least is as likely as U <= mirrored
+        out.append(masses[: mirrored + 1].sum() if mirrored < len(masses) else 1.0 - masses[:least].sum())
     return pd.Series(out, dtype="float64")
 
 
@@ -70,7 +84,10 @@ def _p_value(direction: Column, method: str) -> Column:
     mirrored = F.col("n") * F.col("n_ref") - F.col("u")
     above = F.when(direction > 0, F.col("u")).when(direction < 0, mirrored).otherwise(F.greatest(F.col("u"), mirrored))
     tied = F.raise_error(F.lit("the exact rank-sum distribution needs samples without ties"))
-    checked = F.when(F.col("__ties") > 0, tied.cast("double")).otherwise(above.cast("double"))
+    large = F.raise_error(F.lit(f"classes with a product of sizes above {EXACT_MAX_PAIRS} need method='normal'"))
+    checked = F.when(F.col("__ties") > 0, tied.cast("double")).when(
+        F.col("n") * F.col("n_ref") > EXACT_MAX_PAIRS, large.cast("double")
+    ).otherwise(above.cast("double"))
     tail = _exact_upper_tail(checked, F.col("n").cast("double"), F.col("n_ref").cast("double"))
     return F.least(F.lit(1.0), F.when(direction == 0, 2.0).otherwise(1.0) * tail)
 
@@ -144,8 +161,8 @@ def rank_sum_vs_ref(
 
     ``greater`` asks whether the class lies above the reference.  ``method='normal'`` is the
     normal approximation with continuity and tie corrections; ``'exact'`` counts all rank
-    arrangements, whatever the sizes, and raises on ties.  Its cost is the product of both
-    class sizes squared, so it is for small samples; nothing switches by itself.
+    arrangements and raises on ties and beyond ``EXACT_MAX_PAIRS``, the product of both class
+    sizes, which is the memory it takes; nothing switches by itself.
     """
     by = _list(by)
     hist = histogram(df.where(F.col(group).isNotNull()), value, [*by, group])
@@ -193,10 +210,10 @@ def bandwidth(n: Column, sd: Column, iqr: Column, low: Column) -> Column:
 def density_profile(df: DataFrame, group, value: str, n_grid: int = 512, n_bins: int = 512) -> DataFrame:
     """Gaussian kernel density per class on an even grid over the class's data range.
 
-    Values are first shared out linearly over ``n_bins`` even nodes; each node then adds to
-    every grid point at which its kernel is not zero in double precision.  Cost per class is
-    bounded by nodes times grid points, whatever the number of rows.  A class with two rows
-    or more has exactly ``n_grid`` rows, with density 0 where nothing reaches.
+    Values are first shared out linearly over ``n_bins`` even nodes; the weights of a class's
+    nodes, one array, are then convolved with the kernel.  Cost per class is nodes times grid
+    points, whatever the number of rows, and no row but the result's.  A class with two rows
+    or more has exactly ``n_grid`` rows.
     """
     by = _list(group)
     v = F.col(value).cast("double")
@@ -220,14 +237,24 @@ def density_of_blocks(blocks: DataFrame, by: Sequence[str], value: str, n_grid:
         equi_join(spread, moments, by, "inner", null_safe=True)
         .where(F.col("n") > 1)
         .withColumn("__bw", bandwidth(F.col("n"), F.col("__sd"), F.col("__q3") - F.col("__q1"), F.col("__low")))
-        .select(*by, "n", "__low", "__high", "__bw")
     )
-    stats = materialise(stats)
+    step = (F.col("__high") - F.col("__low")) / F.lit(float(n_grid - 1))
+    places = F.sequence(F.lit(0), F.lit(n_grid - 1))
+
+    def kernel(distance: Column) -> Column:
+        u = distance / F.col("__bw")
+        return F.exp(-u * u / 2)
+
+    # with as many nodes as grid points the kernel depends on the difference of their numbers alone; written, so
+    # that it is computed once per class
+    shapes = F.transform(places, lambda d: kernel(d * step)) if n_bins == n_grid else F.lit(None)
+    stats = materialise(stats.select(*by, "n", "__low", "__high", "__bw", shapes.cast("array<double>").alias("__kernel")))
     width = (F.col("__high") - F.col("__low")) / F.lit(float(n_bins - 1))
     place = F.coalesce(safe_ratio(F.col(value) - F.col("__low"), width), F.lit(0.0))
     node = F.least(F.floor(place), F.lit(n_bins - 2))
     share = place - node
-    halves = attach_aggregate(blocks.drop("__block"), stats, by).where(F.col("__bw").isNotNull()).select(
+    ranges = stats.select(*by, "__low", "__high", "__bw")
+    halves = attach_aggregate(blocks.drop("__block"), ranges, by).where(F.col("__bw").isNotNull()).select(
         *by,
         F.explode(
             F.array(
@@ -236,30 +263,26 @@ def density_of_blocks(blocks: DataFrame, by: Sequence[str], value: str, n_grid:
             )
         ).alias("h"),
     )
-    nodes = halves.groupBy(*by, F.col("h.node").alias("__node")).agg(F.sum("h.weight").alias("__weight"))
-    nodes = equi_join(nodes.where(F.col("__weight") > 0), stats, by, "inner", null_safe=True)
-    at = F.col("__low") + F.col("__node") * width
-    step = (F.col("__high") - F.col("__low")) / F.lit(float(n_grid - 1))
-    reach = F.lit(KERNEL_REACH) * F.col("__bw")
-    last = F.lit(n_grid - 1).cast("bigint")
-    left = F.greatest(F.lit(0).cast("bigint"), F.ceil(safe_ratio(at - reach - F.col("__low"), step)))
-    right = F.least(last, F.floor(safe_ratio(at + reach - F.col("__low"), step)))
-    points = F.when(step > 0, F.sequence(left, right)).otherwise(F.sequence(F.lit(0).cast("bigint"), last))
-    contributions = nodes.where((step <= 0) | (left <= right)).select(
-        *by, "n", "__low", "__bw", "__weight", step.alias("__step"), at.alias("__at"), F.explode(points).alias("point")
-    )
-    x = F.col("__low") + F.col("point") * F.col("__step")
-    u = (x - F.col("__at")) / F.col("__bw")
+    nodes = halves.groupBy(*by, F.col("h.node").cast("int").alias("node")).agg(F.sum("h.weight").alias("weight"))
+    weights = F.array_sort(F.collect_list(F.struct("node", "weight")))  # one per node at most
+    classes = equi_join(stats, nodes.where(F.col("weight") > 0).groupBy(*by).agg(weights.alias("__nodes")), by, "inner", null_safe=True)
+
+    def density(point: Column) -> Column:
+        def reached(s: Column) -> Column:
+            if n_bins == n_grid:
+                return F.get("__kernel", F.abs(point - s["node"]))
+            return kernel(point * step - s["node"] * width)
+
+        return F.aggregate("__nodes", F.lit(0.0), lambda total, s: total + s["weight"] * reached(s))
+
     scale = F.col("n") * F.col("__bw") * math.sqrt(2 * math.pi)
-    reached = (
-        contributions.withColumn("__k", F.col("__weight") * F.exp(-u * u / 2) / scale)
-        .groupBy(*by, "point")
-        .agg(F.sum("__k").alias("__density"))
+    grid = F.transform(
+        places,
+        lambda i: F.struct(
+            i.cast("bigint").alias("point"), (F.col("__low") + i * step).alias("x"), (density(i) / scale).alias("density")
+        ),
     )
-    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    grid = grid.select(*by, "point", (F.col("__low") + F.col("point") * step).alias("x"))
-    joined = equi_join(grid, reached, [*by, "point"], "left", null_safe=True)
-    return joined.select(*by, "point", "x", F.coalesce("__density", F.lit(0.0)).alias("density"))
+    return classes.select(*by, F.inline(grid))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -71,6 +71,36 @@ def test_small_tie_free_samples_use_the_exact_distribution(rows, alternative):
     assert got.p_value == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("m, r", [(1, 1), (1, 9), (4, 5), (5, 4), (7, 7), (3, 12)])
+def test_masses_equal_enumeration(m, r):
+    counts = np.zeros(m * r + 1)
+    for chosen in itertools.combinations(range(m + r), m):
+        counts[sum(c - k for k, c in enumerate(chosen))] += 1
+    np.testing.assert_allclose(T.rank_sum_masses(m, r), counts[: m * r // 2 + 1] / counts.sum(), rtol=1e-12)
+
+
+def test_masses_of_large_samples():
+    """300 against 300: one array of 45,001 numbers, symmetric about the middle, with the known mean and variance."""
+    masses = T.rank_sum_masses(300, 300)
+    assert masses.nbytes == 45_001 * 8 and (masses >= 0).all() and (np.diff(masses) >= 0).all()
+    whole = np.append(masses, masses[:-1][::-1])
+    assert whole.sum() == pytest.approx(1, abs=1e-9)
+    u = np.arange(90_001)
+    assert (whole * (u - 45_000) ** 2).sum() == pytest.approx(300 * 300 * 601 / 12, rel=1e-9)
+    assert masses[0] == pytest.approx(math.exp(2 * math.lgamma(301) - math.lgamma(601)), rel=1e-9)
+
+
+def test_exact_test_of_300_against_300_rows(rows):
+    """Close to the normal approximation, and refused beyond its stated size."""
+    data = [("x", k + 0.5 + (k % 3) * 7) for k in range(300)] + [("ref", float(k)) for k in range(300)]
+    df = rows("c string, v double", *data)
+    exact, normal = (T.rank_sum_vs_ref(df, "c", "v", "ref", method=m).first() for m in ("exact", "normal"))
+    assert exact.u == normal.u and exact.p_value == pytest.approx(normal.p_value, rel=1e-2)
+    large = df.sparkSession.range(2 * 2001).selectExpr("if(id % 2 = 0, 'x', 'ref') AS c", "CAST(id AS DOUBLE) AS v")
+    with pytest.raises(Exception, match="product of sizes"):
+        T.rank_sum_vs_ref(large, "c", "v", "ref", method="exact").collect()
+
+
 def test_exact_raises_on_ties_and_nothing_switches(rows):
     tied = rows("c string, v double", ("x", 1.0), ("x", 2.0), ("ref", 1.0), ("ref", 3.0))
     with pytest.raises(Exception, match="without ties"):
