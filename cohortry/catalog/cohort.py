@@ -17,7 +17,7 @@ from cohortry.catalog.statistics import BOX_COLUMNS, _rounded_box_sql, box_sql,
 from cohortry.operators import sets as U
 from cohortry.plans import tumour_cohort as P
 from cohortry.session import materialise, scratch_path
-from cohortry.sources.delimited import write_delimited
+from cohortry.sources.delimited import read_delimited, write_delimited
 
 _KEY = "lpad('' || c_custkey, 10, '0')"
 
@@ -315,22 +315,30 @@ def cohort_from_files(t):
     return annotated_rows(P.cohort_from_files(t.spark, files))
 
 
+# the bar of a class, from the last of the usual order
+_BAR = f"""CASE pattern WHEN '{_WT}' THEN 6 WHEN '{_BI}' THEN 5 WHEN '{_MG}' THEN 4 WHEN '{_MS}' THEN 3 WHEN '{_DEL}' THEN 2
+                        WHEN '{_SUB}' THEN 1 END"""
+
+
 @query(
     "cohort_class_counts",
     with_sql(
         *_ANNOTATED,
         last=f"""
-        SELECT 'pattern' AS chart, pattern AS class, count(*) AS n FROM annotated GROUP BY pattern
-        UNION ALL SELECT 'biallelic', detailed_pattern, count(*) FROM annotated WHERE pattern = '{_BI}' GROUP BY 2
-        UNION ALL SELECT 'other', detailed_pattern, count(*) FROM annotated
-                  WHERE pattern <> '{_BI}' AND pattern <> '{_WT}' GROUP BY 2
+        SELECT 'pattern' AS chart, pattern AS class, count(*) AS n, CAST(coalesce({_BAR}, 7) AS INT) AS level
+        FROM annotated GROUP BY pattern
+        UNION ALL SELECT 'biallelic', detailed_pattern, count(*), CAST(row_number() OVER (ORDER BY detailed_pattern NULLS LAST) AS INT)
+                  FROM annotated WHERE pattern = '{_BI}' GROUP BY detailed_pattern
+        UNION ALL SELECT 'other', detailed_pattern, count(*),
+                         CAST(row_number() OVER (ORDER BY max({_BAR}), detailed_pattern DESC NULLS FIRST) AS INT)
+                  FROM annotated WHERE pattern <> '{_BI}' AND pattern <> '{_WT}' GROUP BY detailed_pattern
         """,
     ),
 )
 def cohort_class_counts(t):
     _, annotated = annotated_cohort(t)
     charts = [
-        df.select(F.lit(name).alias("chart"), F.col(df.columns[0]).alias("class"), "n")
+        df.select(F.lit(name).alias("chart"), F.col(df.columns[0]).alias("class"), "n", "level")
         for name, df in P.class_counts(annotated).items()
     ]
     return U.union_by_name(*charts)
@@ -707,6 +715,24 @@ def cohort_scar_correlations(t):
     return pairs.select("pair", "n", *(F.round(c, 6).alias(c) for c in ("rho", "t", "p_value")))
 
 
+@query(
+    "monoallelic_export",
+    with_sql(
+        *_ANNOTATED,
+        *_MEASURES,
+        last=f"""SELECT sample, Germline_mutation, Somatic_mutation, Tumor_zygosity, replace(pattern, ' ', chr(10)) AS pattern,
+                        detailed_pattern, Cancer_Type, NtAI, LST, HRD_LOH
+                 FROM measured WHERE contains(pattern, 'Monoallelic')""",
+    ),
+)
+def monoallelic_export(t):
+    x, annotated = annotated_cohort(t)
+    table = P.measured_samples(annotated, x).select(*annotated.columns, "Cancer_Type", "NtAI", "LST", "HRD_LOH")
+    path = scratch_path(t.spark, "monoallelic")
+    P.export_monoallelic(table, path)
+    return read_delimited(t.spark, path, schema=table.schema, escapes=True)
+
+
 @query("cohort_scores")
 def cohort_scores(t):
     x, annotated = annotated_cohort(t)

@@ -66,6 +66,23 @@ def category_scores(t):
     return user_scores(t)
 
 
+@query(
+    "category_scores_strict",
+    f"""
+    SELECT user_id, {", ".join(
+        f"CASE WHEN count(*) FILTER (event_type IN ({', '.join(repr(m) for m in members)}) AND v IS NULL) = 0 "
+        f"THEN round(sum(v) FILTER (event_type IN ({', '.join(repr(m) for m in members)})), 6) END AS {name}"
+        for name, members in EVENT_GROUPS.items())}
+    FROM (SELECT *, CASE WHEN value >= 2 THEN value END AS v FROM events)
+    WHERE event_type IN ({", ".join(repr(m) for members in EVENT_GROUPS.values() for m in members)}) GROUP BY user_id
+    """,
+)
+def category_scores_strict(t):
+    events = t.events.withColumn("value", F.when(F.col("value") >= 2, F.col("value")))
+    scores = A.category_scores(events, "user_id", "event_type", "value", EVENT_GROUPS, na_strict=True)
+    return scores.select("user_id", *(F.round(c, 6).alias(c) for c in EVENT_GROUPS))
+
+
 @query(
     "category_score_lookup",
     f"""
@@ -158,6 +175,27 @@ def median_iqr(t):
     )
 
 
+_STRICT_KEY = "o_orderpriority || '/' || (o_custkey % 20)"
+
+
+@query(
+    "median_iqr_strict",
+    f"""
+    SELECT k, n, CASE WHEN known THEN round(q1, 6) END AS q1, CASE WHEN known THEN round(median, 6) END AS median,
+           CASE WHEN known THEN round(q3, 6) END AS q3, CASE WHEN known THEN round(q3 - q1, 6) END AS iqr
+    FROM (SELECT k, nullif(count(v), 0) AS n, count(v) = count(*) AS known, quantile_cont(v, 0.25) AS q1,
+                 quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+          FROM (SELECT {_STRICT_KEY} AS k, CASE WHEN o_orderkey % 50 <> 1 OR o_custkey % 2 = 0 THEN o_totalprice END AS v FROM orders)
+          GROUP BY k)
+    """,
+)
+def median_iqr_strict(t):
+    known = (F.col("o_orderkey") % 50 != 1) | (F.col("o_custkey") % 2 == 0)
+    values = t.orders.select(F.expr(_STRICT_KEY).alias("k"), F.when(known, F.col("o_totalprice")).alias("v"))
+    found = K.median_iqr(values, "v", "k", na_strict=True)
+    return found.select("k", "n", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "iqr")))
+
+
 @query(
     "flag_outliers",
     """

@@ -21,22 +21,26 @@ SEGMENTS = ["MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]
 
 @query(
     "delimited_roundtrip",
-    """
-    SELECT c_custkey, replace(c_name, '#', chr(10)) AS label,
-           nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_acctbal
+    r"""
+    SELECT c_custkey, replace(c_name, '#', chr(10)) || chr(9) || '\n"' || chr(13) AS label,
+           CASE c_mktsegment WHEN 'MACHINERY' THEN 'NA' WHEN 'FURNITURE' THEN '' WHEN 'HOUSEHOLD' THEN ' \e '
+                             WHEN 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal
     FROM customer
     """,
 )
 def delimited_roundtrip(t):
+    """Line breaks, separators, quotes, escapes, blanks and the marker for missing values, as values."""
+    segment = F.col("c_mktsegment")
     table = t.customer.select(
         "c_custkey",
-        F.replace("c_name", F.lit("#"), F.lit("\n")).alias("label"),
-        F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("c_mktsegment"),
+        F.concat(F.replace("c_name", F.lit("#"), F.lit("\n")), F.lit('\t\\n"\r')).alias("label"),
+        F.when(segment == "MACHINERY", "NA").when(segment == "FURNITURE", "").when(segment == "HOUSEHOLD", " \\e ")
+        .when(segment != "BUILDING", segment).alias("c_mktsegment"),
         "c_acctbal",
-    )
+    )
     path = scratch_path(t.spark, "delimited")
-    write_delimited(table, path)
-    return read_delimited(t.spark, path, schema=table.schema, multiline=True)
+    write_delimited(table, path, escapes=True)
+    return read_delimited(t.spark, path, schema=table.schema, escapes=True)
 
 
 @query(

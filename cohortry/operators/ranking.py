@@ -163,10 +163,22 @@ def quantiles_of_blocks(blocks: DataFrame, column: str, probs, by, names, weight
     return grouped.withColumns(between).select(*by, "n", *names)
 
 
-def median_iqr(df: DataFrame, column: str, by=None) -> DataFrame:
-    """``n``, quartiles, median and inter-quartile range."""
+def median_iqr(df: DataFrame, column: str, by=None, na_strict: bool = False) -> DataFrame:
+    """``n``, quartiles, median and inter-quartile range.
+
+    With ``na_strict`` a group in which a value is NULL has NULL statistics, beside the count of its known values.
+    """
     q = quantiles(df, column, (0.25, 0.5, 0.75), by, ("q1", "median", "q3"))
-    return q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    if not na_strict:
+        return q
+    by, statistics = _list(by), ("q1", "median", "q3", "iqr")
+    missing = df.groupBy(*by).agg(F.count_if(F.col(column).isNull()).alias("__missing"))
+    if by:
+        q = equi_join(missing, q, by, "left", null_safe=True)
+    else:
+        q = q.withColumn("__missing", missing.scalar())
+    return q.withColumns({c: F.when(F.col("__missing") == 0, F.col(c)) for c in statistics}).drop("__missing")
 
 
 def flag_outliers(

@@ -9,9 +9,10 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortry.functions.labels import SHORT_CUTPOINTS, as_level
+from cohortry.functions.labels import SHORT_CUTPOINTS, as_level, level_position, multiline
 from cohortry.functions.nulls import in_list, log2_inf, matches, na_ifelse, not_in_list, paste_na
 from cohortry.operators import aggregates as A
 from cohortry.operators import comparisons as T
@@ -22,6 +23,7 @@ from cohortry.operators import rules as R
 from cohortry.operators import sets as U
 from cohortry.operators.columns import cohort_scope
 from cohortry.session import materialise
+from cohortry.sources.delimited import write_delimited
 from cohortry.sources.schemas import read_tables
 
 # --- Fixed values -----------------------------------------------------------------
@@ -689,14 +691,24 @@ def scar_correlations(measured: DataFrame) -> DataFrame:
 
 
 def class_counts(annotated: DataFrame) -> dict[str, DataFrame]:
-    """Rows per broad class, per biallelic detail and per other detail."""
-    listed = F.col("pattern").isNotNull()
+    """(class, n, level) per broad class, per biallelic detail and per other detail, in the order of the charts.
+
+    ``level`` numbers the bars from 1: broad classes against their usual order, unlisted ones last; biallelic details
+    by name; other details against the order in which they appear when rows are sorted by class and detail.
+    """
+    broad = A.category_counts(annotated, "pattern", CLASS_LEVELS)
+    position = F.coalesce(F.lit(len(CLASS_LEVELS) + 1) - F.col("level"), F.lit(len(CLASS_LEVELS) + 1))
+    biallelic = annotated.where(F.col("pattern") == BIALLELIC).groupBy("detailed_pattern").agg(F.count(F.lit(1)).alias("n"))
+    listed = annotated.where(F.col("pattern").isNotNull() & ~F.col("pattern").isin(BIALLELIC, WILDTYPE))
+    first = F.min(level_position("pattern", CLASS_LEVELS)).alias("__first")
+    other = listed.groupBy("detailed_pattern").agg(F.count(F.lit(1)).alias("n"), first)
+    # a row per rule at most, so these windows stay small
+    by_name = W.orderBy(F.asc_nulls_last("detailed_pattern"))
+    backwards = W.orderBy(F.desc("__first"), F.desc_nulls_first("detailed_pattern"))
     return {
-        "pattern": A.category_counts(annotated, "pattern", CLASS_LEVELS),
-        "biallelic": A.category_counts(annotated.where(F.col("pattern") == BIALLELIC), "detailed_pattern"),
-        "other": A.category_counts(
-            annotated.where(listed & ~F.col("pattern").isin(BIALLELIC, WILDTYPE)), "detailed_pattern"
-        ),
+        "pattern": broad.withColumn("level", position.cast("int")),
+        "biallelic": biallelic.withColumn("level", F.row_number().over(by_name)),
+        "other": other.withColumn("level", F.row_number().over(backwards)).drop("__first"),
     }
 
 
@@ -731,4 +743,10 @@ def score_cohort(fit: M.LassoFit, table: DataFrame, sample: DataFrame, scope: Se
 
 
 def monoallelic_subset(table: DataFrame) -> DataFrame:
+    """The samples with one inactivated allele, germline or somatic."""
     return table.where(matches("pattern", "Monoallelic"))
+
+
+def export_monoallelic(table: DataFrame, path: str) -> None:
+    """Write the monoallelic samples as delimited text; class names keep their line breaks, as escapes."""
+    write_delimited(monoallelic_subset(table).withColumn("pattern", multiline("pattern")), path, escapes=True)

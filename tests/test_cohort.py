@@ -176,6 +176,8 @@ def test_report_covers_all_comparisons(inputs, annotated):
 def test_counts_and_subset(inputs, annotated):
     x, _ = inputs
     counts = {r.pattern: r.n for r in P.class_counts(annotated)["pattern"].collect()}
+    levels = {r.pattern: r.level for r in P.class_counts(annotated)["pattern"].collect()}
+    assert levels == {P.WILDTYPE: 6, P.BIALLELIC: 5, P.GERMLINE_DELETION: 2, None: 7}
     assert counts == {P.WILDTYPE: 5, P.BIALLELIC: 2, P.GERMLINE_DELETION: 1, None: 3}
     kinds = {r.Cancer_Type: (r.n, r.level) for r in P.cancer_type_counts(annotated, x).collect()}
     assert kinds == {"Others": (10, 1)}

@@ -44,6 +44,47 @@ def test_texts_that_equal_the_marker_are_not_lost(spark, rows, tmp_path):
     assert as_set(read_delimited(spark, str(tmp_path / "ok"), schema=df.schema, na="\\N")) == {(1, "NA"), (2, None)}
 
 
+AWKWARD = [
+    None, "", "NA", "\\eNA", "\\", "\\\\n", "a\nb", "\n", "a\r\nb\tc", 'say "x"', '"', " blanks ", "\\N", "\0", "é\u2028x", "#c", "a,b;c",
+]
+
+
+@pytest.mark.parametrize("sep, na", [("\t", "NA"), (",", ""), (";", "missing")])
+def test_escapes_keep_every_text(spark, rows, tmp_path, sep, na):
+    df = rows("id int, `t\tx` string, d double", *((k, t, None if t is None else k / 4) for k, t in enumerate(AWKWARD)))
+    write_delimited(df, str(tmp_path / "out"), sep=sep, na=na, escapes=True)
+    back = read_delimited(spark, str(tmp_path / "out"), sep=sep, schema=df.schema, na=na, escapes=True)
+    assert as_set(back) == as_set(df) and back.columns == df.columns
+
+
+def test_one_escaped_file_is_read_by_several_tasks(spark, rows, tmp_path):
+    df = spark.range(20_000).selectExpr("id", r"concat('line one\nline two ', id, '\t') AS t").coalesce(1)
+    write_delimited(df, str(tmp_path / "out"), escapes=True)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        back = read_delimited(spark, str(tmp_path / "out"), schema=df.schema, escapes=True)
+        assert back.select(F.spark_partition_id()).distinct().count() > 3 and len(back.inputFiles()) == 1
+        assert back.exceptAll(df).isEmpty() and back.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
+def test_escapes_refuse_what_they_cannot_keep(spark, rows, tmp_path):
+    df = rows("t string", ("a",))
+    for sep, na in (("\\", "NA"), ("n", "NA"), ("\t", "a\tb"), ("\t", "\\N"), (".", "NA")):
+        with pytest.raises(ValueError):
+            write_delimited(df, str(tmp_path / "no"), sep=sep, na=na, escapes=True)
+    with pytest.raises(ValueError):
+        read_delimited(spark, str(tmp_path / "no"), escapes=True)
+
+
+def test_blanks_at_the_ends_stay(spark, rows, tmp_path):
+    df = rows("t string", (" a ",), ("\tb",))
+    write_delimited(df, str(tmp_path / "out"))
+    assert as_set(read_delimited(spark, str(tmp_path / "out"), schema=df.schema)) == as_set(df)
+
+
 def test_report_is_partitioned_by_metric(spark, rows, tmp_path):
     write_report(rows("metric string, n int", ("a", 1), ("b", 2)), str(tmp_path / "r"))
     assert {p.name for p in (tmp_path / "r").iterdir() if p.is_dir()} == {"metric=a", "metric=b"}
