@@ -58,14 +58,55 @@ BESIDE = re.compile(
     r"widget|copyright|complementary|contentinfo)(?:$|[-_\s])",
     re.I,
 )
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
-    re.S,
-)
+MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<data>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+# attributes up to the sign that ends a tag outside quotes; a quote that is never closed is a sign like others
+ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NUMBERS = re.compile(r"[0-9]+")
 SPACE = re.compile(r"\s+")
+MAX_DEPTH = 128  # block elements nested deeper than this count as the one they stand in
+MAX_LABEL = 80  # characters of an element's name and classes; longer ones are named by a hash
+
+
+class Tags:
+    """The tags of a page, one after another, in time linear in the page.
+
+    ``next()`` gives (start, end, name, attributes, closes) or none; comments and declarations have an empty name. A
+    ``<`` that no ``>`` follows is text. Where the quotes of a tag hide every ``>`` to the end of the page, they are
+    broken: that tag and all after it end at the next ``>``.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+        self.last = html.rfind(">")
+        self.broken = False
+
+    def next(self) -> tuple[int, int, str, str, bool] | None:
+        html = self.html
+        while (mark := MARK.search(html, self.at)) is not None:
+            start, at = mark.span()
+            self.at = at
+            if mark["comment"] or mark["data"]:
+                closer = "-->" if mark["comment"] else "]]>"
+                end = html.find(closer, at)
+                self.at = len(html) if end < 0 else end + len(closer)
+                return start, self.at, "", "", False
+            if self.last < at:
+                continue
+            tag = None if self.broken or mark["other"] else ATTRIBUTES.match(html, at)
+            if tag is None:
+                self.broken |= not mark["other"]
+                self.at = html.index(">", at) + 1
+            else:
+                self.at = tag.end()
+            return start, self.at, (mark["name"] or "").lower(), html[at : self.at - 1], bool(mark["end"])
+        return None
+
+    def skip(self, name: str) -> None:
+        """Go behind the end tag of an element that holds no markup, or to the end of the page."""
+        closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.html, self.at)
+        end = self.html.find(">", closing.end()) if closing else -1
+        self.at = len(self.html) if end < 0 else end + 1
 
 
 class Page:
@@ -74,31 +115,35 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, bool]] = []
         self.opened: Counter[str] = Counter()
-        self._stack: list[tuple[str, str, tuple[int, ...]]] = []  # name, path, the marked elements from the outermost on
-        self._held: list[tuple[str, str, tuple[int, ...]]] = []  # path, text, marked elements
+        self._paths, self._parents = [""], [0]  # of the elements' nodes; a path has one node, its parent a smaller number
+        self._nodes = {"": 0}
+        self._stack: list[tuple[str, int, tuple[int, ...]]] = []  # name, node, the marked elements from the outermost on
+        self._deeper = 0  # open elements below the deepest that counts
+        self._held: list[tuple[int, str, tuple[int, ...]]] = []  # node, text, marked elements
         self._marked = 0
         self._parts: list[str] = []
-        at = 0
-        while (tag := TAG.search(html, at)) is not None:
-            self._parts.append(html[at : tag.start()])
-            at = tag.end()
-            name = (tag["name"] or "").lower()
+        tags, at = Tags(html), 0
+        while (tag := tags.next()) is not None:
+            start, at_end, name, attributes, closes = tag
+            self._parts.append(html[at:start])
+            at = at_end
             if not name:
                 continue
-            if tag["end"]:
+            if closes:
                 self._close(name)
             elif name == "br":
                 self._parts.append("\n")
             elif name in RAW:
-                over = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                if not tag["attributes"].endswith("/"):
-                    at = over.end() if over else len(html)
+                if not attributes.endswith("/"):
+                    tags.skip(name)
+                    at = tags.at
             elif name in BLOCK:
-                self._open(name, tag["attributes"])
+                self._open(name, attributes)
         self._parts.append(html[at:])
         self._flush()
         around = self._around()
-        self.blocks = [(path, text, any(m not in around for m in marked)) for path, text, marked in self._held]
+        self._sides = [any(m not in around for m in marked) for _, _, marked in self._held]
+        self.blocks = [(self._paths[node], text, apart) for (node, text, _), apart in zip(self._held, self._sides, strict=True)]
 
     def _around(self) -> set[int]:
         """Marked elements that are no parts beside the article, since they hold most of the text and hardly any is outside.
@@ -124,13 +169,16 @@ class Page:
         text = SPACE.sub(" ", unescape("".join(self._parts))).strip()
         self._parts = []
         if text:
-            _, path, marked = self._stack[-1] if self._stack else ("", "", ())
-            self._held.append((path, text, marked))
+            _, node, marked = self._stack[-1] if self._stack else ("", 0, ())
+            self._held.append((node, text, marked))
 
     def _open(self, name: str, attributes: str) -> None:
         self._flush()
         if name == "hr":
             return
+        if self._deeper or len(self._stack) >= MAX_DEPTH:
+            self._deeper += 1
+            return
         if self._stack and self._stack[-1][0] == "p":  # a paragraph holds no blocks
             self._stack.pop()
         for k in range(len(self._stack) - 1, -1, -1):
@@ -139,20 +187,29 @@ class Page:
             if self._stack[k][0] in IMPLIED_END.get(name, ()):
                 del self._stack[k:]
                 break
-        _, path, marked = self._stack[-1] if self._stack else ("", "", ())
+        _, parent, marked = self._stack[-1] if self._stack else ("", 0, ())
         names = [a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)] if attributes else []
         if name in APART or (name not in WHOLE and any(BESIDE.search(n) for n in names)):
             marked = (*marked, self._marked)
             self._marked += 1
         label = ".".join([name, *sorted(NUMBERS.sub("", n) for n in names)])
-        path = f"{path}>{label.replace('>', '')}"
+        if len(label) > MAX_LABEL:
+            label = f"{name}.{xxhash.xxh64_hexdigest(label)}"
+        path = f"{self._paths[parent]}>{label.replace('>', '')}"
         self.opened[path] += 1
-        self._stack.append((name, path, marked))
+        node = self._nodes.setdefault(path, len(self._paths))
+        if node == len(self._paths):
+            self._paths.append(path)
+            self._parents.append(parent)
+        self._stack.append((name, node, marked))
 
     def _close(self, name: str) -> None:
         if name not in BLOCK:
             return
         self._flush()
+        if self._deeper:
+            self._deeper -= 1
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == name:
                 del self._stack[k:]
@@ -160,12 +217,13 @@ class Page:
 
     def volume(self) -> Counter[str]:
         """Characters of text below each path that is not apart."""
-        chars: Counter[str] = Counter()
-        for path, text, apart in self.blocks:
+        below = [0] * len(self._paths)
+        for (node, text, _), apart in zip(self._held, self._sides, strict=True):
             if not apart:
-                for ancestor in ancestors(path):
-                    chars[ancestor] += len(text)
-        return chars
+                below[node] += len(text)
+        for node in range(len(below) - 1, 0, -1):  # from the leaves up
+            below[self._parents[node]] += below[node]
+        return Counter({path: n for path, n in zip(self._paths, below, strict=True) if n})
 
     def main_path(self) -> str:
         """The element, opened once, that holds most of the page's text beside the parts apart.
@@ -194,15 +252,6 @@ def text_token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1 or 1
 
 
-def ancestors(path: str) -> list[str]:
-    """The path itself and everything above it, the empty path included."""
-    found = [path]
-    while path:
-        path = path[: path.rindex(">")]
-        found.append(path)
-    return found
-
-
 def page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to one row per token: host, page, path, wording, count, chars.
 
@@ -301,6 +350,9 @@ def extract_text(
     template (on at least 60 % of its different pages, in an element with no other text). Where a host has fewer than three
     different pages, or a page lacks the host's article slot, the page's own layout decides by the same rule.
 
+    Broken markup ends where its page ends: a tag without ``>`` is text, unclosed comments and scripts hide the rest, and
+    block elements nested more than ``MAX_DEPTH`` deep count as the one they stand in.
+
     A null html is empty and gives an empty text; a null or malformed url has the empty host. Null ids and repeated
     rows are kept as they are; repeated pages count once for the template. Further columns are ignored. An empty
     table gives no rows.

@@ -1,3 +1,10 @@
+import re
+import time
+from collections import Counter, defaultdict
+
+import pytest
+
+from cohortry.llm import html_template as T
 from cohortry.llm.html_template import Page, equivalence_classes, extract_text, templates
 
 SHELL = (
@@ -103,3 +110,96 @@ def test_wrappers_are_not_apart(rows):
 def test_long_comments_stay_apart():
     page = "<body><div class=post>" + ARTICLE_TEXT.format(k=1) + "</div><div class=comments>" + "<p>I think so too.</p>" * 20 + "</div>"
     assert Page(page).text(None) == Page(ARTICLE_TEXT.format(k=1)).text(None)
+
+
+BROKEN = {
+    "quoted attributes cut off": "<p>a</p><img " + 'a="b" ' * 200,
+    "open quotes": "<a " + '"' * 3000,
+    "tags without an end": "<p>x" + "<x " * 100_000,
+    "nested": "<div>" * 50_000 + "<p>t",
+    "nested and closed": "<div>" * 50_000 + "t" + "</div>" * 50_000,
+    "nested menus": "<nav>" * 50_000 + "x",
+    "cells below a deep nest": "<tr>" + "<div>" * 30_000 + "<td>x</td>" * 30_000,
+    "closed scripts": "<script/>" * 50_000,
+    "scripts without an end": "<script>" + "</script " * 50_000,
+    "quotes that hide the end": "<b x=\"'>" * 50_000 + "<i '",
+    "comments without an end": "<!--" * 100_000,
+    "declarations without an end": "<!" * 100_000,
+    "a long class": "<div class='" + "k " * 200_000 + "'>" + "<p>x</p>" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_linear_time(name):
+    start = time.perf_counter()
+    page = Page(BROKEN[name])
+    page.main_path(), page.text(None)
+    assert time.perf_counter() - start < 5
+
+
+def test_quotes_in_tags():
+    assert Page('<p title="a > b" x=\'c>\'>text</p>').text(None) == "text"
+    assert Page('<p title="a > b>text</p>').text(None) == "b>text"  # the quote is never closed
+    assert Page("<p>a < b <c").text(None) == "a < b <c"
+
+
+def test_depth_and_labels():
+    deep = Page("<div>" * 200 + "<p>in</p>" + "</div>" * 200 + "<p>out</p>")
+    assert [t for _, t, _ in deep.blocks] == ["in", "out"] and max(p.count(">") for p in deep.opened) == T.MAX_DEPTH
+    assert deep.blocks[1][0] == ">p"
+    labels = Page(f"<div class='{'a' * 500}'><p>x</p></div>").opened
+    assert max(map(len, labels)) < 2 * T.MAX_LABEL
+
+
+def directly(pages):
+    """Main path and template texts of each host, from all tokens of its pages."""
+    hosts = defaultdict(dict)
+    for url, html in pages:
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
+        hosts[found[1].lower() if found else ""][html or ""] = Page(html or "")
+    out = {}
+    for host, own in hosts.items():
+        if len(own) < T.LEAST_PAGES:
+            out[host] = (None, frozenset())
+            continue
+        seen, volume = defaultdict(dict), Counter()
+        for html, page in own.items():
+            for path, n in {"": 1, **page.opened}.items():
+                seen[path, None][html] = n
+            for path, n in page.volume().items():
+                volume[path] += n
+            for (path, text), n in Counter((p, t) for p, t, apart in page.blocks if not apart).items():
+                seen[path, text][html] = n
+        valid = {k: v for k, v in seen.items() if len(v) >= T.COVER * len(own) and len(v) > (k[1] is not None)}
+        fixed = Counter()
+        for (path, text), on in valid.items():
+            steps = path.split(">")
+            for k in range(1, len(steps) + 1) if text is not None else ():
+                fixed[">".join(steps[:k])] += len(text) * sum(on.values())
+        whole = volume[""] - fixed[""]
+        slots = []
+        for (path, text), on in valid.items():
+            varying = volume[path] - fixed[path]
+            if text is None and sum(on.values()) == len(on) and varying >= T.MAIN_SHARE * whole and varying > 0 and not re.search(T.LEAF, path):
+                kinds = (bool(re.search(T.ARTICLE, path)), bool(re.search(T.MAIN, path)), len(path.split(">")), path.encode())
+                slots.append((*kinds, varying < (1 - T.MAIN_SHARE) * volume[path]))
+        if not slots:
+            out[host] = (None, frozenset())
+            continue
+        *_, main, copies = max(slots)
+        nested = {(path, tuple(sorted(on.items()))) for (path, text), on in valid.items() if text is None and len(on) >= T.LEAST_PAGES}
+        texts = {(p, t) for (p, t), on in valid.items() if t is not None and (p, tuple(sorted(on.items()))) in nested}
+        out[host] = (main.decode(), frozenset() if copies else frozenset(T.text_token(p, t) for p, t in texts))
+    return out
+
+
+def test_template_deduction_equals_the_definition(spark):
+    """All pages of the test table: template and text, derived token by token without Spark."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    wanted = directly([(u, h) for _, u, h in rows])
+    assert sum(main is not None for main, _ in wanted.values()) > 0
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for page_id, url, html in rows:
+        found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
+        assert got[page_id] == Page(html or "").text(*wanted[found[1].lower() if found else ""])
