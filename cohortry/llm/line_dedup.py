@@ -71,17 +71,24 @@ def remove_repeated_lines(
     marked = docs.withColumn(row, F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
     joined = marked.join(found, F.col(id_column).eqNullSafe(F.col(key)) & (F.col(row) == F.col(own)), "left")
     lines = F.split(text_column, "\n")
-    outside = lambda _, k: ~F.exists(F.col(stretches), lambda c: k.between(c["first"], c["last"]))
+    cut, size = F.col(stretches), F.size(lines)
+
+    def between(k):
+        """The lines after cut k - 1 and before cut k, cuts counted from 0."""
+        start = F.when(k > 0, F.get(cut, k - 1)["last"] + 1).otherwise(0)
+        end = F.when(k < F.size(cut), F.get(cut, k)["first"]).otherwise(size)
+        return F.slice(lines, start + 1, end - start)
+
     lost = F.aggregate(stretches, F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
     text = F.when(F.col(stretches).isNull(), F.col(text_column)).otherwise(
-        F.array_join(F.filter(lines, outside), "\n")
+        F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), between)), "\n")
     )
     total_name = fresh(names, total)
     counts = {
         total_name: F.coalesce(F.size(lines), F.lit(0)).cast("long"),
         fresh([*names, total_name], removed): F.coalesce(lost, F.lit(0)).cast("long"),
     }
-    kept = [text.alias(c) if c == text_column else F.col(c) for c in names]
+    kept = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names]
     return joined.select(*kept, *(v.alias(k) for k, v in counts.items()))
 
 
@@ -90,5 +97,5 @@ def with_lines_removed(
 ) -> DataFrame:
     """``docs`` with the cut texts and its own columns only; the column ``n_chars``, if named, counts the new text."""
     cut = remove_repeated_lines(docs, id_column, text_column)
-    kept = [F.length(text_column).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
+    kept = [F.length(text_column).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns]
     return cut.select(*kept)

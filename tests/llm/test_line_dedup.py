@@ -50,3 +50,16 @@ def test_many_copies(rows):
     data = [(k, "one\ntwo\nthree\nfour\n" + f"own {k}") for k in range(300)]
     got = result(remove_repeated_lines(rows("doc_id long, text string", *data).repartition(7)))
     assert got == sorted(brute(data))
+
+
+def test_dotted_names_and_many_cuts(rows):
+    """A column ``a.b`` is kept as it is, and a text with thousands of cuts is put together in one pass."""
+    blocks = [f"x{k}\ny{k}\nz{k}" for k in range(3000)]
+    first = "\n".join(blocks)
+    second = "\n".join(f"{b}\nown {k}" for k, b in enumerate(blocks))
+    docs = rows("doc_id long, text string, `a.b` int, n_chars long", (1, first, 5, 0), (2, second, 6, 0))
+    got = {r.doc_id: r for r in remove_repeated_lines(docs).collect()}
+    assert got[1].text == first and got[2].text == "\n".join(f"own {k}" for k in range(3000))
+    assert (got[2].n_removed, got[2].n_lines, got[2]["a.b"]) == (9000, 12000, 6)
+    kept = {r.doc_id: r for r in with_lines_removed(docs, n_chars="n_chars").collect()}
+    assert kept[2].n_chars == len(got[2].text) and kept[1]["a.b"] == 5
