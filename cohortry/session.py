@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +66,15 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _owners.remove(written)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in written:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+        delete_tables(spark, written)
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
