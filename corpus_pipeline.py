@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from cohortry.llm.queries import VOCABULARY
-from cohortry.session import scratch_path
+from cohortry.session import delete_tables, scratch_path, temporary_tables
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each written and read again before the next.
+
+    What a stage wrote for itself is deleted with its end, and its result once the next stage is written; the table
+    of the last stage stays, as the result reads it.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         path = scratch_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete_tables(spark, read)
+        docs, read = spark.read.parquet(path), [path]
     return docs
