@@ -7,7 +7,7 @@ from check_oracles import compare, duck
 from cohortry.catalog import ORACLES, QUERIES
 
 # the training draw needs 22 rows of the rarer class
-NEEDS_MORE_ROWS = {"labelled_sample", "lasso_score", "cohort_scores", "cohort_scar_fit"}
+NEEDS_MORE_ROWS = {"labelled_sample", "lasso_score", "cohort_scores", "cohort_scar_fit", "lasso_certificate"}
 
 
 @pytest.fixture(scope="module")
