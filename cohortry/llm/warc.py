@@ -2,8 +2,12 @@
 
 Every task writes its records to an archive of its own, one gzip member per record, and returns the index: archive,
 offset, length, url and digest of each record. The index is a table that Spark commits; archives of attempts that were
-lost or repeated are in no index and are never read. A reader selects records in the index alone, sorts their byte
-ranges, joins neighbouring ranges and fetches each run with one request.
+lost or repeated are in no index and are never read. A reader selects records in the index alone, cuts the sorted
+byte ranges of each archive into stretches of equal size, deals these to tasks, joins neighbouring ranges and fetches
+each run with one request.
+
+Pages are response records with a status line and headers of HTTP; a revisit holds these headers only, and names the
+record that has its payload by ``WARC-Refers-To``, as any reader of WARC expects.
 
 Archives are opened through pyarrow's file systems, so the folder may be local to all (shared disk), HDFS or an
 object store.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,7 +27,7 @@ from functools import partial
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import in_tasks, stored
@@ -32,6 +37,7 @@ REVISIT_BYTES = 1000
 RECORDS_PER_ARCHIVE = 20_000
 GAP_BYTES = 64 * 1024
 RANGE_BYTES = 4 * 1024 * 1024
+TASK_RANGES = 16  # stretches of a read task, on average
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SCHEMA = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -54,22 +60,37 @@ def plain_text(value: str) -> str:
     return first + "".join(chr(int(part[:2], 16)) + part[2:] for part in rest)
 
 
-def record_bytes(page_id, url, kind: str, refers_to, payload: bytes, digest: str, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, the full payload's size and digest are in its header."""
-    block = payload if kind == "response" else b""
+def record_id(page_id, url: str | None, digest: str) -> str:
+    """Named by what the record holds, so revisits can name it without reading it; equal rows have one id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+
+
+def record_bytes(
+    page_id, url, kind: str, refers_to, payload: bytes, digest: str, date: str, refers_url: str | None = None
+) -> bytes:
+    """One WARC/1.1 record; a revisit of record (``refers_to``, ``refers_url``) has no payload, its size is in a header."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    revisit = kind == "revisit"
+    block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'resource' if kind == 'response' else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {header_text(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
         f"X-Payload-Length: {len(payload)}",
-        *([f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"] if kind == "revisit" else []),
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {len(block)}",
     ]
+    if revisit:
+        lines += [
+            f"WARC-Profile: {PROFILE}",
+            f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}",
+            *([f"WARC-Refers-To-Target-URI: {header_text(refers_url)}"] if refers_url is not None else []),
+            f"WARC-Refers-To-Date: {date}",
+            f"X-Refers-To-Page-Id: {refers_to}",
+        ]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -84,22 +105,23 @@ def parse_record(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     number = lambda name: int(fields[name]) if name in fields else None
     declared = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    digest = declared if revisit else hashlib.sha1(block).hexdigest()
+    payload = block.partition(b"\r\n\r\n")[2]  # behind the headers of HTTP
+    digest = declared if revisit else hashlib.sha1(payload).hexdigest()
     if digest != declared:
         raise ValueError(f"payload of page {fields.get('X-Page-Id')} does not match its digest")
     return {
         "page_id": number("X-Page-Id"),
         "url": plain_text(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
-        "record_type": "revisit" if revisit else "response",
+        "record_type": fields["WARC-Type"],
         "refers_to": number("X-Refers-To-Page-Id"),
-        "payload_bytes": number("X-Payload-Length") if revisit else len(block),
+        "payload_bytes": number("X-Payload-Length") if revisit else len(payload),
         "payload_digest": digest,
-        "payload": None if revisit else block,
+        "payload": None if revisit else payload,
     }
 
 
 def write_archives(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, record_type, refers_to, payload, digest) to index rows, one archive after the other."""
+    """(page_id, url, record_type, refers_to, refers_url, payload, digest) to index rows, one archive after the other."""
     system, root = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
     names = [part.strip().split(" ")[0] for part in INDEX_SCHEMA.split(",")]
@@ -116,7 +138,9 @@ def write_archives(batches: Iterator[pa.RecordBatch], folder: str, date: str) ->
                     out = system.open_output_stream(f"{root}/{archive}", compression=None)
                 payload = r["payload"]
                 digest = r["digest"]
-                data = record_bytes(r["page_id"], r["url"], r["record_type"], r["refers_to"], payload, digest, date)
+                data = record_bytes(
+                    r["page_id"], r["url"], r["record_type"], r["refers_to"], payload, digest, date, r["refers_url"]
+                )
                 member = gzip.compress(data, compresslevel=4, mtime=0)
                 out.write(member)
                 rows.append(
@@ -171,7 +195,7 @@ def read_ranges(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
 
 
 def roles(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload, digest): which records hold their payload.
+    """(page_id, url, record_type, refers_to, refers_url, payload, digest): which records hold their payload.
 
     Digests are counted first; only those that occur again are joined back, so each payload moves once.
     """
@@ -179,8 +203,9 @@ def roles(pages: DataFrame, id_column: str, url_column: str, html_column: str) -
     source = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha1("payload"))
-    counted = source.select("page_id", "digest").where(F.octet_length("payload") >= REVISIT_BYTES)
-    groups = counted.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    counted = source.select("page_id", "url", "digest").where(F.octet_length("payload") >= REVISIT_BYTES)
+    groups = counted.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("held"), F.count(F.lit(1)).alias("n"))
+    groups = groups.select("digest", "n", F.col("held.page_id").alias("last"), F.col("held.url").alias("last_url"))
     groups = stored(groups.where((F.col("n") > 1) & F.col("last").isNotNull()).drop("n"), "payloads")
     joined = source.join(groups, "digest", "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
@@ -189,6 +214,7 @@ def roles(pages: DataFrame, id_column: str, url_column: str, html_column: str) -
         "url",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("last")).alias("refers_to"),
+        F.when(again, F.col("last_url")).alias("refers_url"),
         "payload",
         "digest",
     )
@@ -205,7 +231,8 @@ def write_warc(
     """Write a record per row and return the folder with the index (``INDEX_SCHEMA``).
 
     Of the rows with equal payloads of at least 1000 bytes the one with the largest page_id is written as a response,
-    the others as revisits of it; repeated rows with that id are all responses. Shorter payloads are always responses.
+    the others as revisits of it; repeated rows with that id are all responses, and revisits name the one with the
+    largest url. Shorter payloads are always responses.
     A null html is an empty payload, a null url leaves its header out, a null page_id is never referred to: it
     revisits a row with an id, or is a response. Further columns are ignored; an empty table gives an empty index.
     Record dates are ``date``, or the time of the call.
@@ -224,6 +251,13 @@ def read_warc(folder: str, selected: DataFrame) -> DataFrame:
     Payloads of revisits are null; the record they refer to holds them. Sizes and digests of responses are taken from
     the bytes read, and a record whose digest does not match raises an error.
     """
+    spark = selected.sparkSession
     ranges = selected.select("archive", "offset", "length")
-    runs = ranges.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = ranges.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / (TASK_RANGES * RANGE_BYTES)))
+    stretch = max(1, total // (tasks * TASK_RANGES))
+    # an archive has a bounded number of records, so the running total takes small groups
+    before = F.sum("length").over(Window.partitionBy("archive").orderBy("offset")) - F.col("length")
+    dealt = ranges.withColumn("stretch", F.floor(before / stretch)).repartition(tasks, "archive", "stretch")
+    runs = dealt.sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return in_tasks(runs, partial(read_ranges, folder=f"{folder}/archives"), RECORD_SCHEMA)
