@@ -1,20 +1,21 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors of one label fall together into classes. Every class has a list of its nearest neighbours, first from
-random-hyperplane buckets and then refined by joining neighbours of neighbours: all classes around one class are
-compared with each other in one small matrix product, and improve each other's lists. Rounds go on until no further
-link of the threshold turns up.
+random-hyperplane buckets and a random group, and then refined by joining neighbours of neighbours: all classes around
+one class are compared with each other in one small matrix product, and improve each other's lists. Rounds go on until
+no further link of the threshold turns up; a group that has no new member is not compared again. Only vectors of one
+label and dimension, a space, are compared; a space has as many hyperplanes as its own size needs, and a small one is
+one bucket, so it is compared whole however large others are.
 
 A list that is full of links is saturated and may hide further ones. Its links then become a component, and the next
 round searches with lists that hold members of other components only, which enlarges the saturated lists by all that
 their component already explains. Rounds end when no component grows and the recall, audited against brute force on
-a sample of queries, is high enough. Link counts come from comparing the members of each component with each other in
+samples of queries, is high enough for small and large spaces, and for few and many links. Link counts come from comparing the members of each component with each other in
 tiles, in double precision.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,7 +32,8 @@ NEIGHBOURS = 10
 TABLES = 4
 GROUP_MEMBERS = 256
 TILE_MEMBERS = 512
-AUDIT_QUERIES = 1024
+AUDIT_QUERIES = 1024  # about that many for spaces of each order of size
+AUDIT_LEAST = 20  # queries with links that a stratum needs to be judged by itself
 RECALL = 0.95
 MARGIN = 1e-4  # lists are kept in single precision; links are decided in double
 
@@ -68,19 +70,29 @@ def unit_vectors(embeddings: DataFrame, id_column: str, vector_column: str, labe
     return in_tasks(raw, scaled_rows, f"vec_id long, label {label}, unit array<double>")
 
 
-def bucket_codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(node, space, unit) to (bucket number, space, code, node), a row per table."""
+def bucket_codes(batches: Iterator[pa.RecordBatch], tables: int, random_size: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(node, space, bits, size, unit) to (number, space, code, node): a row per table and one of a random group.
+
+    A space without bits is one bucket, which one row stands for.
+    """
     for batch in batches:
-        nodes, space = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        units = batch.column(2)
-        rows = np.array(units.value_lengths())
-        for dim in np.unique(rows):
-            at = np.flatnonzero(rows == dim)
-            values = np.array(units.take(pa.array(at)).flatten()).reshape(len(at), dim)
-            planes = np.random.default_rng([seed, int(dim)]).standard_normal((tables, dim, bits))
-            for table in range(tables):
-                code = (values @ planes[table] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                columns = [np.full(len(at), table, dtype=np.int64), space[at], code, nodes[at]]
+        nodes, space, bits, size = (batch.column(k).to_numpy() for k in range(4))
+        units = batch.column(4)
+        widths = np.array(units.value_lengths())
+        for dim, own in set(zip(widths.tolist(), bits.tolist(), strict=True)):
+            at = np.flatnonzero((widths == dim) & (bits == own))
+            if own == 0:
+                codes = [np.zeros(len(at), dtype=np.int64)]
+            else:
+                values = np.array(units.take(pa.array(at)).flatten()).reshape(len(at), dim)
+                planes = np.random.default_rng([seed, dim, own]).standard_normal((tables, dim, own))
+                codes = [(values @ planes[t] > 0) @ (1 << np.arange(own, dtype=np.int64)) for t in range(tables)]
+                groups = np.maximum(1, size[at] // random_size).astype(np.uint64)
+                mixed = (nodes[at].astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                codes.append(((mixed ^ (mixed >> np.uint64(29))) % groups).astype(np.int64))
+            for number, code in enumerate(codes):
+                columns = [np.full(len(at), number, dtype=np.int64), space[at], code, nodes[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["number", "space", "code", "node"])
 
 
@@ -156,14 +168,17 @@ def true_links(batches: Iterator[pa.RecordBatch], queries: list[tuple], least: f
         by_space.setdefault(space, []).append((node, unit))
     stacked = {s: (np.array([n for n, _ in q]), np.array([u for _, u in q])) for s, q in by_space.items()}
     for batch in batches:
-        nodes, spaces = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for space, (query, matrix) in stacked.items():
-            at = np.flatnonzero(spaces == space)
-            if len(at):
-                values = np.array(batch.column(2).take(pa.array(at)).flatten()).reshape(len(at), -1)
-                row, column = np.nonzero(values @ matrix.T >= least)
-                a, b = query[column], nodes[at][row]
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+        order = np.argsort(batch.column(1).to_numpy(), kind="stable")
+        nodes, spaces = batch.column(0).to_numpy()[order], batch.column(1).to_numpy()[order]
+        units = batch.column(2).take(pa.array(order))
+        for start, end in bounds(spaces) if len(order) else ():
+            if spaces[start] not in stacked:
+                continue
+            query, matrix = stacked[spaces[start]]
+            values = np.array(units.slice(start, end - start).flatten()).reshape(end - start, -1)
+            row, column = np.nonzero(values @ matrix.T >= least)
+            a, b = query[column], nodes[start:end][row]
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
 
 def in_groups(members: DataFrame, salt: int) -> DataFrame:
@@ -200,27 +215,32 @@ def around_focus(members: DataFrame, focus: DataFrame | None) -> DataFrame:
 
 
 def descent(
-    nodes: DataFrame, classes: DataFrame, bits: int, least: float, neighbours: int, seed: int, focus: DataFrame | None = None
+    nodes: DataFrame, classes: DataFrame, least: float, neighbours: int, seed: int, focus: DataFrame | None = None
 ) -> DataFrame:
     """Neighbour lists (node, other, likeness) that leave out members of the node's own root.
 
-    With ``focus``, only groups that one of its nodes belongs to are compared.
+    With ``focus``, only groups that one of its nodes belongs to are compared. The first groups give every node about
+    twice as many of its own space as a list holds, if there are so many.
     """
     codes = in_tasks(
-        classes.select("node", "space", "unit"),
-        partial(bucket_codes, bits=bits, tables=TABLES, seed=seed),
+        classes.select("node", "space", "bits", "size", "unit"),
+        partial(bucket_codes, tables=TABLES, random_size=2 * neighbours + 2, seed=seed),
         "number long, space long, code long, node long",
     )
     members = codes.select(F.xxhash64("number", "space", "code").alias("key"), "node")
     lists = improved(None, around_focus(members, focus), nodes, neighbours, seed)
     count = lambda table: table.where(F.col("likeness") >= least - MARGIN).count()
-    links = count(lists)
+    links, known = count(lists), None
     while True:
         around = lists.select(F.col("node").alias("key"), F.col("other").alias("node"))
         back = lists.select(F.col("other").alias("key"), "node")
         seed += 1
-        members = around_focus(around.unionByName(back).distinct(), focus)
-        lists = improved(lists, members, nodes, neighbours, seed)
+        members = stored(around_focus(around.unionByName(back).distinct(), focus), "members")
+        changed = members
+        if known is not None:  # a group whose members all met before has nothing to tell
+            changed = members.join(members.join(known, ["key", "node"], "left_anti").select("key").distinct(), "key", "left_semi")
+        lists = improved(lists, changed, nodes, neighbours, seed)
+        known = members
         before, links = links, count(lists)
         if links <= before:
             return lists
@@ -237,18 +257,39 @@ def exact_links(lists: DataFrame, classes: DataFrame, least: float) -> DataFrame
     return pairs.where(dot >= least).select("a", "b")
 
 
-def audited_recall(classes: DataFrame, groups: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the brute-force links of a sample of queries whose ends lie in one component.
+def audited_recall(
+    classes: DataFrame, groups: DataFrame, least: float, neighbours: int, queries: int = AUDIT_QUERIES
+) -> float:
+    """Recall against brute force, by queries, in the worst stratum; 1.0 when no query has links.
 
-    ``queries`` bounds the sample, which is drawn by hash; 1.0 when it has no links.
+    About ``queries`` are drawn by hash from the spaces of each order of size, so the sample grows with the number of
+    orders only. A query's recall is the share of its links whose ends lie in one component, and every query counts
+    alike, so large groups do not outvote single pairs. Strata are the orders of size, with more links than
+    ``neighbours`` or fewer; those with under ``AUDIT_LEAST`` queries that have links are judged together.
     """
-    drawn = classes.orderBy(F.xxhash64("node", F.lit(17)), "node").limit(queries).select("node", "space", "unit").collect()
-    sample = [(r.node, r.space, r.unit) for r in drawn]
-    links = in_tasks(classes.select("node", "space", "unit"), partial(true_links, queries=sample, least=least), "a long, b long")
+    order = F.floor(F.log2("size")).cast("int")
+    sized = {r.stratum: r.n for r in classes.groupBy(order.alias("stratum")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sized:
+        return 1.0
+    ceiling = F.create_map(*(F.lit(x) for s, n in sized.items() for x in (s, min(1.0, queries / n))))
+    draw = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = classes.withColumn("stratum", order).where((F.col("size") > 1) & (draw < ceiling[F.col("stratum")]))
+    drawn = drawn.select("node", "space", "unit", "stratum").collect()
+    if not drawn:
+        return 1.0
+    sample, strata = [(r.node, r.space, r.unit) for r in drawn], {r.node: r.stratum for r in drawn}
+    # sums in another order may round a cosine at the threshold to its other side: such a pair is not asked for
+    compare = partial(true_links, queries=sample, least=least + 1e-12)
+    links = in_tasks(classes.select("node", "space", "unit"), compare, "a long, b long")
     root = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     met = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    seen = met.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("a_root") == F.col("b_root")).cast("int")).alias("found")).first()
-    return (seen.found or 0) / seen.n if seen.n else 1.0
+    seen = F.coalesce((F.col("a_root") == F.col("b_root")).cast("int"), F.lit(0))
+    judged: dict[tuple, list[float]] = {}
+    for r in met.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(seen).alias("found")).collect():
+        judged.setdefault((strata[r.a], r.n > neighbours), []).append(r.found / r.n)
+    shares = [v for v in judged.values() if len(v) >= AUDIT_LEAST]
+    rest = [x for v in judged.values() if len(v) < AUDIT_LEAST for x in v]
+    return min((sum(v) / len(v) for v in [*shares, rest] if v), default=1.0)
 
 
 def link_counts(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
@@ -287,9 +328,11 @@ def near_vectors(
     usable = units.where(F.col("unit").isNotNull())
     grouped = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("members"))
     space = F.xxhash64("label", F.size("unit"))
-    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("space", space), "classes")
-    largest = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    bits = max(1, math.ceil(math.log2(max(1.0, largest / neighbours))))
+    found = stored(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("space", space), "found")
+    sizes = stored(found.groupBy("space").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    bits = F.when(F.col("size") <= GROUP_MEMBERS, 0).otherwise(F.ceil(F.log2(F.col("size") / neighbours))).cast("long")
+    classes = stored(found.join(sizes, "space").withColumn("bits", bits), "classes")
     vectors = classes.select("node", F.col("unit").cast("array<float>").alias("vector"))
 
     groups, links, focus, seed = None, None, None, 1
@@ -297,7 +340,7 @@ def near_vectors(
         known = vectors.withColumn("root", F.col("node"))
         if groups is not None:
             known = vectors.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lists = descent(known, classes, bits, least, neighbours, 1000 * seed, focus)
+        lists = descent(known, classes, least, neighbours, 1000 * seed, focus)
         found = stored(exact_links(lists, classes, least), "links")
         grown = not found.isEmpty()
         if grown or links is None:
@@ -307,7 +350,7 @@ def near_vectors(
         focus = stored(near.where(F.col("count") >= neighbours).select("node"), "saturated")
         if focus.isEmpty() or not grown:
             # nothing is hidden any more; too low a recall starts again from other buckets, for all nodes
-            if audited_recall(classes, groups, least) >= recall:
+            if audited_recall(classes, groups, least, neighbours) >= recall:
                 break
             focus = None
         seed += 1

@@ -91,3 +91,45 @@ def test_recall_on_the_test_table(spark):
             assert got[i] <= n
             found, missed = found + got[i], missed + int(n) - got[i]
     assert found > 200 and found / (found + missed) >= 0.95
+
+
+def test_small_labels_beside_a_hot_one(rows):
+    """Pairs just above the threshold, each with a label of its own, are found however many vectors another label has."""
+    rng = np.random.default_rng(8)
+    data, number = [], 0
+
+    def add(vector, label):
+        nonlocal number
+        data.append((number, [float(x) for x in np.float32(vector)], label))
+        number += 1
+
+    for vector in rng.standard_normal((6000, 32)):
+        add(vector, 0)
+    hot = rng.standard_normal(32)
+    for _ in range(700):  # one group with far more links than all pairs
+        add(hot + 0.02 * rng.standard_normal(32), 0)
+    pairs = []
+    for label in range(1, 501):
+        u, v = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        pairs.append((number, number + 1))
+        add(u, label)
+        add(0.9805 * u + math.sqrt(1 - 0.9805**2) * v, label)
+    table = rows("vec_id long, embedding array<float>, label int", *data)
+    got = {r.vec_id: r for r in nn.near_vectors(table.repartition(8)).collect()}
+    assert all(got[a].component_id == got[b].component_id == a and got[b].n_links == 1 for a, b in pairs)
+    assert all(got[k].component_id == 6000 for k in range(6000, 6700))
+
+
+def test_audit_judges_by_the_worst_stratum(rows):
+    """A hot group that is found whole does not hide the pairs that are not."""
+    units, groups = [], []
+    for k in range(400):  # one found group in a space of its own
+        units.append((k, 1, 400, [1.0, 1e-6 * k]))
+        groups.append((k, 0))
+    for k in range(400, 600):  # pairs, none found
+        units.append((k, k // 2, 2, [0.0, 1.0]))
+    classes = rows("node long, space long, size long, unit array<double>", *units)
+    found = rows("node long, root long", *groups)
+    assert nn.audited_recall(classes, found, 0.98, 10) == 0.0
+    assert nn.audited_recall(classes.where("space = 1"), found, 0.98, 10) == 1.0
+    assert nn.audited_recall(classes.where("false"), found, 0.98, 10) == 1.0
