@@ -21,8 +21,6 @@ from cohortry.session import checked_broadcast
 # 15 in 3 or 20 in 4, so no alignment of the similarity below is missed
 SEEDS = ("111111", "1101111", "11110011", "1100010111", "1110001011")
 LEAST_TOKENS = 10
-# of the SQL, which misses passages with regular substitutions
-MASKS = ("1101100101", "1010011011", "1110010011")
 STRETCH_TOKENS = 20
 SIMILARITY = 0.8
 # after lower-casing: runs of ASCII signs other than letters and digits; all other characters belong to words

@@ -162,23 +162,25 @@ def tile_counts(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 
 
 def true_links(batches: Iterator[pa.RecordBatch], queries: list[tuple], least: float) -> Iterator[pa.RecordBatch]:
-    """(node, space, unit) against the audit queries: all links (query, node) by brute force."""
+    """(node, space, root, unit) against the audit queries, by brute force: (query, links, links to its own root)."""
     by_space: dict[int, list] = {}
-    for node, space, unit in queries:
-        by_space.setdefault(space, []).append((node, unit))
-    stacked = {s: (np.array([n for n, _ in q]), np.array([u for _, u in q])) for s, q in by_space.items()}
+    for node, space, root, unit in queries:
+        by_space.setdefault(space, []).append((node, root, unit))
+    stacked = {s: tuple(np.array(c) for c in zip(*q, strict=True)) for s, q in by_space.items()}
     for batch in batches:
         order = np.argsort(batch.column(1).to_numpy(), kind="stable")
-        nodes, spaces = batch.column(0).to_numpy()[order], batch.column(1).to_numpy()[order]
-        units = batch.column(2).take(pa.array(order))
+        nodes, spaces, roots = (batch.column(k).to_numpy()[order] for k in range(3))
+        units = batch.column(3).take(pa.array(order))
         for start, end in bounds(spaces) if len(order) else ():
             if spaces[start] not in stacked:
                 continue
-            query, matrix = stacked[spaces[start]]
+            query, own, matrix = stacked[spaces[start]]
             values = np.array(units.slice(start, end - start).flatten()).reshape(end - start, -1)
-            row, column = np.nonzero(values @ matrix.T >= least)
-            a, b = query[column], nodes[start:end][row]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+            linked = (values @ matrix.T >= least) & (nodes[start:end, None] != query)
+            found = (linked & (roots[start:end, None] == own)).sum(0)
+            n = linked.sum(0)
+            columns = [query[n > 0], n[n > 0], found[n > 0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "n", "found"])
 
 
 def in_groups(members: DataFrame, salt: int) -> DataFrame:
@@ -273,19 +275,17 @@ def audited_recall(
         return 1.0
     ceiling = F.create_map(*(F.lit(x) for s, n in sized.items() for x in (s, min(1.0, queries / n))))
     draw = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = classes.withColumn("stratum", order).where((F.col("size") > 1) & (draw < ceiling[F.col("stratum")]))
-    drawn = drawn.select("node", "space", "unit", "stratum").collect()
+    rooted = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    drawn = rooted.withColumn("stratum", order).where((F.col("size") > 1) & (draw < ceiling[F.col("stratum")]))
+    drawn = drawn.select("node", "space", "root", "unit", "stratum").collect()
     if not drawn:
         return 1.0
-    sample, strata = [(r.node, r.space, r.unit) for r in drawn], {r.node: r.stratum for r in drawn}
+    sample, strata = [(r.node, r.space, r.root, r.unit) for r in drawn], {r.node: r.stratum for r in drawn}
     # sums in another order may round a cosine at the threshold to its other side: such a pair is not asked for
     compare = partial(true_links, queries=sample, least=least + 1e-12)
-    links = in_tasks(classes.select("node", "space", "unit"), compare, "a long, b long")
-    root = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    met = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    seen = F.coalesce((F.col("a_root") == F.col("b_root")).cast("int"), F.lit(0))
+    links = in_tasks(rooted.select("node", "space", "root", "unit"), compare, "a long, n long, found long")
     judged: dict[tuple, list[float]] = {}
-    for r in met.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(seen).alias("found")).collect():
+    for r in links.groupBy("a").agg(F.sum("n").alias("n"), F.sum("found").alias("found")).collect():
         judged.setdefault((strata[r.a], r.n > neighbours), []).append(r.found / r.n)
     shares = [v for v in judged.values() if len(v) >= AUDIT_LEAST]
     rest = [x for v in judged.values() if len(v) < AUDIT_LEAST for x in v]

@@ -70,29 +70,27 @@ def op2_line_dedup(t: Tables) -> DataFrame:
     return line_dedup.remove_repeated_lines(t.documents.select("doc_id", "text"))
 
 
-def _chosen(mask: str) -> str:
-    return ", ".join(f"ts[pos + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
+def _tokens(text: str) -> str:
+    """The operator's tokens in DuckDB, which names scripts without ``Is``."""
+    spaced = f"regexp_replace({text}, '{decontaminate.LETTERS.replace('{Is', '{')}', ' \\1 ', 'g')"
+    spaced = spaced.replace(r"\u3001-\u3003\u30fb\u30fc\uff70", r"\x{3001}-\x{3003}\x{30fb}\x{30fc}\x{ff70}")
+    return f"[x FOR x IN regexp_split_to_array(lower({spaced}), '{decontaminate.SEPARATORS}') IF x <> '']"
 
 
+# without seeds: every alignment in which item and document share a token is counted
 DECONTAMINATE_SQL = f"""
-WITH docs AS (
-    SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '{decontaminate.SEPARATORS}') IF x <> ''] AS ts
-    FROM documents),
+WITH docs AS (SELECT doc_id, {_tokens("coalesce(text, '')")} AS ts FROM documents),
 items AS (
-    SELECT min(item_id) AS item_id, ts FROM (
-        SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '{decontaminate.SEPARATORS}') IF x <> ''] AS ts
-        FROM benchmark) GROUP BY ts),
-doc_seeds AS (
-    SELECT doc_id, pos, unnest([{", ".join(f"[{k}::VARCHAR, {_chosen(m)}]" for k, m in enumerate(decontaminate.MASKS))}]) AS seed
-    FROM (SELECT doc_id, ts, unnest(range(len(ts) - {len(decontaminate.MASKS[0]) - 1})) AS pos FROM docs)),
-item_seeds AS (
-    SELECT item_id, pos, unnest([{", ".join(f"[{k}::VARCHAR, {_chosen(m)}]" for k, m in enumerate(decontaminate.MASKS))}]) AS seed
-    FROM (SELECT item_id, ts, unnest(range(len(ts) - {len(decontaminate.MASKS[0]) - 1})) AS pos FROM items)),
+    SELECT min(item_id) AS item_id, ts, least(len(ts), {decontaminate.STRETCH_TOKENS}) AS width
+    FROM (SELECT item_id, {_tokens("coalesce(text, '')")} AS ts FROM benchmark) GROUP BY ts),
+doc_words AS (SELECT doc_id, unnest(ts) AS word, unnest(range(len(ts))) AS pos FROM docs),
+item_words AS (SELECT item_id, width, unnest(ts) AS word, unnest(range(len(ts))) AS pos FROM items),
 aligned AS (
-    SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS shift
-    FROM doc_seeds d JOIN item_seeds i ON d.seed = i.seed),
+    SELECT d.doc_id, i.item_id, d.pos - i.pos AS shift
+    FROM doc_words d JOIN item_words i USING (word)
+    GROUP BY ALL HAVING count(*) >= {decontaminate.SIMILARITY} * min(i.width)),
 compared AS (
-    SELECT a.doc_id, a.item_id, a.shift, len(i.ts) AS item_tokens, least(len(i.ts), {decontaminate.STRETCH_TOKENS}) AS width,
+    SELECT a.doc_id, a.item_id, a.shift, len(i.ts) AS item_tokens, i.width,
            [CASE WHEN shift + k >= 0 AND d.ts[shift + k + 1] = i.ts[k + 1] THEN 1 ELSE 0 END FOR k IN range(len(i.ts))] AS eq
     FROM aligned a JOIN docs d USING (doc_id) JOIN items i USING (item_id)),
 measured AS (

@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import duckdb
 import pytest
 
-from cohortry.llm.decontaminate import MASKS, SEEDS, contaminated, decontaminate, short_masks
+from cohortry.llm.decontaminate import SEEDS, contaminated, decontaminate, short_masks
+from cohortry.llm.queries import ORACLES, QUERIES
 
 WORDS = [f"w{k}" for k in range(4000)]
 
@@ -60,8 +62,24 @@ def test_edge_rows(spark, rows):
     assert contaminated(docs.where("false"), bench).count() == 0
 
 
-def test_masks_have_one_span():
-    assert len({len(m) for m in MASKS}) == 1 and {m.count("1") for m in MASKS} == {6}
+def test_sql_counts_the_same_alignments(spark, rows, tmp_path):
+    """The query's SQL on what the tables lack: regular substitutions, short items, scripts without spaces."""
+    rng = random.Random(21)
+    items = [(k, text(rng, n)) for k, n in enumerate([4, 5, 7, 9, 10, 15, 20, 40])]
+    items += [(20, "下列哪一项不是太阳系的行星请选择正确的答案"), (21, "次の文章、を読んで・問いに答えカタカナーのデータも"), (22, items[5][1])]
+    every = lambda words, k: " ".join("other" if j % 5 == k else w for j, w in enumerate(words))
+    docs = [(k, f"{text(rng, 7)} {every(i.split(' '), k % 5)} {text(rng, 7)}") for k, i in items[:8]]
+    docs += [(100 + k, f"Ü {i.upper()}, {text(rng, 5)} {i}") for k, i in items]
+    docs += [(200, "前文下列哪一项不X太阳系的行星请选择正确的答案後文"), (201, None), (202, ""), (203, text(rng, 300))]
+    tables = {"documents": ("doc_id long, text string", docs), "benchmark": ("item_id long, text string", items)}
+    con = duckdb.connect()
+    for name, (schema, data) in tables.items():
+        rows(schema, *data).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["op3_decontamination"](spark, str(tmp_path))
+    want = con.sql(ORACLES["op3_decontamination"])
+    assert {tuple(r) for r in got.select(*want.columns).collect()} == set(want.fetchall())
+    assert {r.doc_id for r in got.collect()} >= {100, 107, 4, 5, 6, 7, 120, 121, 200}
 
 
 def test_seeds_miss_no_pattern_of_substitutions():
