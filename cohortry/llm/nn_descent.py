@@ -16,6 +16,7 @@ tiles, in double precision.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import bounds, in_tasks, stored, whole_groups
 from cohortry.llm.components import components
+from cohortry.operators.ranking import sorted_blocks
+from cohortry.session import checked_broadcast
 
 SIMILARITY = 0.98
 NEIGHBOURS = 10
@@ -35,6 +38,7 @@ TILE_MEMBERS = 512
 AUDIT_QUERIES = 1024  # about that many for spaces of each order of size
 AUDIT_LEAST = 20  # queries with links that a stratum needs to be judged by itself
 RECALL = 0.95
+ANGLE_MARGIN = 1e-6  # angles of the bounds on tiles are rounded
 MARGIN = 1e-4  # lists are kept in single precision; links are decided in double
 
 
@@ -292,17 +296,68 @@ def audited_recall(
     return min((sum(v) / len(v) for v in [*shares, rest] if v), default=1.0)
 
 
+def centres(members: DataFrame) -> DataFrame:
+    """(root, centre): the mean direction of the ``unit`` of each root; the first axis where they cancel out."""
+    values = members.select("root", F.posexplode("unit").alias("k", "x"))
+    sums = values.groupBy("root", "k").agg(F.sum("x").alias("x"))
+    ordered = sums.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))
+    total = ordered.select("root", F.transform("s", lambda v: v["x"]).alias("s"))
+    total = total.withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda n, x: n + x * x)))
+    axis = F.transform("s", lambda x, k: F.when(k == 0, 1.0).otherwise(0.0))
+    mean = F.transform("s", lambda x: x / F.col("norm"))
+    return total.select("root", F.when(F.col("norm") > 1e-9, mean).otherwise(axis).alias("centre"))
+
+
 def link_counts(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """(node, n): for members of components, the vectors of other classes they link to, by tiles of the component."""
+    """(node, n): for members of components, the vectors of other classes they link to, by tiles of the component.
+
+    A component above ``TILE_MEMBERS`` is sorted by the angle to its centre and cut into tiles. By the triangle
+    inequality two tiles whose largest angles add up to less than the threshold's are linked throughout, and counted by
+    their sizes; tiles whose angles differ by more share no link. Only vectors of the other pairs of tiles meet.
+    """
     placed = classes.select("node", "members", "unit").join(groups, "node")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE_MEMBERS).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    placed = placed.join(sizes, "root").withColumn("tile", tile)
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    rows = dealt.select(F.xxhash64("root", "low", "high").alias("group"), "node", "low", "high", "tile", "members", "unit")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = checked_broadcast(sizes.where(F.col("n") > TILE_MEMBERS).select("root"))
+    one = placed.join(large, "root", "left_anti").select(F.col("root").alias("low"), F.col("root").alias("high"), "node", "members", "unit")
+    meeting = one.withColumn("tile", F.col("low"))
+    if large.isEmpty():
+        return met_links(meeting, least).groupBy("node").agg(F.sum("n").alias("n"))
+
+    several = placed.join(large, "root", "left_semi")
+    angle = F.acos(F.least(F.lit(1.0), F.aggregate(F.zip_with("unit", "centre", lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)))
+    turned = several.join(checked_broadcast(centres(several)), "root").select("node", "root", "members", angle.alias("angle"))
+    blocks = sorted_blocks(turned, [F.asc("root"), F.asc("angle"), F.asc("node")])
+    part = F.floor(F.col("__row") / TILE_MEMBERS)
+    blocks = blocks.select("node", "root", "members", "angle", F.xxhash64("root", "__block", part).alias("tile"))
+    tiles = stored(
+        blocks.groupBy("root", "tile").agg(
+            F.min("angle").alias("near"), F.max("angle").alias("far"), F.sum("members").alias("members")
+        ),
+        "tiles",
+    )
+    limit = math.acos(least)
+    other = tiles.select("root", *(F.col(c).alias(f"other_{c}") for c in ("tile", "near", "far", "members")))
+    apart = F.greatest(F.col("near") - F.col("other_far"), F.col("other_near") - F.col("far"))
+    pairs = tiles.join(other, "root").where(apart <= limit + ANGLE_MARGIN)
+    pairs = pairs.withColumn("whole", F.col("far") + F.col("other_far") <= limit - ANGLE_MARGIN)
+    pairs = stored(pairs.select("tile", "other_tile", "other_members", "whole"), "tile-pairs")
+
+    whole = pairs.where("whole").groupBy("tile").agg(
+        F.sum("other_members").alias("n"), F.max((F.col("tile") == F.col("other_tile")).cast("long")).alias("own")
+    )
+    counted = blocks.join(whole, "tile").select("node", (F.col("n") - F.col("own") * F.col("members")).alias("n"))
+    unequal = pairs.where(~F.col("whole"))
+    unequal = unequal.select("tile", F.least("tile", "other_tile").alias("low"), F.greatest("tile", "other_tile").alias("high"))
+    rows = blocks.select("node", "members", "tile").join(unequal, "tile").join(classes.select("node", "unit"), "node")
+    meeting = meeting.unionByName(rows.select("low", "high", "node", "members", "unit", "tile"))
+    return met_links(meeting, least).unionByName(counted).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def met_links(meeting: DataFrame, least: float) -> DataFrame:
+    """(node, n) of the pairs (low, high) of tiles whose vectors are compared, a row per pair and node."""
+    rows = meeting.select(F.xxhash64("low", "high").alias("group"), "node", "low", "high", "tile", "members", "unit")
     rows = rows.repartition("group").sortWithinPartitions("group")
-    return in_tasks(rows, partial(tile_counts, least=least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return in_tasks(rows, partial(tile_counts, least=least), "node long, n long")
 
 
 def near_vectors(

@@ -133,3 +133,21 @@ def test_audit_judges_by_the_worst_stratum(rows):
     assert nn.audited_recall(classes, found, 0.98, 10) == 0.0
     assert nn.audited_recall(classes.where("space = 1"), found, 0.98, 10) == 1.0
     assert nn.audited_recall(classes.where("false"), found, 0.98, 10) == 1.0
+
+
+def test_tiles_count_without_meeting(rows, monkeypatch):
+    """Tight, loose and drawn-out components of many tiles, with copies: counts equal those of all comparisons."""
+    monkeypatch.setattr(nn, "TILE_MEMBERS", 16)
+    met, compared = [], nn.met_links
+    monkeypatch.setattr(nn, "met_links", lambda meeting, least: met.append(meeting.count()) or compared(meeting, least))
+    rng = np.random.default_rng(12)
+    data = []
+    for label, spread, n in ((1, 0.004, 200), (2, 0.03, 150)):
+        centre = rng.standard_normal(8)
+        data += [(centre + spread * rng.standard_normal(8), label) for _ in range(n)]
+    data += [([math.cos(0.05 * k), math.sin(0.05 * k)] + [0.0] * 6, 3) for k in range(126)]  # once around
+    data += data[:5]
+    data = [(k, [float(x) for x in np.float32(v)], y) for k, (v, y) in enumerate(data)]
+    table = rows("vec_id long, embedding array<float>, label int", *data)
+    assert result(nn.near_vectors(table.repartition(4))) == brute(data)
+    assert 0 < met[0] < (200 * 13 + 155 * 10 + 126 * 8) / 2  # of the rows when all tiles of a component meet
