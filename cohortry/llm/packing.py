@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import in_tasks, stored
 from cohortry.llm.tokens import encoder, packed
+from cohortry.session import checked_broadcast
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1
@@ -186,8 +187,12 @@ def pack(
     patterns = shortest_pack_first(histogram, capacity)
     runs = Runs.of(patterns)
 
-    ranked = pieces.join(first.drop("n"), ["part", "length"])
+    # one row per part with its first rank of every length, so the side that is joined follows the parts alone
+    by_length = F.map_from_entries(F.collect_list(F.struct("length", "before")))
+    ranks = first.groupBy("part").agg(by_length.alias("found"))
+    ranks = ranks.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda n: F.col("found")[n.cast("long")]).alias("before"))
+    ranked = pieces.join(checked_broadcast(ranks), "part")
     kept = ["doc_id", "start", "doc_tokens", *["ids"] * with_ids, "ids_crc32", "length"]
-    ranked = ranked.select(*kept, (F.col("before") + F.col("place")).alias("rank"))
+    ranked = ranked.select(*kept, (F.col("before")[F.col("length")] + F.col("place")).alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long, offset long"
     return in_tasks(ranked, partial(place_pieces, runs=runs), schema).drop("rank")

@@ -75,3 +75,13 @@ def test_little_padding_on_the_documents(spark):
     used = [r.n for r in placed.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
     assert max(used) <= 2048
     assert sum(used) / (2048 * len(used)) > 0.99
+
+
+def test_ranks_are_one_row_a_part(spark, rows):
+    docs = rows("doc_id long, text string", *((n, "word " * (n % 7)) for n in range(400))).repartition(6)
+    placed = pack(docs, VOCABULARY, capacity=16, with_ids=False)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (part" in plan and "length#" not in plan.split("Join Inner, ")[1].split("\n")[0]
+    got = placed.collect()
+    cells = Counter((r.sequence_id, r.offset + k) for r in got for k in range(r.length))
+    assert len(got) == 400 and max(cells.values()) == 1
