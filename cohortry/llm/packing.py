@@ -151,6 +151,16 @@ def place_pieces(batches: Iterator[pa.RecordBatch], runs: Runs) -> Iterator[pa.R
         )
 
 
+def by_length(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """(part, lengths, ranks) to (part, before): the rank at the place of its length, 0 where the part has none."""
+    for batch in batches:
+        before = np.zeros((len(batch), capacity + 1), dtype=np.int64)
+        for row, lengths, ranks in zip(before, batch.column(1), batch.column(2), strict=True):
+            row[lengths.values.to_numpy()] = ranks.values.to_numpy()
+        arrays = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * (capacity + 1), before.ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), arrays], ["part", "before"])
+
+
 def tokenised(
     docs: DataFrame, vocabulary: str, id_column: str, text_column: str, end_id: int, capacity: int
 ) -> DataFrame:
@@ -188,9 +198,8 @@ def pack(
     runs = Runs.of(patterns)
 
     # one row per part with its first rank of every length, so the side that is joined follows the parts alone
-    by_length = F.map_from_entries(F.collect_list(F.struct("length", "before")))
-    ranks = first.groupBy("part").agg(by_length.alias("found"))
-    ranks = ranks.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda n: F.col("found")[n.cast("long")]).alias("before"))
+    found = first.groupBy("part").agg(F.collect_list("length").alias("lengths"), F.collect_list("before").alias("ranks"))
+    ranks = in_tasks(found, partial(by_length, capacity=capacity), "part int, before array<long>")
     ranked = pieces.join(checked_broadcast(ranks), "part")
     kept = ["doc_id", "start", "doc_tokens", *["ids"] * with_ids, "ids_crc32", "length"]
     ranked = ranked.select(*kept, (F.col("before")[F.col("length")] + F.col("place")).alias("rank"))
