@@ -20,7 +20,7 @@ from cohortry.functions.distributions import normal_upper_tail, student_quantile
 from cohortry.functions.labels import DEFAULT_CUTPOINTS, significance_label
 from cohortry.functions.nulls import as_column, finite, safe_ratio
 from cohortry.operators.joins import attach_aggregate, equi_join
-from cohortry.operators.ranking import histogram, quantiles_of_blocks, running_total, sorted_blocks, value_blocks
+from cohortry.operators.ranking import histogram, quantiles, quantiles_of_blocks, running_total, sorted_blocks, value_blocks
 from cohortry.session import materialise
 
 BOX_PROBS = (0.25, 0.5, 0.75)
@@ -172,14 +172,12 @@ def rank_sum_vs_ref(
     return tests.withColumn("label", significance_label("p_value", cutpoints))
 
 
-def box_of_blocks(blocks: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Box-plot numbers per group of a sorted histogram."""
-    by = list(by)
-    quartiles = quantiles_of_blocks(blocks, value, BOX_PROBS, by, BOX_NAMES)
+def _boxes(quartiles: DataFrame, rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Whiskers beside quartiles, the furthest rows within the fences."""
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.withColumn("__low", F.col("q1") - 1.5 * spread).withColumn("__high", F.col("q3") + 1.5 * spread)
     inside = (
-        attach_aggregate(blocks.select(*by, value), fences.select(*by, "__low", "__high"), by)
+        attach_aggregate(rows.select(*by, value), fences.select(*by, "__low", "__high"), by)
         .where(F.col(value).between(F.col("__low"), F.col("__high")))
         .groupBy(*by)
         .agg(F.min(value).cast("double").alias("__min"), F.max(value).cast("double").alias("__max"))
@@ -194,10 +192,16 @@ def box_of_blocks(blocks: DataFrame, by: Sequence[str], value: str) -> DataFrame
     )
 
 
+def box_of_blocks(blocks: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Box-plot numbers per group of a sorted histogram."""
+    by = list(by)
+    return _boxes(quantiles_of_blocks(blocks, value, BOX_PROBS, by, BOX_NAMES), blocks, by, value)
+
+
 def box_summary(df: DataFrame, group, value: str) -> DataFrame:
     """n, quartiles and whiskers (furthest value within 1.5 IQR of the box) per class."""
     by = _list(group)
-    return box_of_blocks(value_blocks(histogram(df, value, by), value, by), by, value)
+    return _boxes(materialise(quantiles(df, value, BOX_PROBS, by, BOX_NAMES)), df, by, value)
 
 
 def bandwidth(n: Column, sd: Column, iqr: Column, low: Column) -> Column:

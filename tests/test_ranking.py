@@ -155,3 +155,41 @@ def test_broadcast_only_within_measured_bounds(spark):
     assert not SS.fits_broadcast(df, max_rows=99)
     wide = df.select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert not SS.fits_broadcast(wide, max_rows=100, max_bytes=50_000)
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("small", [40, 1_000_000])
+def test_quantiles_narrow_to_the_exact_place(spark, monkeypatch, by, small):
+    """A hot group, a value with half of a group's rows, infinite ends, a null group: any number of passes agrees."""
+    monkeypatch.setattr(K, "SMALL_RANGE", small)
+    n = F.col("id")
+    group = F.when(n % 3 < 2, "hot").when(n % 60 == 2, None).otherwise((n % 7).cast("string"))
+    value = F.when(n % 2 == 0, 5.0).when(n == 11, float("-inf")).when(n == 13, float("nan")).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**6)) / 7)
+    df = spark.range(30000).select(group.alias("g"), F.when(n % 17 != 0, value).alias("v"))
+    probs, names = (0.0, 0.1, 0.25, 0.5, 0.901, 1.0), list("abcdef")
+    got = {(r.g if by else 0): r for r in K.quantiles(df, "v", probs, by, names).collect()}
+    known = df.toPandas().dropna(subset="v")
+    groups = known.groupby("g", dropna=False).v if by else [(0, known.v)]
+    want = {(None if k != k else k): v for k, v in groups}
+    assert set(got) == set(want)
+    for k, values in want.items():
+        assert got[k].n == len(values)
+        ordered = np.sort(values)
+        for p, name in zip(probs, names, strict=True):
+            place = (len(ordered) - 1) * p
+            lo, hi = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            expected = lo if lo == hi or place == int(place) else lo + (hi - lo) * (place - np.floor(place))
+            assert got[k][name] == pytest.approx(expected, rel=1e-12)
+
+
+def test_quantiles_of_nothing(rows):
+    nothing = rows("g string, v double", ("a", None))
+    assert K.quantiles(nothing, "v", (0.5,), "g").count() == 0
+    row = K.median_iqr(nothing, "v").first()
+    assert row.n is None and row.median is None
+
+
+def test_quantiles_sort_nothing_by_range(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    plan = K.median_iqr(df, "v", "g")._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
