@@ -6,7 +6,8 @@ are permuted again until they fall inside (cycle-walking), which keeps it a perm
 slot. Ranges of slots are sorted and written as shards, one record of fixed length per slot, so a trainer reads
 forward from any slot by arithmetic alone and resumes where it stopped.
 
-Ids are written as unsigned 16-bit integers, which the vocabulary fits; they are checked when they are cut.
+Ids are written as unsigned little-endian integers of 16 bits where all ids of the vocabulary fit, else of 32; the
+width is taken from the vocabulary before a document is read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cohortry.llm.common import in_tasks, stored, text_or_empty
 from cohortry.llm.tokens import encoder
@@ -69,13 +71,21 @@ def permuted(numbers: np.ndarray, size: int, key: str) -> np.ndarray:
     return slots.astype(np.int64)
 
 
-def cut_sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
+def id_type(vocabulary: str, end_id: int = END_OF_DOCUMENT) -> str:
+    """The integer type that holds every id of a vocabulary, its added tokens and the end id."""
+    ids = Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values()
+    return "<u2" if max(end_id, PADDING, *ids) <= 0xFFFF else "<u4"
+
+
+def cut_sequences(
+    batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, length: int, dtype: str
+) -> Iterator[pa.RecordBatch]:
     """Texts to sequences of ``length`` ids, numbered within the task; the task's last one is filled up.
 
     At most one sequence and one batch of texts are held.
     """
     ids_of, end = encoder(vocabulary).ids, np.array([end_id], dtype="<u4")
-    part, nth, rest = TaskContext.get().partitionId(), 0, np.empty(0, dtype="<u2")
+    part, nth, rest = TaskContext.get().partitionId(), 0, np.empty(0, dtype=dtype)
 
     def rows(sequences: list[np.ndarray], used: list[int]) -> pa.RecordBatch:
         nonlocal nth
@@ -94,16 +104,14 @@ def cut_sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: in
             found = [rest]
             for text in batch.column(0).slice(at, 1000):
                 ids = np.append(np.frombuffer(ids_of(text.as_py()), dtype="<u4"), end)
-                if ids.max() > 0xFFFF:
-                    raise ValueError("an id of this vocabulary does not fit 16 bits")
-                found.append(ids.astype("<u2"))
+                found.append(ids.astype(dtype))
             joined = np.concatenate(found)
             whole = len(joined) // length
             if whole:
                 yield rows(list(joined[: whole * length].reshape(whole, length)), [length] * whole)
             rest = joined[whole * length :].copy()
     if len(rest):
-        filled = np.full(length, PADDING, dtype="<u2")
+        filled = np.full(length, PADDING, dtype=dtype)
         filled[: len(rest)] = rest
         yield rows([filled], [len(rest)])
 
@@ -117,8 +125,8 @@ def add_slots(batches: Iterator[pa.RecordBatch], size: int, key: str) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns[:2], tokens], ["slot", *batch.schema.names])
 
 
-def write_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int, per_shard: int) -> Iterator[pa.RecordBatch]:
-    """(shard, slot, sequence, used, tokens), sorted, to shard files and their slot rows.
+def write_shards(batches: Iterator[pa.RecordBatch], folder: str, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """(shard, slot, sequence, used, tokens), sorted, to shard files and their slot rows; ``stride`` bytes a sequence.
 
     A shard is written under a name of its attempt; the committed slot table says which attempt counts, so lost and
     repeated attempts leave files that nobody reads.
@@ -126,7 +134,7 @@ def write_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int, pe
     system, root = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
     unpress = zstandard.ZstdDecompressor()
-    shard, out, attempt, stride = None, None, "", 2 * length
+    shard, out, attempt = None, None, ""
     try:
         for batch in batches:
             rows = []
@@ -176,7 +184,9 @@ def materialise_order(
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "order")
-    cut = partial(cut_sequences, vocabulary=vocabulary, end_id=end_id, length=length)
+    dtype = id_type(vocabulary, end_id)
+    stride = np.dtype(dtype).itemsize * length
+    cut = partial(cut_sequences, vocabulary=vocabulary, end_id=end_id, length=length, dtype=dtype)
     sequences = stored(in_tasks(docs.select(text_or_empty(text_column).alias("text")), cut, SEQUENCE_SCHEMA), "sequences")
     # one row per partition that was read, in one running total
     counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -192,16 +202,20 @@ def materialise_order(
     tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     task = F.floor(F.col("shard") * tasks / shards).cast("int")
     ranged = dealt.repartitionById(tasks, task).sortWithinPartitions("shard", "slot")
-    slots = in_tasks(ranged, partial(write_shards, folder=f"{folder}/shards", length=length, per_shard=per_shard), SLOT_SCHEMA)
+    slots = in_tasks(ranged, partial(write_shards, folder=f"{folder}/shards", stride=stride, per_shard=per_shard), SLOT_SCHEMA)
     slots.write.parquet(f"{folder}/slots")
     return folder, spark.read.schema(slots.schema).parquet(f"{folder}/slots")
 
 
-def read_slots(folder: str, slots: DataFrame, start: int, count: int, length: int = SEQUENCE_TOKENS) -> Iterator[np.ndarray]:
+def read_slots(
+    folder: str, slots: DataFrame, start: int, count: int, length: int = SEQUENCE_TOKENS, dtype: str = "<u2"
+) -> Iterator[np.ndarray]:
     """Sequences of the slots from ``start`` on, in training order, read forward shard by shard.
 
     ``slots`` is the table that :func:`materialise_order` returned; one row per shard is looked up, whatever is read.
+    ``dtype`` is the vocabulary's :func:`id_type`.
     """
+    stride = np.dtype(dtype).itemsize * length
     names = slots.where(F.col("slot").between(start, start + count - 1)).groupBy("shard").agg(
         F.min("attempt").alias("attempt"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.min("byte_offset").alias("at")
     )
@@ -210,4 +224,4 @@ def read_slots(folder: str, slots: DataFrame, start: int, count: int, length: in
         with system.open_input_file(f"{root}/{shard_name(row.shard, row.attempt)}") as file:
             file.seek(row["at"])
             for _ in range(row["first"], row["last"] + 1):
-                yield np.frombuffer(file.read(2 * length), dtype="<u2")
+                yield np.frombuffer(file.read(stride), dtype=dtype)

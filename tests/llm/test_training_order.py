@@ -41,3 +41,17 @@ def test_edge_rows(spark, rows):
     assert sum(r.used for r in slots.collect()) == ids
     _, none = order.materialise_order(docs.where("false"), VOCABULARY, "k")
     assert none.count() == 0
+
+
+def test_wide_ids(spark, rows):
+    """An id beyond 16 bits widens the records of all shards."""
+    docs = rows("text string", ("a b",), (None,), ("w " * 300,)).coalesce(1)
+    assert order.id_type(VOCABULARY) == "<u2" and order.id_type(VOCABULARY, 70_000) == "<u4"
+    folder, slots = order.materialise_order(docs, VOCABULARY, "k", end_id=70_000, length=64, per_shard=2)
+    table = slots.orderBy("slot").collect()
+    read = list(order.read_slots(folder, slots, 0, len(table), length=64, dtype="<u4"))
+    assert [r.byte_offset for r in table] == [(r.slot % 2) * 256 for r in table]
+    stream = np.concatenate([s[: r.used] for r, s in sorted(zip(table, read, strict=True), key=lambda x: x[0].sequence)])
+    ids_of = encoder(VOCABULARY).ids
+    want = [np.append(np.frombuffer(ids_of(r.text), "<u4"), 70_000) for r in docs.collect()]
+    assert np.array_equal(stream, np.concatenate(want))
