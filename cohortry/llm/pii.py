@@ -3,14 +3,16 @@
 For each kind a strict pattern with a validator gives the base spans, which always stay. Wider patterns propose
 further, overlapping candidates (disguised addresses, local phone numbers, IPv6, unusual grouping). Candidates are
 described by their format and their context. Trees learn from weak labels: base spans are personal data; strict
-matches that fail their validator, and digits inside longer codes, are not. A candidate is added when its calibrated
-probability reaches the threshold and it overlaps no base span.
+matches that fail their validator, and digits inside longer codes, are not. All labelled candidates count, as weights
+of their distinct descriptions, in the trees, the calibration and the threshold. A candidate is added when its
+calibrated probability reaches the threshold and it overlaps no base span.
 
 Everything is built from Spark SQL functions and Spark ML; texts stay in the JVM.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -49,7 +51,8 @@ ANNOUNCE = {
     "card": "card|visa|master|amex|karte|carte|tarjeta|credit",
     "phone": r"phone|\btel|call|fax|mobil|handy|appel|llam",
 }
-SAMPLE_CANDIDATES = 20_000  # labelled candidates that the trees are fitted on, at most
+KIND_WEIGHT = 5_000  # the candidates of a kind weigh this much together, at most
+DESCRIPTIONS_A_TASK = 100_000
 THRESHOLD = 0.95
 TREES, DEPTH = 10, 3
 FEATURES = (
@@ -259,27 +262,51 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows)
 
 
-def fit(proposed: DataFrame, sample: int = SAMPLE_CANDIDATES, threshold: float = THRESHOLD) -> SpanModel:
-    """Trees on two thirds of a bounded sample of labelled candidates, isotonic calibration on the rest.
+def counted(proposed: DataFrame) -> DataFrame:
+    """(kind, label, features..., learn, judge): the distinct descriptions of all labelled candidates and their numbers.
 
-    Without candidates of both labels in both parts, or where no probability reaches the threshold, nothing is added.
+    A third of the candidates, by a hash of their place, is for judging. Features are flags and small numbers, so
+    there are far fewer descriptions than candidates.
     """
     order = F.xxhash64("id", "row", "kind", "start", "end")
-    # a quarter of the sample for each kind, so that frequent numbers do not crowd out the rest
-    drawn = None
-    for number in range(len(KINDS)):
-        part = proposed.where(F.col("label").isNotNull() & (F.col("kind") == number)).withColumn("order", order)
-        part = part.orderBy("order", "id", "start", "end").limit(sample // len(KINDS))
-        drawn = part if drawn is None else drawn.unionByName(part)
-    rows = stored(drawn.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(3))), "candidates")
-    learn, judge = rows.where(F.col("part") > 0), rows.where(F.col("part") == 0)
-    seen = {(r.judging, r.label) for r in rows.select((F.col("part") == 0).alias("judging"), "label").distinct().collect()}
-    if len(seen) < 4:
+    judging = F.pmod(F.xxhash64(order), F.lit(3)) == 0
+    labelled = proposed.where(F.col("label").isNotNull())
+    numbers = F.count_if(~judging).alias("learn"), F.count_if(judging).alias("judge")
+    return labelled.groupBy("kind", "label", *FEATURES).agg(*numbers)
+
+
+def kind_scales(numbers: list[int]) -> list[float]:
+    """For each kind the weight of a candidate: frequent kinds are halved until they weigh ``KIND_WEIGHT`` at most.
+
+    So frequent numbers do not crowd out the rest. Powers of two keep sums of weights exact.
+    """
+    return [2.0 ** -max(0, math.ceil(math.log2(max(n, 1) / KIND_WEIGHT))) for n in numbers]
+
+
+def fit(proposed: DataFrame, threshold: float = THRESHOLD) -> SpanModel:
+    """Trees on two thirds of the labelled candidates, isotonic calibration on the rest; all of them count.
+
+    Without candidates of both labels in both parts, or where no probability reaches the threshold, nothing is added.
+    """
+    rows = stored(counted(proposed), "candidates")
+    sums = F.sum("learn").alias("learn"), F.sum("judge").alias("judge"), F.count(F.lit(1)).alias("rows")
+    found = rows.groupBy("kind", "label").agg(*sums).collect()
+    if len({(part, r["label"]) for r in found for part in ("learn", "judge") if r[part]}) < 4:
         return SpanModel()
-    trainer = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
-    trees = trainer.fit(_vectors(learn).coalesce(1))
-    judged = trees.transform(_vectors(judge)).select(vector_to_array("probability")[1].alias("raw"), "label")
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(judged)
+    scales = kind_scales([sum(r["learn"] for r in found if r["kind"] == number) for number in range(len(KINDS))])
+    scale = F.get(F.array(*map(F.lit, scales)), F.col("kind"))
+    size = sum(r["rows"] for r in found)
+    rows = rows.coalesce(1 + size // DESCRIPTIONS_A_TASK).sortWithinPartitions("label", *FEATURES)
+    learn, judge = (_vectors(rows.where(F.col(n) > 0).withColumn("weight", F.col(n) * scale)) for n in ("learn", "judge"))
+    # beyond 10,000 rows and the square of its bins Spark would draw rows for the places of the splits
+    bins = max(32, math.isqrt(size) + 1)
+    trainer = GBTClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", maxBins=bins,
+        maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7,
+    )
+    trees = trainer.fit(learn)
+    judged = trees.transform(judge).select(vector_to_array("probability")[1].alias("raw"), "label", "weight")
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(judged)
     reached = [x for x, y in zip(curve.boundaries.toArray(), curve.predictions.toArray(), strict=True) if y >= threshold]
     return SpanModel(trees, float(min(reached))) if reached else SpanModel()
 

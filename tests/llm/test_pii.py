@@ -3,6 +3,10 @@ import random
 import re
 import time
 
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import pii
@@ -118,6 +122,83 @@ def test_wide_candidates_beside_quotes_are_judged(rows):
     assert wide[(1, "email")] == 0.0 and wide[(2, "phone")] == 0.0  # labels for learning only
 
 
+def drawn_apart(spark, n, late):
+    """``n`` labelled phone candidates; those named by ``late`` come last in the order of a hash, behind 25,000 others.
+
+    Early ones are personal data if a plus sign begins them. Late ones have it too, stand before a quote and are not.
+    """
+    place = F.xxhash64("id", "row", "kind", "start", "end")
+    plain = spark.range(n).select(
+        "id", F.lit(0).alias("row"), F.lit(3).alias("kind"), F.lit(0).alias("start"), F.lit(12).alias("end"), F.lit(False).alias("wide")
+    )
+    ranked = plain.withColumn("rank", F.row_number().over(Window.orderBy(place)))
+    late = (F.col("rank") > 25_000) & late
+    plus = late | (F.col("id") % 2 == 0)
+    label = (plus & ~late).cast("double").alias("label")
+    values = {"is_phone": F.lit(True), "plus": plus, "after_quote": late, "length": F.lit(12)}
+    return ranked.select(*plain.columns, label, *(values.get(f, F.lit(0)).cast("double").alias(f) for f in pii.FEATURES))
+
+
+def test_all_labelled_candidates_count(spark):
+    proposed = drawn_apart(spark, 40_000, F.lit(True)).cache()
+    wide = proposed.where("label = 0 and plus = 1").limit(1).unionByName(proposed.where("label = 1").limit(1))
+    wide = wide.withColumn("wide", F.lit(True)).withColumn("label", F.lit(None).cast("double")).localCheckpoint()
+    quoted = {r.id for r in wide.where("after_quote = 1").collect()}
+    accepted = {r.id for r in pii.fit(proposed).select(wide).collect()}
+    assert len(quoted) == 1 and accepted == {r.id for r in wide.collect()} - quoted
+
+
+def test_counts_weigh_as_rows(spark):
+    """Trees and threshold from counts are those from one row for each candidate, compared without counts."""
+    proposed = drawn_apart(spark, 6_000, F.lit(False))
+    noisy = F.when(F.col("id") % 50 == 0, 1 - F.col("label")).otherwise(F.col("label"))
+    proposed = proposed.withColumn("digits", (F.col("id") % 7).cast("double")).withColumn("label", noisy).cache()
+    counts = pii.counted(proposed)
+    total = counts.agg(F.sum("learn"), F.sum("judge"), F.count(F.lit(1))).first()
+    assert total[0] + total[1] == 6_000 and 1_800 < total[1] < 2_200 and total[2] < 60
+    model = pii.fit(proposed)
+    part = F.pmod(F.xxhash64(F.xxhash64("id", "row", "kind", "start", "end")), F.lit(3))
+    vectors = VectorAssembler(inputCols=list(pii.FEATURES), outputCol="vector").transform(proposed.withColumn("part", part))
+    trainer = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=pii.TREES, maxDepth=pii.DEPTH, stepSize=0.3, seed=7)
+    raw = vector_to_array("probability")[1].alias("raw")
+    judged = vectors.where("part = 0")
+    want = trainer.fit(vectors.where("part > 0").coalesce(1)).transform(judged).select("id", "label", raw).orderBy("id").collect()
+    got = model.trees.transform(judged).select("id", raw).orderBy("id").collect()
+    assert len(want) == total[1] and all(abs(a.raw - b.raw) < 1e-9 for a, b in zip(want, got, strict=True))
+    # pooled shares of label 1 by raw probability: the first that reaches the threshold
+    pools = []
+    for value in sorted({r.raw for r in want}):
+        labels = [r.label for r in want if r.raw == value]
+        pools.append([value, sum(labels), len(labels)])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            _, ones, size = pools.pop()
+            pools[-1][1:] = [pools[-1][1] + ones, pools[-1][2] + size]
+    least = min(value for value, ones, size in pools if ones / size >= pii.THRESHOLD)
+    assert abs(model.least_raw - least) < 1e-9
+
+
+def test_weights_of_kinds(spark):
+    assert pii.kind_scales([0, 1, 5_000, 5_001]) == [1.0, 1.0, 1.0, 0.5]
+    for n in (7_777, 10_000, 10_001, 3 * 10**9):
+        (scale,) = pii.kind_scales([n])
+        assert pii.KIND_WEIGHT / 2 < n * scale <= pii.KIND_WEIGHT
+
+
+def test_rare_description_among_many(spark):
+    """One description decides, amid 40,000 others: Spark's trees draw no rows for the places of their splits."""
+    place = [F.lit(0).alias("row"), F.lit(3).alias("kind"), F.lit(0).alias("start"), F.col("id").cast("int").alias("end")]
+    rare = F.col("id") >= 40_000  # thirty candidates with one description, whose length and digits others have too
+    length, digits = (F.when(rare, 100).otherwise(v) for v in (F.col("id") % 200, F.floor(F.col("id") / 200)))
+    values = {"is_phone": F.lit(True), "length": length, "digits": digits, "plus": rare}
+    proposed = spark.range(40_030).select(
+        "id", *place, F.lit(False).alias("wide"), rare.cast("double").alias("label"),
+        *(values.get(f, F.lit(0)).cast("double").alias(f) for f in pii.FEATURES),
+    ).cache()
+    wide = proposed.where("id in (5, 20100, 40007)").withColumn("wide", F.lit(True))
+    assert pii.counted(proposed).count() == 40_001
+    assert [r.id for r in pii.fit(proposed).select(wide).collect()] == [40_007]
+
+
 def test_edge_rows(rows):
     docs = rows("doc_id long, text string", (1, "a@b.cc"), (1, "a@b.cc"), (1, "x a@b.cc"), (None, None), (None, "+49 30 901820"))
     got = sorted((str(r.doc_id), r.n_email, r.n_phone, len(r.spans)) for r in pii.personal_data(docs).collect())
